@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillspark.llm import simhash
+from spillspark.llm import packing, pii, quality, simhash
 from spillspark.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents")).drop("masked")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_simhash_neardup": op4_simhash_neardup,
+    "op9_pii": op9_pii,
+    "op10_packing": op10_packing,
 }
 
 #: SQL can't express the others in bounded time on whole tables; tests/llm
