@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillspark.llm import chat, packing, pii, quality, simhash
+from spillspark.llm import chat, licenses, packing, pii, quality, simhash
 from spillspark.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents")).drop("masked")
 
@@ -38,6 +42,7 @@ QUERIES: dict = {
     "op1_quality_rules": op1_quality_rules,
     "op3_chat_format": op3_chat_format,
     "op4_simhash_neardup": op4_simhash_neardup,
+    "op5_license_scan": op5_license_scan,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
