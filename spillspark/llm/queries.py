@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillspark.llm import chat, licenses, packing, pii, quality, simhash
+from spillspark.llm import bytenet, chat, licenses, packing, pii, quality, simhash
 from spillspark.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytenet.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents")).drop("masked")
 
@@ -43,6 +47,7 @@ QUERIES: dict = {
     "op3_chat_format": op3_chat_format,
     "op4_simhash_neardup": op4_simhash_neardup,
     "op5_license_scan": op5_license_scan,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
