@@ -7,6 +7,7 @@ chosen only where that setting is missing, as in tests.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,18 @@ SPACE = " \t\n\x0b\x0c\r"
 SLAB = 4 << 20
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it.
+
+    On a cluster the package is installed or shipped with the job, and the
+    driver's path does no harm there.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", ""), root]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,6 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillspark.llm import bytenet, chat, licenses, packing, pii, quality, simhash, substrings, suffixes
+from spillspark.llm import bytenet, chat, latent, licenses, packing, pii, quality, simhash, substrings, suffixes
 from spillspark.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytenet.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ QUERIES: dict = {
     "op4_simhash_neardup": op4_simhash_neardup,
     "op5_license_scan": op5_license_scan,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
