@@ -57,7 +57,8 @@ def _count_of(text: Column, others: str) -> Column:
 def base_counts(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` (doc_id, text, lang, source) with base counts, without text."""
     # \v would be a class of its own in a pattern: the range \t-\r is meant.
-    split = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn(
+    own = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"))
+    split = own.withColumn(
         "words", F.array_remove(F.split("text", "[ \\t-\\r]+"), "")
     )
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
@@ -65,6 +66,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        "text_key",
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         _count_of(F.col("text"), "[^#*$%&|<>]+").alias("n_symbols"),
@@ -104,7 +106,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         lambda acc: acc["n"],
     )
     return placed.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", "lang", "source", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.when(F.col("again"), covered).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
         "n_capitals", "n_punct",
     )
@@ -235,7 +237,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, distance (null where a row isn't
-    judged). A null text has no words and fails the base rule. Null languages
+    judged), lang, source, text_key (hash of the text). A null text has no words and fails the base rule. Null languages
     and sources are values of their own. Rows that repeat an id are judged one
     by one; other columns are ignored; an empty table gives an empty result.
     """
@@ -249,4 +251,20 @@ def judged(docs: DataFrame) -> DataFrame:
     return d.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~outlier).alias("kept"), F.round("distance", 3).alias("distance"),
+        "lang", "source", "text_key",
     )
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns.
+
+    A verdict depends on text, language and source, so rows are matched with
+    their verdicts by these (texts by hash) and the id, nulls included.
+    """
+    keys = ["doc_id", "lang", "source", "text_key"]
+    good = judged(docs).where("kept").select(*[F.col(k).alias("q_" + k) for k in keys]).distinct()
+    own = docs.withColumn("q_hash", F.xxhash64("text"))
+    same = F.col("q_hash") == F.col("q_text_key")
+    for k in keys[:3]:
+        same = same & F.col(k).eqNullSafe(F.col("q_" + k))
+    return own.join(good, same, "left_semi").select(*docs.columns)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from spillspark.llm import bytenet, chat, latent, licenses, packing, pii, quality, simhash, substrings, suffixes
 from spillspark.llm.common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents"))
+    return quality.judged(table(spark, sf_dir, "documents")).drop("lang", "source", "text_key")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,7 @@ QUERIES: dict = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: SQL can't express the others in bounded time on whole tables; tests/llm

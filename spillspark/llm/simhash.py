@@ -196,3 +196,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) without near duplicates, all columns.
+
+    Of each group the row with the smallest (doc_id, hash of the text) stays; a
+    null id is smaller than any other; of rows equal in both, one stays.
+    """
+    own = docs.withColumns({"sim_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "sim_key": F.xxhash64("text")})
+    named = own.select(F.struct("sim_id", "sim_key").alias("id"), "text")
+    first = near_duplicates(named, "id", "text", words, distance).where("id = component_id").select("id.sim_id", "id.sim_key").distinct()
+    rows = own.join(first, ["sim_id", "sim_key"], "left_semi")
+    return rows.groupBy("sim_id", "sim_key").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
