@@ -94,3 +94,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+def word_bounds(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each stretch of true values, and offsets per document.
+
+    ``at`` holds the documents' bounds; a stretch ends with its document.
+    """
+    if not len(word):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(at), np.int64)
+    change = np.empty(len(word) + 1, bool)
+    np.not_equal(word[1:], word[:-1], out=change[1:-1])
+    change[0] = change[-1] = True
+    change[at] = True
+    place = np.flatnonzero(change)
+    start = place[:-1][word[place[:-1]]]
+    end = place[1:][word[place[1:] - 1]]
+    return start, end, np.searchsorted(start, at)

@@ -18,21 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spillspark.llm import runs as R
-from spillspark.llm.common import byte_column, mix, slabs
+from spillspark.llm.common import byte_column, mix, slabs, word_bounds
 
 WINDOW, GRAM = 20, 4
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the words' offsets per document."""
-    space = _SPACE[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[at] = True  # documents end words
-    word = ~space
-    start = np.flatnonzero(word & np.r_[True, space[:-1]][: len(raw)] | word & edge[:-1])
-    end = np.flatnonzero(word & np.r_[space[1:], True][: len(raw)] | word & edge[1:]) + 1
-    return start, end, np.searchsorted(start, at)
+    return word_bounds(_WORD[raw], at)
 
 
 def word_tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
