@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -226,9 +227,9 @@ def scene_components(oil: DataFrame, size: int = 8, every: int = 2, rounds: int
     local = tile_components(oil, size)
     spark = oil.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        # The cluster's shared folder; one of our own only where none is set, as in tests.
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     local = local.checkpoint()
     border = local.where(f"r % {size} in (0, {size - 1}) or c % {size} in (0, {size - 1})")
     other = border.select("scene_id", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("tile").alias("tile2"), F.col("label").alias("label2"))

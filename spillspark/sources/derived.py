@@ -6,6 +6,8 @@ Times are microseconds since 2024-01-01 (``us``) and need no time zone.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 DAY_US = 86_400_000_000
@@ -55,7 +57,19 @@ INCIDENTS_SQL = _INCIDENTS.format(nation="nation")
 PIXELS_SQL = _PIXELS.format(div="//", exploded=_EXPLODED_SQL)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it.
+
+    On a cluster the package is installed or shipped with the job.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", ""), root]))
+
+
 def _view(spark: SparkSession, sf_dir: str, name: str) -> str:
+    importable(spark)
     return f"parquet.`{sf_dir}/{name}.parquet`"
 
 
