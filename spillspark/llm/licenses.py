@@ -149,7 +149,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
 
     held = table.where("size(blocks) > 0").select("uid", F.posexplode("blocks").alias("block", "tokens"))
     tokens = held.select("uid", "block", "tokens", F.posexplode("tokens").alias("i", "token"))
-    known = spark.createDataFrame(rows, "token string, number int, label string, j int, need int, size int, template array<string>")
+    names = ("token", "number", "label", "j", "need", "size", "template")
+    known = spark.range(1).select(F.inline(F.array(*[F.struct(*[(_strings(v) if n == "template" else F.lit(v)).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])))
     length = F.size("tokens") >= F.col("need")
     position = F.least(F.size("tokens") - F.col("i"), F.col("size") - F.col("j")) >= F.col("need")
     candidates = tokens.join(F.broadcast(known), "token").where(length & position)
