@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ END_ID = 1
 BUCKETS = 1024
 DIMS, BITS = 4, 15
 #: Entries after which a worker forgets the words it has met.
-MEMO_WORDS, MEMO_PIECES = 250_000, 400_000
+MEMO_WORDS, MEMO_PIECES = 400_000, 1_000_000
 
 # Fixed values of the vocabulary's own splitting rule, for ASCII and Latin-1.
 LETTERS = "a-zªµºß-öø-ÿ"
@@ -81,13 +82,13 @@ class Encoder:
                 cuts.append(c)
                 fresh.update(c)
             else:
-                self.words[w] = np.array(self.whole.encode(s, add_special_tokens=False).ids, np.uint16).tobytes()
+                self.words[w] = array("H", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
         known = self.known
         todo = [p for p in fresh if p not in known]
         for a in range(0, len(todo), 4096):
             part = todo[a : a + 4096]
             for p, e in zip(part, self.pieces.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, np.uint16).tobytes()
+                known[p] = array("H", e.ids).tobytes()
         for w, c in zip(plain, cuts, strict=True):
             self.words[w] = b"".join([known[p] for p in c])
 
