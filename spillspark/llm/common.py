@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # ASCII white space of the word rule: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"
-SLAB = 4 << 20
+SLAB = 1 << 20
 
 
 def importable(spark: SparkSession) -> None:

@@ -15,7 +15,6 @@ Positions are token numbers. Rows with equal id and text count as one document.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,21 +31,18 @@ LOW = np.uint64((1 << 24) - 1)
 NO_ID = -(1 << 63)
 
 
-@functools.cache
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers 0 to n - 1, for n a power of two."""
-    with np.errstate(over="ignore"):
-        out = []
-        for b in (BASE, INVERSE):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = powers(1 << max(n - 1, 1).bit_length())
-    return up[:n], down[:n]
+    """BASE and its inverse to the powers 0 to n - 1, from one growing table."""
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for i, b in enumerate((BASE, INVERSE)):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
+            _POWERS[i] = np.cumprod(p, dtype=np.uint64)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def prefix_hash(tokens: np.ndarray) -> np.ndarray:
@@ -115,32 +111,43 @@ Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id (null as the smallest number), k (checksum of the text), text; null text as empty."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.crc32(text.cast("binary")).alias("k"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.crc32(text.cast("binary")).bitwiseAND(F.lit((1 << 24) - 1)).alias("k"), text.alias("text"))
+
+
+def pack_np(k: np.ndarray, start: np.ndarray, n: np.ndarray | int = 0) -> np.ndarray:
+    """An occurrence as one number: 24 bits of checksum, 31 of place, 8 of length."""
+    return (k.astype(np.int64) << 39) | (start << 8) | n
 
 
 def place_of(occ: Column) -> Column:
-    """Place of an occurrence: its number holds the checksum above 31 bits of place."""
-    return occ.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    return F.shiftright(occ, 8).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
+def length_of(occ: Column) -> Column:
+    """Windows in the run (0 for a single window)."""
+    return occ.bitwiseAND(F.lit(255)).cast("int")
 
 
 def checksum_of(occ: Column) -> Column:
-    return F.shiftrightunsigned(occ, 31)
+    return F.shiftrightunsigned(occ, 39)
 
 
 def all_runs(docs: DataFrame, tokens: Tokens, window: int, gram: int) -> DataFrame:
-    """(a, s, doc_id, occ, n) for every run of every document of ``keyed``."""
+    """(a, s, doc_id, occ) for every run of every document of ``keyed``."""
+    if window - gram + 1 > 255:
+        raise ValueError("a run's length takes eight bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(batches):
             found = find_runs(*tokens(*byte_column(batch.column("text"))), window, gram)
             doc = found["doc"]
-            occ = (np.asarray(batch.column("k"))[doc].astype(np.int64) << 31) | found["start"]
+            occ = pack_np(np.asarray(batch.column("k"))[doc], found["start"], found["n"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found["anchor"].view(np.int64)), pa.array(found["span"].view(np.int64)), pa.array(np.asarray(batch.column("doc_id"))[doc]), pa.array(occ), pa.array(found["n"].astype(np.int32))],
-                ["a", "s", "doc_id", "occ", "n"],
+                [pa.array(found["anchor"].view(np.int64)), pa.array(found["span"].view(np.int64)), pa.array(np.asarray(batch.column("doc_id"))[doc]), pa.array(occ)],
+                ["a", "s", "doc_id", "occ"],
             )
 
-    return docs.mapInArrow(run, "a bigint, s bigint, doc_id bigint, occ bigint, n int")
+    return docs.mapInArrow(run, "a bigint, s bigint, doc_id bigint, occ bigint")
 
 
 def repeated_runs(docs: DataFrame, tokens: Tokens, window: int, gram: int) -> DataFrame:
@@ -151,9 +158,11 @@ def repeated_runs(docs: DataFrame, tokens: Tokens, window: int, gram: int) -> Da
 
 
 def segments(runs: DataFrame) -> DataFrame:
-    """One row per distinct run: its first and last occurrence by (doc_id, place)."""
-    occurrence = F.struct("doc_id", "occ")
-    return runs.groupBy("a", "s").agg(F.min("n").alias("n"), F.min(occurrence).alias("first"), F.max(occurrence).alias("last"))
+    """One row per distinct run: ``first`` occurrence by (doc_id, place), and whether there are ``several``."""
+    first = F.min(F.struct("doc_id", "occ")).alias("first")
+    g = runs.groupBy("a", "s").agg(first, F.max("doc_id").alias("d"), F.max("occ").alias("o"))
+    several = (F.col("d") > F.col("first.doc_id")) | (F.col("o") > F.col("first.occ"))
+    return g.select("a", "s", "first", several.alias("several"))
 
 
 def variants(distinct: DataFrame) -> DataFrame:
@@ -164,7 +173,7 @@ def variants(distinct: DataFrame) -> DataFrame:
 
 def with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Per document of ``keyed``: text and the list ``own`` of its rows' (a, s, start, n, c)."""
-    own = rows.select(F.col("first.doc_id").alias("doc_id"), checksum_of(F.col("first.occ")).alias("k"), F.struct("a", "s", place_of(F.col("first.occ")).alias("start"), "n", "c").alias("own"))
+    own = rows.select(F.col("first.doc_id").alias("doc_id"), checksum_of(F.col("first.occ")).alias("k"), F.struct("a", "s", place_of(F.col("first.occ")).alias("start"), length_of(F.col("first.occ")).alias("n"), "c").alias("own"))
     lists = own.groupBy("doc_id", "k").agg(F.collect_list("own").alias("own"))
     texts = docs.join(lists, ["doc_id", "k"])
     return texts.select("doc_id", "k", "text", "own")

@@ -50,9 +50,9 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         at = words[:-1][doc[which]] + place
         one = R.span_hash(R.prefix_hash(tokens), at, at + WINDOW)
         two = R.span_hash(R.prefix_hash(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))), at, at + WINDOW)
-        k = np.asarray(batch.column("k"))[doc[which]].astype(np.int64)
+        occ = R.pack_np(np.asarray(batch.column("k"))[doc[which]], place)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.asarray(batch.column("doc_id"))[doc[which]]), pa.array((k << 31) | place)],
+            [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.asarray(batch.column("doc_id"))[doc[which]]), pa.array(occ)],
             ["w1", "w2", "doc_id", "occ"],
         )
 
@@ -75,10 +75,10 @@ def removal_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, k, lo, hi): word intervals to remove, of ``runs.keyed`` documents."""
     found = R.repeated_runs(docs, word_tokens, WINDOW, GRAM)
     distinct = R.segments(found)
-    later = found.join(distinct.where("first <> last").select("a", "s", "first"), ["a", "s"]).where(F.struct("doc_id", "occ") != F.col("first"))
-    whole = later.select("doc_id", R.checksum_of(F.col("occ")).alias("k"), R.place_of(F.col("occ")).alias("lo"), (R.place_of(F.col("occ")) + F.col("n") - 1 + WINDOW).alias("hi"))
+    later = found.join(distinct.where("several").select("a", "s", "first"), ["a", "s"]).where(F.struct("doc_id", "occ") != F.col("first"))
+    whole = later.select("doc_id", R.checksum_of(F.col("occ")).alias("k"), R.place_of(F.col("occ")).alias("lo"), (R.place_of(F.col("occ")) + R.length_of(F.col("occ")) - 1 + WINDOW).alias("hi"))
     windows = R.with_texts(R.variants(distinct), docs).mapInArrow(_window_hashes, "w1 bigint, w2 bigint, doc_id bigint, occ bigint")
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "occ")).alias("first"), F.max(F.struct("doc_id", "occ")).alias("last")).where("first <> last").select("w1", "w2", "first")
+    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "occ")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2", "first")
     again = windows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "occ") != F.col("first"))
     single = again.select("doc_id", R.checksum_of(F.col("occ")).alias("k"), R.place_of(F.col("occ")).alias("lo"), (R.place_of(F.col("occ")) + WINDOW).alias("hi"))
     return whole.unionByName(single)

@@ -253,7 +253,7 @@ def removal_intervals(docs: DataFrame) -> DataFrame:
     hot = R.with_texts(various.where(F.col("c") > HOT), docs).mapInArrow(_hot_hashes, "w1 bigint, w2 bigint, a bigint, s bigint, r int")
     twice = hot.groupBy("w1", "w2").agg(F.min(F.struct("a", "s")).alias("x"), F.max(F.struct("a", "s")).alias("y")).where("x <> y").select("w1", "w2")
     counted = hot.join(twice, ["w1", "w2"], "left_semi").select("a", "s", F.col("r").alias("lo"), (F.col("r") + 1).alias("hi"))
-    whole = distinct.where("first <> last").select("a", "s", F.lit(0).alias("lo"), F.col("n").alias("hi"))
+    whole = distinct.where("several").select("a", "s", F.lit(0).alias("lo"), R.length_of(F.col("first.occ")).alias("hi"))
     marks = whole.unionByName(sorted_).unionByName(counted)
     start = R.place_of(F.col("occ"))
     return found.join(marks, ["a", "s"]).select("doc_id", R.checksum_of(F.col("occ")).alias("k"), (start + F.col("lo")).alias("lo"), (start + F.col("hi") - 1 + WINDOW).alias("hi"))
