@@ -1,8 +1,9 @@
 """License scans: phrase counts, and an exact set-similarity join with notices.
 
 DataFrame functions only. Words are runs of ASCII letters and digits and of
-non-ASCII characters after A-Z are lower-cased. A block is a line. A block
-matches a template if it holds at least ``THRESHOLD`` of the template's
+non-ASCII characters after A-Z are lower-cased. A block is a line, or with
+``wrapped`` also any run of as many words as the template has, over line ends.
+A block matches a template if it holds at least ``THRESHOLD`` of the template's
 distinct tokens.
 
 The join is exact. Template tokens are ordered by the number of documents that
@@ -11,7 +12,9 @@ needs c shared tokens must share one of its first t - c + 1 in that order
 (prefix filter), a block needs c template tokens itself (length filter), and a
 shared token only counts if enough tokens follow it on both sides (positional
 filter); what is left is verified. Only documents that hold a prefix token of
-some template are cut into blocks, so common words never meet the index.
+some template are cut into blocks, so common words never meet the index. Of
+runs, only those around a prefix token are counted, and only in texts of several
+lines: within one, the line holds all that its runs hold.
 
 What is broadcast is the template index: its size is fixed by the templates,
 which ``MAX_TEMPLATES`` bounds, and doesn't grow with the documents.
@@ -100,19 +103,40 @@ def frequencies(docs: DataFrame, templates) -> dict[str, int]:
 
 
 def index(templates, counts: dict[str, int], threshold: float) -> list[tuple]:
-    """(token, template number, label, place, needed, size, tokens by frequency) of the prefixes."""
+    """(token, template number, label, place, needed, size, tokens by frequency, words) of the prefixes."""
     rows = []
     for number, (text, label) in enumerate(templates):
         tokens = sorted(set(text.split()), key=lambda w: (counts.get(w, 0), w))
         need = math.ceil(threshold * len(tokens) - 1e-9)
         for place, token in enumerate(tokens[: len(tokens) - need + 1]):
-            rows.append((token, number, label, place, need, len(tokens), tokens))
+            rows.append((token, number, label, place, need, len(tokens), tokens, len(text.split())))
     return rows
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def _in_runs(table: DataFrame, known: DataFrame) -> DataFrame:
+    """Template matches of runs as long as the template, around each of its prefix tokens.
+
+    A run may begin at one of the template's words: moved on to the next of
+    them, it holds no fewer.
+    """
+    at = table.where("size(marks) > 0").select("uid", "marks", F.explode("marks").alias("mark"))
+    near = at.select("uid", "marks", F.col("mark.at").alias("at"), F.col("mark.token").alias("token")).join(F.broadcast(known), "token")
+    apart = F.filter("marks", lambda m: (F.abs(m["at"] - F.col("at")) < F.col("length")) & F.array_contains("template", m["token"]))
+    near = near.withColumn("around", apart).where(F.size(F.array_distinct("around.token")) >= F.col("need"))
+    starts = F.filter("around", lambda m: m["at"] <= F.col("at"))
+
+    def held(start):
+        own = F.filter("around", lambda m: (m["at"] >= start["at"]) & (m["at"] < start["at"] + F.col("length")))
+        return F.size(F.array_distinct(F.transform(own, lambda m: m["token"])))
+
+    return near.withColumn("shared", F.array_max(F.transform(starts, held))).where("shared >= need")
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): phrase places and labels.
 
+    With ``wrapped``, notices that are broken over lines are found too.
+
     Columns: doc_id, n_words, n_base (all phrase places), first_word and
     last_word (smallest and largest start, else null), base_labels, labels
     (with the join's), score: 1 with a phrase, else the largest containment
@@ -144,17 +168,25 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
                 lambda block: F.arrays_overlap(block, prefix),
             ),
         ).alias("blocks"),
+        # Where the templates' words stand: all that counting in runs needs.
+        F.when(
+            F.lit(wrapped) & F.col("low").contains("\n") & F.arrays_overlap("words", prefix),
+            F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("token"))), lambda m: F.array_contains(ordered, m["token"])),
+        ).alias("marks"),
     )
     table = written(found.withColumn("uid", F.monotonically_increasing_id()), "licenses")
 
     held = table.where("size(blocks) > 0").select("uid", F.posexplode("blocks").alias("block", "tokens"))
     tokens = held.select("uid", "block", "tokens", F.posexplode("tokens").alias("i", "token"))
-    names = ("token", "number", "label", "j", "need", "size", "template")
+    names = ("token", "number", "label", "j", "need", "size", "template", "length")
     known = spark.range(1).select(F.inline(F.array(*[F.struct(*[(_strings(v) if n == "template" else F.lit(v)).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])))
     length = F.size("tokens") >= F.col("need")
     position = F.least(F.size("tokens") - F.col("i"), F.col("size") - F.col("j")) >= F.col("need")
     candidates = tokens.join(F.broadcast(known), "token").where(length & position)
     shared = candidates.withColumn("shared", F.size(F.array_intersect("tokens", "template"))).where("shared >= need")
+    shared = shared.select("uid", "label", "shared", "size")
+    if wrapped:
+        shared = shared.unionByName(_in_runs(table, known).select("uid", "label", "shared", "size"))
     labels = shared.groupBy("uid").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.col("size")).alias("most"))
 
     base = F.array_sort(F.array_distinct(F.transform(F.coalesce("at", F.expr("array()").cast("array<struct<at:int,label:string>>")), lambda p: p["label"])))
