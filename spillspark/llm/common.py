@@ -7,6 +7,7 @@ chosen only where that setting is missing, as in tests.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -96,6 +97,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+LONG_WORD = 256
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the words [start, end) of ``raw``: eight bytes at a time, mixed in turn.
+
+    Words of more than ``LONG_WORD`` bytes go through BLAKE2b.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    out = mix(np.uint64(seed) ^ mix(size.astype(np.uint64)))
+    long = np.flatnonzero(size > LONG_WORD)
+    key = seed.to_bytes(8, "little")
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8, key=key).digest(), "little")
+    eights = np.lib.stride_tricks.sliding_window_view(np.r_[raw, np.zeros(8, np.uint8)], 8)
+    words = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(words):
+        left = size[words] - at
+        eight = np.ascontiguousarray(eights[start[words] + at]).view(np.uint64)[:, 0]
+        short = np.flatnonzero(left < 8)
+        eight[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        out[words] = mix(out[words] * np.uint64(0x9E3779B97F4A7C15) ^ eight)
+        words = words[left > 8]
+        at += 8
+    return out
+
+
 def word_bounds(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each stretch of true values, and offsets per document.
 

@@ -4,17 +4,24 @@ A document is a row of tokens (bytes or words). Rabin-Karp hashes of every
 window and of every short gram come from one running sum with powers of an odd
 base modulo 2**64. Each window is named by its anchor, the smallest gram hash
 inside it (leftmost on ties), so equal windows have equal anchors at equal
-places. Consecutive windows with one anchor form a run, and runs are what is
-counted first: a window can only repeat if its anchor does, and equal runs
-repeat as a whole. What travels is one row per run, about a ninth (words) or
-an eightieth (bytes) of the number of windows, and only runs whose anchor
-repeats travel further.
-
-Positions are token numbers. Rows with equal id and text count as one document.
+places. Consecutive windows with one anchor form a run, told by the sum of its
+windows' mixed hashes, and runs are what is counted first: a window can only
+repeat if its anchor does, and equal runs repeat as a whole. What travels is
+one row per run, about a ninth (words) or an eightieth (bytes) of the number of
+windows, and only runs whose anchor repeats travel further.
+
+Rows of documents are numbered once, in a table written to the shared folder
+and bucketed by that number, so joins with it shuffle only the other side, and
+rows that repeat an id, or have none, stay apart. Positions are token numbers.
+Tokens are made with a secret number per job: texts can't be built to collide.
+
+Joins on an anchor or a run have two written or freshly shuffled sides, so
+adaptive execution splits the partition of one that many rows share.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spillspark.llm.common import byte_column, mix, slabs, written
+from spillspark.llm.common import byte_column, mix, shared_dir, slabs, written
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 PIECE = 1 << 20  # windows worked on at a time
 LOW = np.uint64((1 << 24) - 1)
-NO_ID = -(1 << 63)
 
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -57,6 +63,11 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * _powers(len(prefix))[1][start] ^ mix((end - start).astype(np.uint64)))
 
 
+def every_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """Position-free hash of each ``size`` consecutive tokens."""
+    return mix((prefix[size:] - prefix[:-size]) * _powers(len(prefix))[1][: len(prefix) - size])
+
+
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     """Minimum of each ``size`` consecutive values, by block minima from both ends."""
     n = len(x) - size + 1
@@ -72,15 +83,14 @@ def find_runs(tokens: np.ndarray, at: np.ndarray, window: int, gram: int) -> dic
     """Runs of all windows of the documents whose tokens lie at ``at``.
 
     Arrays doc, start (token number in its document), n (windows), anchor, span
-    (hash of all the run's tokens).
+    (sum of the mixed hashes of the run's windows).
     """
     parts: dict[str, list] = {k: [] for k in ("doc", "start", "n", "anchor", "span")}
     size, docs = np.diff(at), np.arange(len(at) - 1)
     for low in range(0, max(len(tokens) - window + 1, 0), PIECE):
         own = tokens[low : low + PIECE + window - 1]
         prefix = prefix_hash(own)
-        _, down = _powers(len(own) + 1)
-        grams = mix((prefix[gram:] - prefix[:-gram]) * down[: len(own) - gram + 1])
+        grams, windows = every_hash(prefix, gram), every_hash(prefix, window)
         place = np.arange(len(grams), dtype=np.uint64)
         arg = (sliding_min((grams & ~LOW) | place, window - gram + 1) & LOW).astype(np.int64)
         first = np.maximum(at[:-1], low)
@@ -100,7 +110,7 @@ def find_runs(tokens: np.ndarray, at: np.ndarray, window: int, gram: int) -> dic
         parts["start"].append(begin + low - at[:-1][doc[new]])
         parts["n"].append(n)
         parts["anchor"].append(grams[a[new]])
-        parts["span"].append(span_hash(prefix, begin, begin + n - 1 + window))
+        parts["span"].append(np.add.reduceat(windows[i], new))
     kinds = {"anchor": np.uint64, "span": np.uint64}
     return {k: np.concatenate(v) if v else np.zeros(0, kinds.get(k, np.int64)) for k, v in parts.items()}
 
@@ -108,19 +118,26 @@ def find_runs(tokens: np.ndarray, at: np.ndarray, window: int, gram: int) -> dic
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (null as the smallest number), k (checksum of the text), text; null text as empty."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.crc32(text.cast("binary")).bitwiseAND(F.lit((1 << 24) - 1)).alias("k"), text.alias("text"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """(uid, doc_id, text): each row's own number; null text as empty. Written, bucketed by uid."""
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    name = f"numbered_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    rows.repartition(buckets, "uid").write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "uid").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, and ``out`` reads them
+    return out
 
 
-def pack_np(k: np.ndarray, start: np.ndarray, n: np.ndarray | int = 0) -> np.ndarray:
-    """An occurrence as one number: 24 bits of checksum, 31 of place, 8 of length."""
-    return (k.astype(np.int64) << 39) | (start << 8) | n
+def pack_np(start: np.ndarray, n: np.ndarray | int = 0) -> np.ndarray:
+    """Place and length as one number, eight bits for the length."""
+    return (start.astype(np.int64) << 8) | n
 
 
 def place_of(occ: Column) -> Column:
-    return F.shiftright(occ, 8).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    return F.shiftright(occ, 8).cast("int")
 
 
 def length_of(occ: Column) -> Column:
@@ -128,55 +145,36 @@ def length_of(occ: Column) -> Column:
     return occ.bitwiseAND(F.lit(255)).cast("int")
 
 
-def checksum_of(occ: Column) -> Column:
-    return F.shiftrightunsigned(occ, 39)
-
-
-def all_runs(docs: DataFrame, tokens: Tokens, window: int, gram: int) -> DataFrame:
-    """(a, s, doc_id, occ) for every run of every document of ``keyed``."""
+def all_runs(docs: DataFrame, tokens: Tokens, window: int, gram: int, columns: tuple[str, ...]) -> DataFrame:
+    """``columns``, of a, s, uid, doc_id and occ, for every run of every document of ``numbered``."""
     if window - gram + 1 > 255:
         raise ValueError("a run's length takes eight bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(batches):
             found = find_runs(*tokens(*byte_column(batch.column("text"))), window, gram)
-            doc = found["doc"]
-            occ = pack_np(np.asarray(batch.column("k"))[doc], found["start"], found["n"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found["anchor"].view(np.int64)), pa.array(found["span"].view(np.int64)), pa.array(np.asarray(batch.column("doc_id"))[doc]), pa.array(occ)],
-                ["a", "s", "doc_id", "occ"],
-            )
+            made = {
+                "a": lambda f=found: pa.array(f["anchor"].view(np.int64)),
+                "s": lambda f=found: pa.array(f["span"].view(np.int64)),
+                "uid": lambda f=found, b=batch: b.column("uid").take(pa.array(f["doc"])),
+                "doc_id": lambda f=found, b=batch: b.column("doc_id").take(pa.array(f["doc"])),
+                "occ": lambda f=found: pa.array(pack_np(f["start"], f["n"])),
+            }
+            yield pa.RecordBatch.from_arrays([made[c]() for c in columns], list(columns))
 
-    return docs.mapInArrow(run, "a bigint, s bigint, doc_id bigint, occ bigint")
+    return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in columns))
 
 
-def repeated_runs(docs: DataFrame, tokens: Tokens, window: int, gram: int) -> DataFrame:
+def repeated_runs(docs: DataFrame, tokens: Tokens, window: int, gram: int, columns: tuple[str, ...]) -> DataFrame:
     """The runs whose anchor occurs in two runs at least, written."""
-    every = all_runs(docs, tokens, window, gram)
-    anchors = every.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
-    return written(every.join(anchors, "a", "left_semi"), "runs")
-
-
-def segments(runs: DataFrame) -> DataFrame:
-    """One row per distinct run: ``first`` occurrence by (doc_id, place), and whether there are ``several``."""
-    first = F.min(F.struct("doc_id", "occ")).alias("first")
-    g = runs.groupBy("a", "s").agg(first, F.max("doc_id").alias("d"), F.max("occ").alias("o"))
-    several = (F.col("d") > F.col("first.doc_id")) | (F.col("o") > F.col("first.occ"))
-    return g.select("a", "s", "first", several.alias("several"))
-
-
-def variants(distinct: DataFrame) -> DataFrame:
-    """Runs whose anchor has another, different run, with the number ``c`` of them."""
-    several = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return distinct.join(several, "a")
+    anchors = all_runs(docs, tokens, window, gram, ("a",)).groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
+    return written(all_runs(docs, tokens, window, gram, columns).join(written(anchors, "anchors"), "a", "left_semi"), "runs")
 
 
-def with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per document of ``keyed``: text and the list ``own`` of its rows' (a, s, start, n, c)."""
-    own = rows.select(F.col("first.doc_id").alias("doc_id"), checksum_of(F.col("first.occ")).alias("k"), F.struct("a", "s", place_of(F.col("first.occ")).alias("start"), length_of(F.col("first.occ")).alias("n"), "c").alias("own"))
-    lists = own.groupBy("doc_id", "k").agg(F.collect_list("own").alias("own"))
-    texts = docs.join(lists, ["doc_id", "k"])
-    return texts.select("doc_id", "k", "text", "own")
+def with_texts(rows: DataFrame, docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Documents of ``numbered`` that have rows, with the list ``own`` of ``fields`` of these."""
+    lists = rows.groupBy("uid").agg(F.collect_list(F.struct(*fields)).alias("own"))
+    return docs.join(lists, "uid")
 
 
 def flat_own(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -188,13 +186,12 @@ def flat_own(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 
 
 def removed(docs: DataFrame, intervals: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """``finish`` over each document and its intervals (doc_id, k, lo, hi), all rows kept.
+    """``finish`` over each document of ``numbered`` and its intervals (uid, lo, hi), all rows kept.
 
-    ``docs``: the original rows. ``finish`` gets bytes, offsets, and per
-    document a list of (lo, hi) as arrays (document, lo, hi).
+    ``finish`` gets bytes, offsets, and the intervals as arrays (document, lo, hi).
     """
-    lists = intervals.groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
-    joined = keyed(docs).join(lists, ["doc_id", "k"], "left")
+    lists = intervals.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
+    joined = docs.join(lists, "uid", "left")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +199,8 @@ def removed(docs: DataFrame, intervals: DataFrame, finish: Callable, schema: str
             lists = batch.column("own")
             doc = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths().fill_null(0)))
             flat = lists.flatten()
-            ids = np.asarray(batch.column("doc_id"))
             arrays = finish(*byte_column(batch.column("text")), doc, np.asarray(flat.field(0)), np.asarray(flat.field(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), *map(pa.array, arrays)], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, arrays)], ["doc_id", *names])
 
     return joined.select("doc_id", "text", "own").mapInArrow(run, "doc_id bigint, " + schema)
 

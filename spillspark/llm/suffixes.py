@@ -1,23 +1,27 @@
 """Suffix-array deduplication: every byte under a repeated 200-byte string goes.
 
 Documents are cut into runs of windows that share an anchor (see ``runs``), so
-equal strings always meet under one anchor. The distinct runs of an anchor
-that has several are dealt to tasks by anchor, and blocks of whole anchors are
-sorted there by the two-stage method: suffixes smaller than their successor
-are sorted directly, all others are induced by one scan over the buckets of
-first bytes, smallest first. Common prefixes of adjacent suffixes then tell
-which 200-byte strings occur twice. A run that occurs twice as a whole has
-only repeated strings. Only starts of 200-byte strings (and the suffixes
-needed to induce them) are sorted, and only as deep as 200 bytes can tell.
-
-An anchor with more than ``HOT`` distinct runs isn't brought to one task: its
-strings are counted by 128-bit hash instead, combined before the shuffle.
+equal strings always meet under one anchor. The distinct runs of an anchor, and
+a second copy of each that has one, are dealt to tasks by anchor, and blocks of
+whole anchors are sorted there by the two-stage method: suffixes smaller than
+their successor are sorted directly, all others are induced by one scan over
+the buckets of first bytes, smallest first. Common prefixes of adjacent
+suffixes, compared byte by byte, then tell which 200-byte strings occur twice:
+nothing is removed but by them. Hashes only say where else a sorted run stands,
+and let the direct sort stop early among strings that agree on all 200 bytes.
+Only starts of 200-byte strings (and the suffixes needed to induce them) are
+sorted, and only as deep as 200 bytes can tell.
+
+An anchor with more than ``HOT`` runs to sort isn't brought to one task. Its
+runs are cut again with longer anchors, at last of 200 bytes: then all strings
+of an anchor are equal, and two of them are sorted.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import secrets
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spillspark.llm import runs as R
-from spillspark.llm.common import byte_column, mix, slabs
+from spillspark.llm.common import byte_column, mix, slabs, written
 
-WINDOW, GRAM = 200, 24
+WINDOW = 200
+GRAMS = (24, 112, 184, 200)  # bytes of an anchor: the first, then for what is too frequent
 HOT = 4096
 BLOCK = 1 << 20  # bytes sorted at a time, whole anchors
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
-_OTHER = mix(np.arange(1001, 1257, dtype=np.uint64))
 
 
-def byte_tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _BYTES[raw], at
+def byte_tokens(seed: int = 0) -> R.Tokens:
+    table = mix(_BYTES ^ np.uint64(seed))
+    return lambda raw, at: (table[raw], at)
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -62,12 +67,13 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     np.add.at(steps, next_b[np.searchsorted(next_b, edge)] + 1, -1)
     needed = (needed + np.cumsum(steps[:-1])) > 0
 
-    key = _keys(text)
-    direct = _sorted_directly(np.flatnonzero(needed & small), key, depth)
+    tokens = _BYTES[np.r_[text, np.zeros(depth, np.uint8)]]
+    whole = R.every_hash(R.prefix_hash(tokens), depth)
+    direct = _sorted_directly(np.flatnonzero(needed & small), keys(text), whole, depth)
     return _induced(text, direct, needed & ~small, n)
 
 
-def _keys(text: np.ndarray) -> np.ndarray:
+def keys(text: np.ndarray) -> np.ndarray:
     """The next eight bytes at each position as one number, zeros past the end."""
     padded = np.r_[text, np.zeros(8, np.uint8)]
     key = np.zeros(len(text), np.uint64)
@@ -76,8 +82,11 @@ def _keys(text: np.ndarray) -> np.ndarray:
     return key
 
 
-def _sorted_directly(positions: np.ndarray, key: np.ndarray, depth: int) -> np.ndarray:
-    """Sort suffixes by eight bytes at a time; each round only keeps ties."""
+def _sorted_directly(positions: np.ndarray, key: np.ndarray, whole: np.ndarray, depth: int) -> np.ndarray:
+    """Sort suffixes by eight bytes at a time; each round only keeps ties.
+
+    Ties whose members agree in ``whole``, the hash of ``depth`` bytes, are left as they are.
+    """
     if not len(positions):
         return positions
     order = positions[np.argsort(key[positions], kind="stable")]
@@ -86,8 +95,10 @@ def _sorted_directly(positions: np.ndarray, key: np.ndarray, depth: int) -> np.n
     tied = np.arange(len(order))
     n = len(key)
     for at in range(8, depth, 8):
-        size = np.bincount(group)
-        keep = size[group] > 1
+        w = whole[order[tied]]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        low, high = np.minimum.reduceat(w, first), np.maximum.reduceat(w, first)
+        keep = np.repeat(low != high, np.diff(np.r_[first, len(group)]))
         tied, group = tied[keep], group[keep]
         if not len(tied):
             break
@@ -141,49 +152,44 @@ def _induced(text: np.ndarray, direct: np.ndarray, larger: np.ndarray, n: int) -
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def common_prefix(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it, in whole eights up to ``depth``."""
+def common_prefix(key: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefix of each suffix with the one before it, in whole eights up to ``depth``.
+
+    ``key``: the next eight bytes at each position, with zeros for ``depth`` positions past the end.
+    """
     out = np.zeros(len(order), np.int64)
     left = np.arange(1, len(order))
     for at in range(0, depth, 8):
         if not len(left):
             break
-        left = left[_span(text, order[left] + at) == _span(text, order[left - 1] + at)]
+        left = left[key[order[left] + at] == key[order[left - 1] + at]]
         out[left] = min(depth, at + 8)
     return out
 
 
-def _span(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)[at]).view(np.uint64)[:, 0]
+def repeated_starts(raw: np.ndarray, at: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the first ``counts`` strings of ``window`` bytes of each part occur twice.
 
-
-def repeated_starts(parts: list[bytes], counts: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """For each part, which of its first ``counts`` strings of ``window`` bytes occur twice.
-
-    ``window`` is a multiple of eight. No byte of a part is 255 (UTF-8 has none).
+    The parts lie in ``raw`` at ``at``. Returns flags, part after part, and
+    their offsets. ``window`` is a multiple of eight. No byte is 255 (UTF-8 has none).
     """
-    size = np.array([len(p) + 1 for p in parts])
-    begin = np.cumsum(size) - size
-    text = np.frombuffer(b"\x00".join(parts) + b"\x00", np.uint8).copy()
-    text += 1  # zero is kept for the ends
-    text[begin + size - 1] = 0
-    wanted = np.zeros(len(text) + 1, np.int64)
-    np.add.at(wanted, begin, 1)
-    np.add.at(wanted, begin + counts, -1)
-    wanted = np.cumsum(wanted[:-1]) > 0
+    size = np.diff(at)
+    begin = at[:-1] + np.arange(len(size))
+    text = np.zeros(len(raw) + len(size), np.uint8)  # zeros stand at the parts' ends
+    text[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw + np.uint8(1)
+    offsets = np.r_[0, np.cumsum(counts)]
+    start = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - begin, counts)
+    wanted = np.zeros(len(text), bool)
+    wanted[start] = True
+    if not len(start):
+        return np.zeros(0, bool), offsets
     order = suffix_order(text, wanted, window)
     order = order[wanted[order]]
-    same = common_prefix(np.r_[text, np.zeros(window + 8, np.uint8)], order, window) >= window
+    same = common_prefix(np.r_[keys(text), np.zeros(window, np.uint64)], order, window) >= window
     twice = np.zeros(len(text), bool)
     twice[order[same]] = True
     twice[order[:-1][same[1:]]] = True
-    return [twice[b : b + c] for b, c in zip(begin.tolist(), counts.tolist(), strict=True)]
-
-
-def ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs [lo, hi) of true values."""
-    edge = np.diff(np.r_[False, flags, False].astype(np.int8))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return twice[start], offsets
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,72 +197,110 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slabs(batches):
         raw, at = byte_column(batch.column("text"))
         doc, own = R.flat_own(batch)
-        n = own["n"].astype(np.int64)
-        start = at[:-1][doc] + own["start"]
-        data = raw.tobytes()
-        parts = [data[a:b] for a, b in zip(start.tolist(), (start + n - 1 + WINDOW).tolist(), strict=True)]
-        for a in range(0, len(parts), 20_000):
-            b = a + 20_000
-            yield pa.RecordBatch.from_arrays([pa.array(own["a"][a:b]), pa.array(own["s"][a:b]), pa.array(n[a:b].astype(np.int32)), pa.array(parts[a:b], pa.binary())], ["a", "s", "n", "part"])
+        for a in range(0, len(doc), 20_000):
+            f = {k: v[a : a + 20_000] for k, v in own.items()}
+            n = f["n"].astype(np.int64)
+            part, offsets = _cut(raw, at[:-1][doc[a : a + 20_000]] + f["start"], n - 1 + WINDOW)
+            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(part)])
+            yield pa.RecordBatch.from_arrays([pa.array(f["g"]), pa.array(f["s"]), pa.array(n.astype(np.int32)), data], ["g", "s", "n", "part"])
+
+
+def _cut(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes [start, start + size) one after the other, and their offsets."""
+    offsets = np.r_[0, np.cumsum(size)]
+    return raw[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)], offsets
 
 
 def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by anchor to (a, s, lo, hi) of repeated window starts."""
-    held: list[tuple] = []
+    """Rows ordered by (g, s) to (g, s, lo, hi) of repeated window starts, one row for a run's two copies."""
+    held: list[pa.RecordBatch] = []
     bytes_held = 0
 
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], []]
-        if rows:
-            counts = np.array([r[2] for r in rows], np.int64)
-            for (a, s, _, _), flags in zip(rows, repeated_starts([r[3] for r in rows], counts), strict=True):
-                if flags.any():
-                    for lo, hi in zip(*map(np.ndarray.tolist, ranges(flags)), strict=True):
-                        for column, v in zip(out, (a, s, lo, hi), strict=True):
-                            column.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["a", "s", "lo", "hi"])
+    def done(rows: pa.RecordBatch) -> pa.RecordBatch:
+        g, s, n = (np.asarray(rows.column(c)) for c in ("g", "s", "n"))
+        flags, offsets = repeated_starts(*byte_column(rows.column("part")), n.astype(np.int64))
+        edge = np.zeros(len(flags) + 1, bool)
+        edge[offsets] = True  # a range ends with its part
+        begin = np.flatnonzero(flags & (edge[:-1] | ~np.r_[False, flags[:-1]])) if len(flags) else offsets[:0]
+        end = np.flatnonzero(flags & (edge[1:] | ~np.r_[flags[1:], False])) + 1 if len(flags) else offsets[:0]
+        row = np.searchsorted(offsets, begin, side="right") - 1
+        first = np.r_[True, (g[1:] != g[:-1]) | (s[1:] != s[:-1])][: len(g)]
+        some = first[row]
+        row, begin, end = row[some], begin[some], end[some]
+        return pa.RecordBatch.from_arrays([pa.array(g[row]), pa.array(s[row]), pa.array((begin - offsets[row]).astype(np.int32)), pa.array((end - offsets[row]).astype(np.int32))], ["g", "s", "lo", "hi"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("a", "s", "n", "part")), strict=True):
-            if bytes_held >= BLOCK and row[0] != held[-1][0]:
-                yield done(held)
-                held, bytes_held = [], 0
-            held.append(row)
-            bytes_held += len(row[3])
-    yield done(held)
-
-
-def _hot_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of each window of the runs in ``own``: (w1, w2, a, s, r)."""
-    for batch in slabs(batches):
-        raw, at = byte_column(batch.column("text"))
-        doc, own = R.flat_own(batch)
-        n = own["n"].astype(np.int64)
-        which = np.repeat(np.arange(len(n)), n)
-        inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        place = at[:-1][doc[which]] + own["start"][which] + inside
-        hashes = [R.span_hash(R.prefix_hash(t[raw]), place, place + WINDOW).view(np.int64) for t in (_BYTES, _OTHER)]
-        for a in range(0, len(which), 100_000):
-            b = a + 100_000
-            w = which[a:b]
-            yield pa.RecordBatch.from_arrays([*(pa.array(h[a:b]) for h in hashes), pa.array(own["a"][w]), pa.array(own["s"][w]), pa.array(inside[a:b].astype(np.int32))], ["w1", "w2", "a", "s", "r"])
+        if not batch.num_rows:
+            continue
+        g = np.asarray(batch.column("g"))
+        _, at = byte_column(batch.column("part"))
+        before = held[-1].column("g")[-1].as_py() if held else None
+        new = np.flatnonzero(np.r_[before != g[0], g[1:] != g[:-1]])  # where an anchor begins
+        begin = 0
+        while len(cut := new[(new >= begin) & (at[new] - at[begin] + bytes_held >= BLOCK)]):
+            held.append(batch.slice(begin, cut[0] - begin))
+            yield done(_joined(held))
+            held, bytes_held, begin = [], 0, int(cut[0])
+        held.append(batch.slice(begin))
+        bytes_held += int(at[-1] - at[begin])
+    if held:
+        yield done(_joined(held))
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _cut_again(tokens: R.Tokens, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The runs in ``own`` cut by longer anchors: (g, s, uid, start, n, og, os, off), the run and the place in it kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slabs(batches):
+            raw, at = byte_column(batch.column("text"))
+            doc, own = R.flat_own(batch)
+            for a in range(0, len(doc), 4096):
+                f = {k: v[a : a + 4096] for k, v in own.items()}
+                part, offsets = _cut(raw, at[:-1][doc[a : a + 4096]] + f["start"], f["n"].astype(np.int64) - 1 + WINDOW)
+                found = R.find_runs(*tokens(part, offsets), WINDOW, gram)
+                i = found["doc"]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(found["anchor"].view(np.int64)), pa.array(found["span"].view(np.int64)), batch.column("uid").take(pa.array(doc[a : a + 4096][i])),
+                        pa.array((f["start"][i] + found["start"]).astype(np.int32)), pa.array(found["n"].astype(np.int32)),
+                        pa.array(f["g"][i]), pa.array(f["s"][i]), pa.array(found["start"].astype(np.int32)),
+                    ],
+                    ["g", "s", "uid", "start", "n", "og", "os", "off"],
+                )
+
+    return run
+
+
+def _marks(rows: DataFrame, docs: DataFrame, grams: tuple[int, ...]) -> DataFrame:
+    """(g, s, lo, hi): repeated window starts of each distinct run (g, s) among ``rows`` (g, s, uid, start, n)."""
+    two = (F.min(F.struct("uid", "start", "n")).alias("x"), F.max(F.struct("uid", "start", "n")).alias("y"))
+    distinct = written(rows.groupBy("g", "s").agg(*two), "distinct")
+    copies = distinct.select("g", "s", F.explode(F.array_distinct(F.array("x", "y"))).alias("o")).select("g", "s", "o.*")
+    sizes = written(distinct.groupBy("g").agg(F.sum(F.when(F.col("x") == F.col("y"), 1).otherwise(2)).alias("c")).where("c > 1"), "sizes")
+    usual = copies.join(sizes.where(F.col("c") <= HOT).select("g"), "g") if grams else copies.join(sizes.select("g"), "g")
+    parts = R.with_texts(usual, docs, ("g", "s", "start", "n")).mapInArrow(_parts, "g bigint, s bigint, n int, part binary")
+    marks = parts.repartition("g").sortWithinPartitions("g", "s").mapInArrow(_sort_blocks, "g bigint, s bigint, lo int, hi int")
+    if not grams or not sizes.where(F.col("c") > HOT).limit(1).count():
+        return marks
+    many = copies.join(sizes.where(F.col("c") > HOT).select("g"), "g")
+    cut = R.with_texts(many, docs, ("g", "s", "start", "n")).mapInArrow(_cut_again(byte_tokens(secrets.randbits(63)), grams[0]), "g bigint, s bigint, uid bigint, start int, n int, og bigint, os bigint, off int")
+    cut = written(cut, "cut")
+    inner = written(_marks(cut.select("g", "s", "uid", "start", "n"), docs, grams[1:]), "marks")
+    up = cut.join(inner, ["g", "s"]).select(F.col("og").alias("g"), F.col("os").alias("s"), (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
+    return marks.unionByName(up.distinct())
 
 
 def removal_intervals(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, lo, hi): byte intervals to remove, of ``runs.keyed`` documents."""
-    found = R.repeated_runs(docs, byte_tokens, WINDOW, GRAM)
-    distinct = R.segments(found)
-    various = R.variants(distinct)
-    parts = R.with_texts(various.where(F.col("c") <= HOT), docs).mapInArrow(_parts, "a bigint, s bigint, n int, part binary")
-    sorted_ = parts.repartition("a").sortWithinPartitions("a").mapInArrow(_sort_blocks, "a bigint, s bigint, lo int, hi int")
-    hot = R.with_texts(various.where(F.col("c") > HOT), docs).mapInArrow(_hot_hashes, "w1 bigint, w2 bigint, a bigint, s bigint, r int")
-    twice = hot.groupBy("w1", "w2").agg(F.min(F.struct("a", "s")).alias("x"), F.max(F.struct("a", "s")).alias("y")).where("x <> y").select("w1", "w2")
-    counted = hot.join(twice, ["w1", "w2"], "left_semi").select("a", "s", F.col("r").alias("lo"), (F.col("r") + 1).alias("hi"))
-    whole = distinct.where("several").select("a", "s", F.lit(0).alias("lo"), R.length_of(F.col("first.occ")).alias("hi"))
-    marks = whole.unionByName(sorted_).unionByName(counted)
+    """(uid, lo, hi): byte intervals to remove, of ``runs.numbered`` documents."""
+    found = R.repeated_runs(docs, byte_tokens(secrets.randbits(63)), WINDOW, GRAMS[0], ("a", "s", "uid", "occ"))
     start = R.place_of(F.col("occ"))
-    return found.join(marks, ["a", "s"]).select("doc_id", R.checksum_of(F.col("occ")).alias("k"), (start + F.col("lo")).alias("lo"), (start + F.col("hi") - 1 + WINDOW).alias("hi"))
+    rows = found.select(F.col("a").alias("g"), "s", "uid", start.alias("start"), R.length_of(F.col("occ")).alias("n"))
+    marks = written(_marks(rows, docs, GRAMS[1:]), "marks")
+    return rows.join(marks, ["g", "s"]).select("uid", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + WINDOW).alias("hi"))
 
 
 def _finish(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
@@ -274,10 +318,13 @@ def _finish(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs`` (doc_id, text).
 
-    All copies of a repeated string go, the first included. Ids are integers;
-    a null text is empty; rows with equal id and text count as one document
-    and each get its result. An empty table gives an empty result.
+    All copies of a repeated string go, the first included. Ids are integers; a
+    null or empty text has no bytes. Rows that repeat an id, or have none, are
+    documents of their own, so equal rows repeat each other. Texts may be of
+    any length (a row's own intervals meet in one task); other columns,
+    whatever their names, are ignored; an empty table gives an empty result.
     """
-    return R.removed(docs, removal_intervals(R.keyed(docs)), _finish, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    rows = R.numbered(docs)
+    return R.removed(rows, removal_intervals(rows), _finish, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

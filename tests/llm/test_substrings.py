@@ -10,18 +10,24 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute(rows):
-    words = {k: WORD.findall(t or "") for k, t in rows}
-    seen, out = set(), {}
-    for k in sorted(words):
-        w, gone = words[k], set()
+    """Per row, whatever its id; of rows with one id, the earlier in the list is first."""
+    words = [(k if k is not None else -(1 << 63), i, k, WORD.findall(t or "")) for i, (k, t) in enumerate(rows)]
+    seen, out = set(), []
+    for _, _, k, w in sorted(words):
+        gone = set()
         for i in range(len(w) - 19):
             x = tuple(w[i : i + 20])
             if x in seen:
                 gone |= set(range(i, i + 20))
             seen.add(x)
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
-        out[k] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
-    return out
+        out.append((k, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def dedup(spark, rows, parts=4):
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k", "2 as own", "3 as a", "4 as uid")
+    return sorted(map(tuple, substrings.dedup(df.repartition(parts) if parts else df).collect()), key=repr)
 
 
 def made(n=90):
@@ -47,9 +53,7 @@ def made(n=90):
 
 def test_against_brute_force(spark):
     rows = made()
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k", "2 as own", "3 as a").repartition(4)
-    got = {r.doc_id: tuple(r)[1:] for r in substrings.dedup(df).collect()}
-    assert got == brute(rows)
+    assert dedup(spark, rows) == brute(rows)
 
 
 def test_runs_cut_anywhere(spark, monkeypatch):
@@ -70,5 +74,34 @@ def test_runs_cut_anywhere(spark, monkeypatch):
 def test_odd_rows(spark):
     assert substrings.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     t = " ".join(map(str, range(25)))
-    got = substrings.dedup(spark.createDataFrame([(None, t), (1, t), (1, t), (2, None)], "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 25, 0), (1, 25, 25), (1, 25, 25), (2, 0, 0)]
+    rows = [(None, t), (1, t), (1, t), (2, None)]
+    got = dedup(spark, rows)
+    assert got == brute(rows) and [x[2] for x in got] == [25, 25, 0, 0]
+    rows = [(1, t), (1, t)]
+    assert sorted(x[2] for x in dedup(spark, rows)) == [0, 25]
+
+
+def test_rows_that_share_an_id(spark):
+    t = " ".join(map(str, range(25)))
+    rows = [(7, t), (7, t + " more"), (7, "other words " * 3), (None, "x " + t)]
+    got = dedup(spark, rows, 0)
+    assert got == brute(rows)
+
+
+def test_many_rows_without_an_id(spark):
+    r = random.Random(3)
+    some = [" ".join(r.choice("abcdef") + str(r.randint(0, 9)) for _ in range(22)) for _ in range(40)]
+    rows = [(None, some[k] if k < 40 else " ".join(f"{k}w{j}" for j in range(21)) if k % 100 else some[k // 100 % 40]) for k in range(10_000)]
+    assert dedup(spark, rows) == brute(rows)
+
+
+def test_words_made_to_collide(spark):
+    """Sums with powers of any odd base agree on these two words: they are different."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(10))
+    rows = [(1, f"{rest} {one} {rest}"), (2, f"{rest} {two} {rest}")]
+    assert dedup(spark, rows) == brute(rows) and all(x[2] == 0 for x in brute(rows))
+    ab = ("left", "right")
+    rows = [(k, " ".join(ab[(i.bit_count() + k) % 2] for i in range(32))) for k in (0, 1)]
+    assert dedup(spark, rows) == brute(rows)
