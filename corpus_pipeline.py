@@ -13,39 +13,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spillspark.llm import latent, packing, pii, quality, simhash
-from spillspark.llm.common import importable, shared_dir, table
+from spillspark.llm.common import importable, shared_dir, table, whole_row
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the outlier test reject go."""
+    """Documents that the base rules or the outlier test reject go.
+
+    Null and empty texts go (too few words), very long ones are judged whole;
+    null languages and sources are values of their own; rows that repeat, in whole
+    or by id, share a verdict; other columns, whatever their names, stay.
+    An empty table stays empty.
+    """
     importable(spark)
     return quality.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id."""
+    """One document of each SimHash group stays, the one with the smallest id.
+
+    A null id is smaller than any other; of one id's texts the smaller hash stays,
+    of equal rows one. Null, empty and wordless texts are one group; very long
+    texts count whole; other columns, whatever their names, stay. An empty
+    table stays empty.
+    """
     importable(spark)
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    rows = docs.withColumn("whole_row", F.struct(*docs.columns))
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts are clean and stay; very long texts are searched
+    whole; each row is judged on its own, repeated rows and ids alike, null ids
+    too; other columns, whatever their names, stay. An empty table, or an empty
+    benchmark, changes nothing.
+    """
+    rows = docs.select("doc_id", "text", whole_row(docs).alias("whole_row"))
     found = latent.decontaminate(rows, table(spark, sf_dir, "benchmark"), "whole_row")
     return found.where(~F.col("contaminated")).select("whole_row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets; all documents stay."""
+    """Personal data is replaced by its kind in brackets; all documents stay.
+
+    A null text stays null (its n_chars too), an empty one empty; very long texts are masked
+    whole; each row on its own, repeated rows and ids alike; other columns,
+    whatever their names, stay as they are. An empty table stays empty.
+    """
     importable(spark)
-    rows = docs.withColumn("whole_row", F.struct(*docs.columns))
-    found = pii.detect(rows, "whole_row").select("whole_row.*", F.col("masked").alias("masked_text"))
-    new = {"text": F.col("masked_text"), "n_chars": F.length("masked_text").cast("bigint")}
-    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    rows = docs.select(whole_row(docs).alias("row"), "text")
+    found = pii.detect(rows, "row").select("row", "masked")
+    new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("bigint")}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents along the curve, with their ids."""
+    """Pieces of documents along the curve, with their ids.
+
+    Null and empty texts are a document of one id, very long ones many pieces;
+    ties on the curve go by id; rows that repeat an id are documents of
+    their own; other columns are left out. An empty table gives none.
+    """
     importable(spark)
     return packing.pack(docs, with_ids=True)
 
