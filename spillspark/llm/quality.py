@@ -1,19 +1,28 @@
 """Quality rules: base counts, and robust multivariate outliers per language and source.
 
-DataFrame functions only. One pass over the texts gives counts per document;
-what follows works on the small table of counts, written once.
+The estimate is a regularised minimum covariance determinant: ``FLOOR`` squared
+is added to every variance, so that a statistic that is the same nearly
+everywhere keeps a scale. DataFrame functions only. One pass over the texts
+gives counts per document; what follows works on the small table of counts,
+written once.
 
 Six transformed statistics (log length, log mean word length, the share of
 repeated words, and logs of the shares of symbols, capitals and punctuation), as integers in
 thousandths so that sums don't depend on the order of rows, are fitted per
-(language, source) by a minimum-covariance-determinant estimate: from two
-starts, concentration steps take the mean and covariance of the ``SHARE`` of
-documents nearest by Mahalanobis distance, and the start that ends with the
-smaller determinant wins. Quantiles of distances come from histograms of their
-logarithm, so each step is a group-by with partial sums: a source that holds a
-third of all rows is combined before the shuffle. Sources with fewer than
-``LEAST`` documents are pooled by language, then all together; a pool that is
-still smaller is not judged.
+(language, source). Starts: medians with two scales, and the means and
+covariances of ``DRAWS`` small sets of documents drawn by hash. Concentration
+steps take the mean and covariance of the ``SHARE`` of documents nearest by
+Mahalanobis distance; after ``FIRST_STEPS`` the two starts with the smallest
+determinants go on until no determinant moves (or ``MAX_STEPS``), and the smaller wins.
+
+The nearest share holds exactly that share of the documents: a histogram of log
+distances finds the bin where it ends, a second one cuts that bin into
+``FINE`` cells, and the documents of the last cell (equal distances, or equal
+to one part in 30,000) share what is left of the count by weight. Each step is a
+group-by with partial sums: a source that holds a third of all rows is
+combined before the shuffle. Sources with fewer than ``LEAST`` documents are
+pooled by language, then all together; a pool that is still smaller can't carry
+six variances and 15 covariances and is not judged.
 """
 
 from __future__ import annotations
@@ -23,13 +32,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spillspark.llm.common import written
+from spillspark.llm.common import whole_row, written
 
 WINDOW = 8
 MIN_WORDS = 20
 SHARE = 0.75
 LEAST = 60
-STEPS = 4
+DRAWS, DRAWN = 4, 24  # sets of documents to start from, and their mean size
+FIRST_STEPS, BEST, MAX_STEPS = 2, 2, 30
 #: Least standard deviation of a statistic, in its own (log) units: a share
 #: that is zero nearly everywhere still gets a scale.
 FLOOR = 0.25
@@ -37,7 +47,7 @@ FLOOR = 0.25
 LEVEL, SLACK = 0.999, 3.0
 FEATURES = ("x1", "x2", "x3", "x4", "x5", "x6")
 PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
-BINS = 32  # histogram bins per unit of log distance
+BINS, FINE = 32, 1024  # histogram bins per unit of log distance, cells of a bin
 
 
 def chi2_6(share: float) -> float:
@@ -149,7 +159,7 @@ def _median(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 
 def _starts(fit: DataFrame) -> DataFrame:
-    """(g, start, mu1.., w11..): medians, scaled by MADs and by the floor alone."""
+    """(g, start, mu.., w.., logdet): medians scaled by MADs (0) and by the floor alone (1), then drawn sets."""
     long = fit.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("j"), F.col(n).alias("x")) for i, n in enumerate(FEATURES)])).alias("f")).select("g", "f.j", "f.x")
     med = _median(long, "x", ["g", "j"])
     dev = long.join(med, ["g", "j"]).select("g", "j", F.abs(F.col("x") - F.col("m")).alias("d"))
@@ -159,7 +169,7 @@ def _starts(fit: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("j") == i, 1.4826 * F.col("mad") / 1000)).alias(f"mad{i}") for i in range(len(FEATURES))],
     )
     scale = lambda start, i: F.greatest(F.col(f"mad{i}"), F.lit(FLOOR)) if start == 0 else F.lit(2 * FLOOR)
-    made = None
+    made = _estimate(_drawn(fit))
     for start in (0, 1):
         one = wide.select(
             "g",
@@ -168,10 +178,17 @@ def _starts(fit: DataFrame) -> DataFrame:
             *[(1 / scale(start, i) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i, j in PAIRS],
             F.lit(0.0).alias("logdet"),
         )
-        made = one if made is None else made.unionByName(one)
+        made = made.unionByName(one)
     return made
 
 
+def _drawn(fit: DataFrame) -> DataFrame:
+    """Rows of ``DRAWS`` sets per group, about ``DRAWN`` documents each, chosen by a hash of their statistics."""
+    sizes = fit.groupBy("g").agg(F.count(F.lit(1)).alias("all"))
+    chance = F.pmod(F.xxhash64(*FEATURES, "start"), F.lit(1 << 20)) < DRAWN * (1 << 20) / F.col("all")
+    return fit.join(sizes, "g").withColumn("start", F.explode(F.sequence(F.lit(2), F.lit(1 + DRAWS)))).where(chance).withColumn("part", F.lit(1.0))
+
+
 def _distances(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """Rows joined to their groups' estimates, with squared distance d2 and its bin."""
     p = range(len(FEATURES))
@@ -179,25 +196,47 @@ def _distances(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     y = [sum((F.col(f"w{i}{j}") * F.col(f"d{j}") for j in range(i + 1)), F.lit(0.0)) for i in p]
     d = d.withColumns({f"y{i}": y[i] for i in p})
     d = d.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in p), F.lit(0.0)))
-    return d.withColumn("bin", F.floor(BINS * F.log(F.col("d2") + 1e-6)).cast("int"))
+    fine = F.floor(FINE * BINS * F.log(F.col("d2") + 1e-6)).cast("bigint")
+    return d.withColumn("fine", fine).withColumns({"bin": F.floor(F.col("fine") / FINE).cast("int"), "cell": F.pmod(F.col("fine"), F.lit(FINE)).cast("int")})
+
+
+def _cumulated(hist: DataFrame, cell: str) -> DataFrame:
+    """Adds ``upto``: rows of the group in cells up to this one."""
+    w = Window.partitionBy("g", "start").orderBy(cell)
+    return hist.withColumn("upto", F.sum("c").over(w))
 
 
 def _near(d: DataFrame) -> DataFrame:
-    """(g, start, upto): the bin below which ``SHARE`` of a group's rows lie."""
-    hist = d.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("c"))
+    """(g, start, bin, cell, part): where the nearest ``SHARE`` of a group ends, and the last cell's weight."""
+    hist = _cumulated(d.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("c")), "bin")
     w = Window.partitionBy("g", "start")
-    cum = hist.withColumns({"upto": F.sum("c").over(w.orderBy("bin")), "all": F.sum("c").over(w)})
-    return cum.where(F.col("upto") >= SHARE * F.col("all")).groupBy("g", "start").agg(F.min("bin").alias("upto"))
+    want = F.floor(SHARE * F.sum("c").over(w)).cast("bigint")
+    ends = hist.withColumn("want", want).where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("c") < F.col("want")))
+    ends = ends.select("g", "start", "bin", (F.col("want") - F.col("upto") + F.col("c")).alias("left"))
+    fine = d.join(ends, ["g", "start", "bin"]).groupBy("g", "start", "bin", "cell", "left").agg(F.count(F.lit(1)).alias("c"))
+    fine = _cumulated(fine, "cell").where((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("c") < F.col("left")))
+    return fine.select("g", "start", F.col("bin").alias("end_bin"), F.col("cell").alias("end_cell"), ((F.col("left") - F.col("upto") + F.col("c")) / F.col("c")).alias("end_part"))
+
+
+def _nearest(d: DataFrame) -> DataFrame:
+    """The nearest ``SHARE`` of each group, with the weight ``part`` (1, or less in the last cell)."""
+    both = d.join(_near(d), ["g", "start"])
+    inside = (F.col("bin") < F.col("end_bin")) | (F.col("bin") == F.col("end_bin")) & (F.col("cell") <= F.col("end_cell"))
+    last = (F.col("bin") == F.col("end_bin")) & (F.col("cell") == F.col("end_cell"))
+    return both.where(inside).withColumn("part", F.when(last, F.col("end_part")).otherwise(1.0))
 
 
 def _estimate(d: DataFrame) -> DataFrame:
-    """Mean and inverse Cholesky factor of each (g, start) over the rows of ``d``."""
+    """Mean and inverse Cholesky factor of each (g, start) over the rows of ``d``, by their weight ``part``."""
     p = range(len(FEATURES))
-    sums = d.groupBy("g", "start").agg(
+    names = ["n", *[f"s{i}" for i in p], *[f"q{i}{j}" for i, j in PAIRS]]
+    whole = d.groupBy("g", "start", "part").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(FEATURES[i]).alias(f"s{i}") for i in p],
         *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in PAIRS],
     )
+    # Two rows a group at most: sums of integers, then one weighted addition.
+    sums = whole.groupBy("g", "start").agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in names])
     e = sums.withColumns({f"mu{i}": F.col(f"s{i}") / F.col("n") / 1000 for i in p})
     e = e.withColumns({
         f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") / 1e6 - F.col(f"mu{i}") * F.col(f"mu{j}") + (FLOOR * FLOOR if i == j else 0.0)
@@ -222,13 +261,20 @@ def estimates(stats: DataFrame) -> DataFrame:
     """One row per group: centre, inverse factor, and the scale of its distances."""
     fit = stats.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *FEATURES)
     now = written(_starts(fit), "mcd")
-    for _ in range(STEPS):
-        d = _distances(fit, now)
-        near = d.join(_near(d), ["g", "start"]).where("bin <= upto")
-        now = written(_estimate(near), "mcd")
+    for step in range(MAX_STEPS):
+        after = written(_estimate(_nearest(_distances(fit, now))), "mcd")
+        was = now.select("g", "start", F.col("logdet").alias("was"))
+        moved = after.join(was, ["g", "start"]).where("abs(logdet - was) > 1e-9")
+        now = after
+        if step + 1 == FIRST_STEPS:
+            order = F.row_number().over(Window.partitionBy("g").orderBy("logdet", "start"))
+            now = written(now.withColumn("place", order).where(F.col("place") <= BEST).drop("place"), "mcd")
+        elif step + 1 > FIRST_STEPS and not moved.limit(1).count():
+            break
     best = now.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("b")).select("g", "b.start")
     chosen = now.join(best, ["g", "start"])
-    scale = _near(_distances(fit, chosen)).select("g", (F.exp((F.col("upto") + 1) / BINS) / chi2_6(SHARE)).alias("scale"))
+    end = (F.col("end_bin") * FINE + F.col("end_cell") + 1) / (FINE * BINS)
+    scale = _near(_distances(fit, chosen)).select("g", (F.exp(end) / chi2_6(SHARE)).alias("scale"))
     return written(chosen.join(scale, "g").select("g", "start", *[f"mu{i}" for i in range(len(FEATURES))], *[f"w{i}{j}" for i, j in PAIRS], "logdet", "scale"), "mcd")
 
 
@@ -259,12 +305,15 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns.
 
     A verdict depends on text, language and source, so rows are matched with
-    their verdicts by these (texts by hash) and the id, nulls included.
+    their verdicts by these (texts by hash) and the id, nulls included. Null,
+    empty and wordless texts go (too few words); rows that repeat, in whole or
+    by id, share a verdict and all stay or go; other columns may have any
+    names; an empty table stays empty.
     """
     keys = ["doc_id", "lang", "source", "text_key"]
     good = judged(docs).where("kept").select(*[F.col(k).alias("q_" + k) for k in keys]).distinct()
-    own = docs.withColumn("q_hash", F.xxhash64("text"))
-    same = F.col("q_hash") == F.col("q_text_key")
+    own = docs.select(whole_row(docs).alias("row"), "doc_id", "lang", "source", F.xxhash64("text").alias("text_key"))
+    same = F.col("text_key") == F.col("q_text_key")
     for k in keys[:3]:
         same = same & F.col(k).eqNullSafe(F.col("q_" + k))
-    return own.join(good, same, "left_semi").select(*docs.columns)
+    return own.join(good, same, "left_semi").select("row.*")

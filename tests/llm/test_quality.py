@@ -70,3 +70,30 @@ def test_estimate_matches_numpy(spark):
 
 def test_empty(spark):
     assert quality.judged(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).collect() == []
+
+
+def test_accepted_keeps_columns_of_any_name(spark):
+    rows = [(k, t, "en", "s", k, "x") for k, t in [(1, "some plain words of a text " * 1 + " ".join(f"w{i}" for i in range(30))), (2, "short"), (2, None)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, q_hash long, text_key string")
+    got = quality.accepted(df)
+    assert got.columns == df.columns and list(map(tuple, got.collect())) == rows[:1]
+
+
+def test_the_nearest_share_is_exact(spark):
+    """Counts by weight: exactly the share, whatever ties there are."""
+    g = np.random.default_rng(2)
+    x = np.round(g.standard_normal((333, 6)) * 300).astype(int)
+    x[:150] = x[0]  # one group of equal rows
+    df = spark.createDataFrame([("all", *map(int, row)) for row in x], "g string, " + ", ".join(f"x{i} long" for i in range(1, 7)))
+    p = range(6)
+    one = df.limit(1).selectExpr("g", "0 as start", *[f"{float(x[0][i]) / 1000}D as mu{i}" for i in p], *[f"{1.0 if i == j else 0.0}D as w{i}{j}" for i, j in quality.PAIRS])
+    near = quality._nearest(quality._distances(df, one)).collect()
+    assert abs(sum(r.part for r in near) - int(0.75 * 333)) < 1e-9
+    rest = sorted(((row - x[0]) / 1000) @ ((row - x[0]) / 1000) for row in x)
+    assert max(r.d2 for r in near) <= rest[int(0.75 * 333) - 1] * 1.001
+
+
+def test_groups_too_small_are_not_judged(spark):
+    text = "some plain words of a text " + " ".join(f"w{i}" for i in range(30))
+    got = quality.judged(spark.createDataFrame([(k, text + str(k), "en", "s") for k in range(9)], "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.kept and r.distance is None for r in got)
