@@ -20,6 +20,7 @@ first partner, then unions of what is still apart), never all pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spillspark.llm.common import byte_column, slabs, written
+from spillspark.llm.common import byte_column, slabs, whole_row, written
 from spillspark.llm.components import components
 
 BLOCK = 2048
+PIECE = 1 << 20  # bytes of a text at a time
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -50,28 +53,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
-    """The fingerprint of one UTF-8 text."""
-    parts = text.lower().split()  # bytes: only A-Z change, only ASCII space splits
-    if not parts:
-        return 0
-    if len(parts) <= words:
-        hashes = xxhash.xxh64_digest(b" ".join(parts), seed=42)
-    else:
+    """The fingerprint of one UTF-8 text, read in pieces that end at white space."""
+    total, n, at = np.zeros(64, np.int64), 0, 0
+    parts: list[bytes] = []
+    digest = xxhash.xxh64_digest
+    while at < len(text):
+        space = _SPACE.search(text, at + PIECE)
+        end = space.start() if space else len(text)
+        parts += text[at:end].lower().split()  # bytes: only A-Z change, only ASCII space splits
+        at = end
+        if len(parts) < words:
+            continue
         flat = b" ".join(parts)
         size = np.fromiter(map(len, parts), np.int64, len(parts))
-        end = np.cumsum(size + 1) - 1
-        first = (end - size)[: 1 - words or None].tolist()
-        digest = xxhash.xxh64_digest
-        hashes = b"".join([digest(flat[a:b], 42) for a, b in zip(first, end[words - 1 :].tolist(), strict=True)])
-    return majority(np.frombuffer(hashes, np.uint8).reshape(-1, 8))
-
-
-def majority(rows: np.ndarray) -> int:
-    """Big-endian 8-byte rows: the 64-bit number of the bits set in over half."""
-    n, total = len(rows), np.zeros(64, np.int64)
-    for a in range(0, n, 4096):
+        stop = np.cumsum(size + 1) - 1
+        first = (stop - size)[: len(parts) - words + 1].tolist()
+        hashes = b"".join([digest(flat[a:b], 42) for a, b in zip(first, stop[words - 1 :].tolist(), strict=True)])
+        total += ones(np.frombuffer(hashes, np.uint8).reshape(-1, 8))
+        n += len(first)
+        parts = parts[len(parts) - words + 1 :]  # the last words begin the next piece's shingles
+    if not n and parts:
+        total, n = ones(np.frombuffer(digest(b" ".join(parts), 42), np.uint8).reshape(-1, 8)), 1
+    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big") if n else 0
+
+
+def ones(rows: np.ndarray) -> np.ndarray:
+    """How many of the big-endian 8-byte rows have each bit set."""
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(rows), 4096):
         total += np.unpackbits(rows[a : a + 4096], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return total
 
 
 def links(fps: DataFrame, distance: int = 3) -> DataFrame:
@@ -82,7 +93,9 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     """
     if not 0 <= distance <= 3:
         raise ValueError("two halves with one deleted bit reach three differing bits")
-    one = fps.select("fp").where("fp is not null").distinct()
+    # A fingerprint makes 66 rows: dealt evenly, however few bytes they are before.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = fps.select("fp").where("fp is not null").distinct().repartition(tasks)
     variants = one.mapInArrow(_variants, "bucket bigint, fp bigint")
     sizes = variants.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     hot = written(sizes, "hot")
@@ -184,8 +197,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable over links, itself included.
     Null or wordless texts have fingerprint zero and link like any other. Rows
     that repeat an id each get a row; a null id takes part in the links but
-    never names a component unless all ids there are null. An empty table gives
-    an empty result.
+    never names a component unless all ids there are null. Texts may be of any
+    length; other columns, whatever their names, are ignored. An empty table
+    gives an empty result.
     """
     fps = written(fingerprints(docs, id_col, text_col, words).withColumnRenamed(id_col, "id"), "fps")
     classes = written(fps.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
@@ -202,10 +216,12 @@ def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame
     """The rows of ``docs`` (doc_id, text) without near duplicates, all columns.
 
     Of each group the row with the smallest (doc_id, hash of the text) stays; a
-    null id is smaller than any other; of rows equal in both, one stays.
+    null id is smaller than any other; of rows equal in both, one stays. Null
+    and wordless texts are one group; other columns may have any names; an
+    empty table stays empty.
     """
-    own = docs.withColumns({"sim_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "sim_key": F.xxhash64("text")})
+    own = docs.select(whole_row(docs).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("sim_id"), F.xxhash64("text").alias("sim_key"), "text")
     named = own.select(F.struct("sim_id", "sim_key").alias("id"), "text")
     first = near_duplicates(named, "id", "text", words, distance).where("id = component_id").select("id.sim_id", "id.sim_key").distinct()
     rows = own.join(first, ["sim_id", "sim_key"], "left_semi")
-    return rows.groupBy("sim_id", "sim_key").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return rows.groupBy("sim_id", "sim_key").agg(F.first("row").alias("row")).select("row.*")

@@ -83,3 +83,19 @@ def test_edges_of_input(spark):
     twice = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, None)], "doc_id long, text string")
     got = simhash.near_duplicates(twice).collect()
     assert sorted(r.component_id for r in got) == [1, 1, 1, 2]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(r.choice("ab Cd é x1 longerword".split()) for _ in range(n)).encode() for n in (0, 1, 2, 3, 50, 700)] + [b"  \t a \n b  ", b"x" * 5000 + b" y z w"]
+    want = {w: [simhash.fingerprint(t, w) for t in texts] for w in (1, 3, 5)}
+    monkeypatch.setattr(simhash, "PIECE", 7)
+    assert want == {w: [simhash.fingerprint(t, w) for t in texts] for w in (1, 3, 5)}
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(2, "a b c d", 5, "k", 1.5), (1, "a b c d", 6, "l", 2.5), (3, None, 7, None, None), (None, "other words here now", 8, "m", 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sim_id int, sim_key string, row double")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted((rows[1], rows[2], rows[3]), key=repr)
