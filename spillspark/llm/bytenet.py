@@ -9,7 +9,8 @@ dense layer combines them into one probability.
 
 Training reads labelled rows only, at most ``TRAIN_ROWS`` of them (a documented
 bound: the smallest hashes of the id among the rows that may be learned from),
-whole texts, with Adam from a fixed seed. Scoring covers every byte of every
+whole texts of at most ``TRAIN_BYTES`` (so that what the driver holds is bounded in bytes
+too), with Adam from a fixed seed. Scoring covers every byte of every
 text, slab by slab.
 """
 
@@ -29,23 +30,27 @@ KERNEL, STEP = 8, 4
 EMBED, FILTERS, HIDDEN = 6, 24, 12
 LAGS = tuple(range(3, 11))
 WIDTH = EMBED + len(LAGS)
-TRAIN_ROWS = 1500
+TRAIN_ROWS, TRAIN_BYTES = 1500, 1 << 17
 EPOCHS = 14
 THRESHOLD = 0.3
 BEFORE = max(LAGS)
 POSITIONS = (CHUNK - KERNEL) // STEP + 1
 
 
-def chunks(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of each chunk with BEFORE bytes ahead of it, text of each chunk).
+def chunk_ends(at: np.ndarray) -> np.ndarray:
+    """Chunks of the texts up to each: every text has one at least."""
+    return np.cumsum(np.maximum(1, -(-(np.diff(at) - OVERLAP) // (CHUNK - OVERLAP))))
 
-    Every text has one chunk at least; zeros fill what lies outside a text.
+
+def chunks(raw: np.ndarray, at: np.ndarray, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of each chunk with BEFORE bytes ahead of it, text of each chunk), of chunks low to high.
+
+    Zeros fill what lies outside a text.
     """
-    size = np.diff(at)
-    n = np.maximum(1, -(-(size - OVERLAP) // (CHUNK - OVERLAP)))
-    text = np.repeat(np.arange(len(size)), n)
-    first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = first * (CHUNK - OVERLAP)
+    size, ends = np.diff(at), chunk_ends(at)
+    number = np.arange(low, min(ends[-1], high) if high is not None else ends[-1])
+    text = np.searchsorted(ends, number, side="right")
+    start = (number - np.r_[0, ends[:-1]][text]) * (CHUNK - OVERLAP)
     place = start[:, None] + np.arange(-BEFORE, CHUNK)
     inside = (place >= 0) & (place < size[text][:, None])
     flat = np.where(inside, place + at[:-1][text][:, None], 0)
@@ -96,15 +101,10 @@ def score(model: dict, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(at) < 2:
         return np.zeros(0)
     maxima, texts = [], []
-    group = 0
-    while group < len(at) - 1:  # about a thousand chunks at a time, a text whole
-        end = int(np.searchsorted(at, at[group] + 192 * 1024, side="right")) - 1
-        end = min(max(end, group + 1), len(at) - 1)
-        block, text = chunks(raw, at[group : end + 1])
-        for a in range(0, len(block), 1024):
-            maxima.append(pooled(model, block[a : a + 1024]))
-        texts.append(text + group)
-        group = end
+    for a in range(0, int(chunk_ends(at)[-1]), 1024):
+        block, text = chunks(raw, at, a, a + 1024)
+        maxima.append(pooled(model, block))
+        texts.append(text)
     return combined(model, np.concatenate(maxima), np.concatenate(texts), len(at) - 1)
 
 
@@ -174,11 +174,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
     Labels are spread by a hash of the id. Ids with null labels are left out;
     of an id's several labels the smallest counts, and of its several texts the
-    smallest too, so the choice doesn't depend on the order of rows.
+    smallest too, so the choice doesn't depend on the order of rows. Longer
+    texts than ``TRAIN_BYTES`` are scored, not learned from.
     """
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(~held_out())
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    texts = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
     found = sorted(texts.toLocalIterator(), key=lambda r: r.doc_id)
     return [(r.text or "").encode() for r in found], np.array([int(r.quality > 0) for r in found], np.float32)
 
@@ -188,7 +189,9 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, thresho
 
     Null and empty texts are one chunk of zeros. Without labels the untrained
     network scores. Rows that repeat an id are scored one by one; held_out is
-    null for a null id; an empty table gives an empty result.
+    null for a null id; texts may be of any length (about a thousand chunks are
+    held at a time); other columns, whatever their names, are ignored; an empty
+    table gives an empty result.
     """
     model = trained(*training_rows(docs, labels, rows))
 

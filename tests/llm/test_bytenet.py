@@ -79,3 +79,15 @@ def test_odd_rows(spark):
     got = b.classify(docs, none).collect()
     assert len(got) == 4 and sum(r.held_out is None for r in got) == 1
     assert b.classify(docs.limit(0), none).collect() == []
+
+
+def test_a_very_long_text_scores_as_its_chunks():
+    g = np.random.default_rng(4)
+    raw = g.integers(32, 127, 3_000_000).astype(np.uint8)
+    m = b.initial()
+    at = np.array([0, 700, 2_999_000, 3_000_000])
+    block, text = b.chunks(raw, at)
+    whole = b.combined(m, np.concatenate([b.pooled(m, block[a : a + 500]) for a in range(0, len(block), 500)]), text, 3)
+    assert np.allclose(b.score(m, raw, at), whole, atol=1e-6)
+    some, of = b.chunks(raw, at, 5, 900)
+    assert (some == block[5:900]).all() and (of == text[5:900]).all()
