@@ -9,7 +9,8 @@ parsers expand each anchor to both sides and validate what they find:
 - card: digits with single blanks or hyphens between, 16 to 19 digits, Luhn;
 - phone: plus sign, digits, blanks, brackets, dots, hyphens, 8 to 15 digits;
 - account: a value of 8 or more characters with a digit, after a cue such as
-  ``token``, ``iban`` or ``passport`` and an optional ``no``, ``:`` or ``=``;
+  ``token``, ``iban`` or ``passport`` (in any case, ``apiKey`` too) and an
+  optional ``no``, ``:`` or ``=``;
 - url: an address with a scheme whose authority carries credentials or is
   numeric.
 
@@ -39,6 +40,7 @@ SCHEMES = ("http", "https", "ftp", "ssh", "postgres", "mysql", "redis", "mongodb
 CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "iban", "account", "acct", "passport", "ssn")
 
 DIGITS = frozenset("0123456789")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -51,7 +53,7 @@ REST = re.compile(r"[^\s<>\"']*")
 
 @functools.cache
 def automaton() -> ahocorasick.Automaton:
-    """Anchors by kind; cues in lower, upper and title case."""
+    """Anchors by kind, for texts in lower case."""
     a = ahocorasick.Automaton()
     a.add_word("@", ("@", 1))
     a.add_word("+", ("+", 1))
@@ -59,12 +61,17 @@ def automaton() -> ahocorasick.Automaton:
     for d in DIGITS:
         a.add_word(d, ("0", 1))
     for cue in CUES:
-        for form in (cue, cue.upper(), cue.title()):
-            a.add_word(form, ("cue", len(form)))
+        a.add_word(cue, ("cue", len(cue)))
     a.make_automaton()
     return a
 
 
+def lowered(text: str) -> str:
+    """``text`` in lower case, every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -78,7 +85,7 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     free = dict.fromkeys(KINDS, 0)  # where the last match of a kind ended
     number_end = -1  # end of the digit run seen last
-    for last, (kind, size) in automaton().iter(text):
+    for last, (kind, size) in automaton().iter(lowered(text)):
         at = last - size + 1
         if kind == "0":
             if at < number_end:
