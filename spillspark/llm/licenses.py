@@ -41,18 +41,37 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-#: Notices as published with the licenses.
+#: Notices as published with the licenses, and forms in which works name them.
 TEMPLATES = (
     ("this work is licensed under the gnu general public license version 3", "gpl"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("you should have received a copy of the gnu general public license along with this program", "gpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    ("you should have received a copy of the gnu lesser general public license along with this library", "lgpl"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "agpl"),
     ("licensed under the apache license version 2 0", "apache"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache"),
     ("licensed under cc by 4 0", "cc-by"),
+    ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
+    ("licensed under cc by nd 4 0", "cc-by-nd"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost"),
+    ("altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "zlib"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "epl"),
 )
 
 SEPARATORS = "[\\x00-/:-`{-\\x7F]+"
@@ -140,8 +159,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     Columns: doc_id, n_words, n_base (all phrase places), first_word and
     last_word (smallest and largest start, else null), base_labels, labels
     (with the join's), score: 1 with a phrase, else the largest containment
-    found, else 0. A null text is empty. Rows that repeat an id, or have none,
-    are judged one by one; an empty table gives an empty result.
+    found, else 0. A null text is empty, and empty texts have no words; texts
+    may be of any length. Rows that repeat an id, or have none, are judged one
+    by one; other columns, whatever their names, are ignored; an empty table
+    gives an empty result.
     """
     if not 0 < len(templates) <= MAX_TEMPLATES:
         raise ValueError(f"1 to {MAX_TEMPLATES} templates")
