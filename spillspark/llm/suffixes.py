@@ -33,7 +33,7 @@ from spillspark.llm.common import byte_column, mix, slabs, written
 
 WINDOW = 200
 GRAMS = (24, 112, 184, 200)  # bytes of an anchor: the first, then for what is too frequent
-HOT = 4096
+HOT = 1024
 BLOCK = 1 << 20  # bytes sorted at a time, whole anchors
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
