@@ -26,36 +26,54 @@ COMPASS_8 = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
 KNOTS = 1.94384
 
 
+def _real(x: float) -> str:
+    """A literal that every dialect reads as a double."""
+    return repr(x) if "e" in repr(x) else f"{x!r}e0"
+
+
 def geodesic_levels(lon1: str, lat1: str, lon2: str, lat2: str, p: str = "g") -> tuple[chain.Levels, str]:
-    """Levels of the inverse problem and the name of the distance column (metres)."""
+    """Levels of the inverse problem and the name of the distance column (metres).
+
+    Written with few null checks (functions and quotients stand in coalesce, the
+    positions are asked once): the code of a stage then stays small enough to
+    be compiled by the JVM.
+    """
     # An exponent makes a literal a double in every dialect.
     f, second = f"{FLATTENING!r}e0", f"{(A * A - B * B) / (B * B)!r}e0"
+    z = lambda x: f"coalesce({x}, 0.0e0)"
     levels: chain.Levels = [
-        {f"{p}u1": f"atan((1 - {f}) * tan(radians({lat1})))", f"{p}u2": f"atan((1 - {f}) * tan(radians({lat2})))", f"{p}l": f"radians({lon2} - {lon1})"},
-        {f"{p}su1": f"sin({p}u1)", f"{p}cu1": f"cos({p}u1)", f"{p}su2": f"sin({p}u2)", f"{p}cu2": f"cos({p}u2)", f"{p}m0": f"{p}l"},
+        {f"{p}u1": z(f"atan((1 - {f}) * tan(radians({lat1})))"), f"{p}u2": z(f"atan((1 - {f}) * tan(radians({lat2})))"), f"{p}l": z(f"radians({lon2} - {lon1})")},
+        {f"{p}su1": z(f"sin({p}u1)"), f"{p}cu1": z(f"cos({p}u1)"), f"{p}su2": z(f"sin({p}u2)"), f"{p}cu2": z(f"cos({p}u2)"), f"{p}m0": f"{p}l"},
+        {f"{p}s12": f"{p}su1 * {p}su2", f"{p}c12": f"{p}cu1 * {p}cu2"},
     ]
     for i in range(ROUNDS + 1):
         c = lambda x, i=i: f"{p}{x}{i}"
         levels += [
-            {c("sl"): f"sin({c('m')})", c("cl"): f"cos({c('m')})"},
-            {c("t1"): f"{p}cu2 * {c('sl')}", c("t2"): f"{p}cu1 * {p}su2 - {p}su1 * {p}cu2 * {c('cl')}", c("cs"): f"{p}su1 * {p}su2 + {p}cu1 * {p}cu2 * {c('cl')}"},
-            {c("ss"): f"sqrt({c('t1')} * {c('t1')} + {c('t2')} * {c('t2')})"},
-            {c("si"): f"atan2({c('ss')}, {c('cs')})", c("sa"): f"CASE WHEN {c('ss')} = 0 THEN 0.0e0 ELSE {p}cu1 * {p}cu2 * {c('sl')} / {c('ss')} END"},
+            {c("sl"): z(f"sin({c('m')})"), c("cl"): z(f"cos({c('m')})")},
+            {c("t1"): f"{p}cu2 * {c('sl')}", c("t2"): f"{p}cu1 * {p}su2 - {p}su1 * {p}cu2 * {c('cl')}", c("cs"): f"{p}s12 + {p}c12 * {c('cl')}"},
+            {c("ss"): z(f"sqrt({c('t1')} * {c('t1')} + {c('t2')} * {c('t2')})")},
+            {c("si"): z(f"atan2({c('ss')}, {c('cs')})"), c("sa"): f"CASE WHEN {c('ss')} = 0 THEN 0.0e0 ELSE {z(f'{p}c12 * {c("sl")} / {c("ss")}')} END"},
             {c("ca"): f"1 - {c('sa')} * {c('sa')}"},
-            {c("cm"): f"CASE WHEN {c('ca')} = 0 THEN 0.0e0 ELSE {c('cs')} - 2 * {p}su1 * {p}su2 / {c('ca')} END", c("cc"): f"{f} / 16 * {c('ca')} * (4 + {f} * (4 - 3 * {c('ca')}))"},
+            {c("cm"): f"CASE WHEN {c('ca')} = 0 THEN 0.0e0 ELSE {z(f'{c("cs")} - 2 * {p}s12 / {c("ca")}')} END", c("cc"): f"{_real(FLATTENING / 16)} * {c('ca')} * (4 + {f} * (4 - 3 * {c('ca')}))"},
         ]
         if i < ROUNDS:
             levels.append({f"{p}m{i + 1}": f"{p}l + (1 - {c('cc')}) * {f} * {c('sa')} * ({c('si')} + {c('cc')} * {c('ss')} * ({c('cm')} + {c('cc')} * {c('cs')} * (2 * {c('cm')} * {c('cm')} - 1)))"})
     c = lambda x: f"{p}{x}{ROUNDS}"
+    missing = " OR ".join(f"{x} IS NULL" for x in (lon1, lat1, lon2, lat2))
     levels += [
         {f"{p}uu": f"{c('ca')} * {second}"},
-        {f"{p}aa": f"1 + {p}uu / 16384 * (4096 + {p}uu * ({p}uu * (320 - 175 * {p}uu) - 768))", f"{p}bb": f"{p}uu / 1024 * (256 + {p}uu * ({p}uu * (74 - 47 * {p}uu) - 128))"},
-        {f"{p}ds": f"{p}bb * {c('ss')} * ({c('cm')} + {p}bb / 4 * ({c('cs')} * (2 * {c('cm')} * {c('cm')} - 1) - {p}bb / 6 * {c('cm')} * (4 * {c('ss')} * {c('ss')} - 3) * (4 * {c('cm')} * {c('cm')} - 3)))"},
-        {f"{p}d": f"CASE WHEN {c('si')} > 3.1e0 THEN {A!r}e0 * {c('si')} ELSE {B!r}e0 * {p}aa * ({c('si')} - {p}ds) END"},
+        {f"{p}aa": f"1 + {p}uu * {_real(1 / 16384)} * (4096 + {p}uu * ({p}uu * (320 - 175 * {p}uu) - 768))", f"{p}bb": f"{p}uu * {_real(1 / 1024)} * (256 + {p}uu * ({p}uu * (74 - 47 * {p}uu) - 128))"},
+        {f"{p}ds": f"{p}bb * {c('ss')} * ({c('cm')} + {p}bb * 0.25e0 * ({c('cs')} * (2 * {c('cm')} * {c('cm')} - 1) - {p}bb * {_real(1 / 6)} * {c('cm')} * (4 * {c('ss')} * {c('ss')} - 3) * (4 * {c('cm')} * {c('cm')} - 3)))"},
+        {f"{p}d": f"CASE WHEN {missing} THEN NULL WHEN {c('si')} > 3.1e0 THEN {A!r}e0 * {c('si')} ELSE {B!r}e0 * {p}aa * ({c('si')} - {p}ds) END"},
     ]
     return levels, f"{p}d"
 
 
+def known(df: DataFrame, *names: str) -> DataFrame:
+    """Rows with values in all of ``names``, which the optimizer then knows not to be null."""
+    return df.where(" AND ".join(f"{n} IS NOT NULL" for n in names)).withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
+
+
 def with_geodesic(df: DataFrame, out: str, lon1: str, lat1: str, lon2: str, lat2: str) -> DataFrame:
     """Adds ``out``: metres between two positions in degrees."""
     levels, d = geodesic_levels(lon1, lat1, lon2, lat2, f"{out}__")
@@ -131,6 +149,10 @@ def compass(vx: Column, vy: Column, names: list[str] = COMPASS) -> Column:
     return F.when(F.hypot(vx, vy) < 1e-6, "Stationary").otherwise(F.element_at(F.array(*[F.lit(n) for n in names]), which))
 
 
+def knots(metres_per_second: Column) -> Column:
+    return metres_per_second * KNOTS
+
+
 def ring(x: Column, y: Column, radius: Column, quarter: int = 32) -> Column:
     """Closed circle ring, clockwise from +x: array<struct<x, y>> of 4 * quarter + 1 vertices."""
     n = 4 * quarter

@@ -2,31 +2,38 @@
 
 ``search_area_join`` is the scalable one: both sides meet on grid cells by an
 equality join, and the exact test follows. The all-pairs form exists for
-results that need every vessel of an incident; it broadcasts the incidents
-only up to a checked number of rows.
+results that need every vessel of an incident: the incidents are its query set.
+Up to a checked size they are broadcast, beyond it they are dealt in blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spillspark.functions import geo
 
-MAX_INCIDENTS = 20_000
+MAX_INCIDENTS = 20_000  # broadcast at once, or points of their paths
+SPREAD = 64  # tasks that share a block of incidents
 METRES_PER_DEGREE = 110_574.0  # least length of a degree of latitude
 
 
-def with_all_incidents(reports: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Every report with every incident; the incidents are broadcast.
+def with_all_incidents(reports: DataFrame, incidents: DataFrame, size: Column | None = None) -> DataFrame:
+    """Every report with every incident.
 
-    Their number is checked first: a broadcast side mustn't grow with the data.
-    Beyond the bound use ``search_area_join`` with a largest distance.
+    ``size``: what a row of ``incidents`` counts for (1; the length of its path).
+    Their sum is counted first: up to ``MAX_INCIDENTS`` the incidents are
+    broadcast. Beyond it they are dealt in blocks of about that size, each block to
+    ``SPREAD`` tasks that hold a share of the reports, by an equality join.
     """
-    n = incidents.limit(MAX_INCIDENTS + 1).count()
-    if n > MAX_INCIDENTS:
-        raise ValueError(f"more than {MAX_INCIDENTS} incidents: give a largest distance and use search_area_join")
-    return reports.crossJoin(F.broadcast(incidents))
+    total = incidents.agg(F.sum(F.lit(1) if size is None else size)).first()[0] or 0
+    if total <= MAX_INCIDENTS:
+        return reports.crossJoin(F.broadcast(incidents))
+    blocks = -(-total // MAX_INCIDENTS)
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = incidents.withColumn("block__", F.pmod(F.xxhash64("incident_id", "lon0", "lat0"), F.lit(blocks)).cast("int")).withColumn("share__", copies(SPREAD))
+    keyed = reports.withColumn("share__", F.pmod(F.xxhash64("vessel_id", "lon", "lat"), F.lit(SPREAD)).cast("int")).withColumn("block__", copies(int(blocks)))
+    return keyed.join(dealt, ["block__", "share__"]).drop("block__", "share__")
 
 
 def search_area_join(

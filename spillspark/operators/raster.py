@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spillspark.sources.workspace import shared_folder
+
 # Thresholds, floors and sizes of the detection chain.
 OIL, CORE = 0.50, 0.70
 NO_SIGNAL_DB, TOP_DB = -50.0, 5.0
@@ -88,12 +89,33 @@ def scene_stats(pixels: DataFrame, threshold: float = OIL) -> DataFrame:
     )
 
 
+PERCENTILES = (0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
+BINS = 4096
+
+
 def percentiles(pixels: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """Percentiles 10 to 99 of the probability per scene; the approximate form bounds memory."""
-    at = [0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
-    made = F.percentile("prob", F.array(*map(F.lit, at))) if exact else F.percentile_approx("prob", at, accuracy)
-    names = [f"p{round(100 * x)}" for x in at]
-    return pixels.groupBy("scene_id").agg(made.alias("p")).select("scene_id", *[F.get("p", i).alias(n) for i, n in enumerate(names)])
+    """Percentiles 10 to 99 of the probability per scene, between neighbours by share.
+
+    The exact form finds by a histogram of the scene in which bin each wanted
+    rank lies; only the distinct values of those bins are then counted. The
+    other form is approximate.
+    """
+    names = [f"p{round(100 * x)}" for x in PERCENTILES]
+    if not exact:
+        made = F.percentile_approx("prob", list(PERCENTILES), accuracy)
+        return pixels.groupBy("scene_id").agg(made.alias("p")).select("scene_id", *[F.get("p", i).alias(n) for i, n in enumerate(names)])
+    binned = pixels.where("prob is not null").select("scene_id", "prob", F.floor(F.col("prob") * BINS).alias("bin"))
+    scene = Window.partitionBy("scene_id")
+    hist = binned.groupBy("scene_id", "bin").agg(F.count(F.lit(1)).alias("c"))
+    hist = hist.withColumns({"upto": F.sum("c").over(scene.orderBy("bin")), "n": F.sum("c").over(scene)})
+    ranks = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.lit(x) * (F.col("n") - 1)).alias("at")) for n, x in zip(names, PERCENTILES, strict=True)]))
+    ends = F.explode(F.array(*[F.struct((F.floor("w.at") + k).alias("rank"), F.abs(1 - k - F.col("w.at") + F.floor("w.at")).alias("share")) for k in (0, 1)]))
+    wanted = hist.select("scene_id", "bin", "c", "upto", ranks.alias("w")).select("scene_id", "bin", "c", "upto", "w.name", ends.alias("e"))
+    wanted = wanted.select("scene_id", "bin", "name", "e.share", (F.col("e.rank") - F.col("upto") + F.col("c")).alias("k"), "c").where("k >= 0 and k < c and share > 0")
+    values = binned.join(wanted.select("scene_id", "bin").distinct(), ["scene_id", "bin"], "left_semi").groupBy("scene_id", "bin", "prob").agg(F.count(F.lit(1)).alias("m"))
+    values = values.withColumn("to", F.sum("m").over(Window.partitionBy("scene_id", "bin").orderBy("prob")))
+    found = wanted.join(values, ["scene_id", "bin"]).where("k >= to - m and k < to")
+    return found.groupBy("scene_id").agg(*[F.sum(F.when(F.col("name") == n, F.col("share") * F.col("prob"))).alias(n) for n in names])
 
 
 def downsample(pixels: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -114,29 +136,40 @@ def affine(r: Column, c: Column, a: float, b: float, x0: float, d: float, e: flo
 def mask_geometry(mask: DataFrame, transform: tuple[float, float, float, float, float, float]) -> DataFrame:
     """Area, perimeter, centroid and box of the oil pixels (scene_id, r, c, is_oil), per scene.
 
-    For transforms along the axes (b = d = 0). Perimeter: sides without an oil
-    neighbour, found by a join with the shifted pixels.
+    ``transform``: see ``affine``; it may turn and shear. Perimeter: sides without
+    an oil neighbour, found by a join with the shifted pixels.
     """
-    a, _, x0, _, e, y0 = transform
+    a, b, x0, d, e, y0 = transform
+    across, down = float(np.hypot(a, d)), float(np.hypot(b, e))  # lengths of a pixel's sides along its row and column
     oil = mask.where("is_oil = 1").select("scene_id", "r", "c")
-    around = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(size).alias("side")) for dr, dc, size in ((-1, 0, abs(a)), (1, 0, abs(a)), (0, -1, abs(e)), (0, 1, abs(e)))]))
+    around = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(size).alias("side")) for dr, dc, size in ((-1, 0, across), (1, 0, across), (0, -1, down), (0, 1, down))]))
     sides = oil.withColumn("n", around).select("scene_id", (F.col("r") + F.col("n.dr")).alias("r"), (F.col("c") + F.col("n.dc")).alias("c"), "n.side")
     perimeter = sides.join(oil, ["scene_id", "r", "c"], "left_anti").groupBy("scene_id").agg(F.sum("side").alias("perimeter_m"))
-    sums = oil.groupBy("scene_id").agg(F.count(F.lit(1)).alias("pixel_count"), F.avg("c").alias("mc"), F.avg("r").alias("mr"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("r").alias("r0"), F.max("r").alias("r1"))
-    xs, ys = [x0 + a * F.col("c0"), x0 + a * (F.col("c1") + 1)], [y0 + e * F.col("r0"), y0 + e * (F.col("r1") + 1)]
+    corners = [affine(F.col("r") + i, F.col("c") + j, *transform) for i in (0, 1) for j in (0, 1)]
+    xs, ys = [x for x, _ in corners], [y for _, y in corners]
+    sums = oil.groupBy("scene_id").agg(
+        F.count(F.lit(1)).alias("pixel_count"), F.avg("c").alias("mc"), F.avg("r").alias("mr"),
+        F.min(F.least(*xs)).alias("x_min"), F.min(F.least(*ys)).alias("y_min"), F.max(F.greatest(*xs)).alias("x_max"), F.max(F.greatest(*ys)).alias("y_max"),
+    )
+    centre = affine(F.col("mr") + 0.5, F.col("mc") + 0.5, *transform)
     scenes = mask.select("scene_id").distinct()
     return scenes.join(sums, "scene_id", "left").join(perimeter, "scene_id", "left").select(
         "scene_id",
         F.col("pixel_count").isNotNull().alias("has_oil"),
         F.coalesce("pixel_count", F.lit(0)).alias("pixel_count"),
-        F.coalesce(F.col("pixel_count") * abs(a * e), F.lit(0.0)).alias("area_m2"),
+        F.coalesce(F.col("pixel_count") * abs(a * e - b * d), F.lit(0.0)).alias("area_m2"),
         F.coalesce("perimeter_m", F.lit(0.0)).alias("perimeter_m"),
-        (x0 + a * (F.col("mc") + 0.5)).alias("centroid_x"),
-        (y0 + e * (F.col("mr") + 0.5)).alias("centroid_y"),
-        F.least(*xs).alias("x_min"), F.least(*ys).alias("y_min"), F.greatest(*xs).alias("x_max"), F.greatest(*ys).alias("y_max"),
+        centre[0].alias("centroid_x"), centre[1].alias("centroid_y"),
+        "x_min", "y_min", "x_max", "y_max",
     )
 
 
+def co_registered(prob: DataFrame, vv: DataFrame, vh: DataFrame) -> DataFrame:
+    """Probability, VV and VH rasters (scene_id, r, c, value) of one grid as one pixel table: the pixels that all have."""
+    on = ["scene_id", "r", "c"]
+    return prob.withColumnRenamed("value", "prob").join(vv.withColumnRenamed("value", "vv"), on).join(vh.withColumnRenamed("value", "vh"), on)
+
+
 # -- tiles --------------------------------------------------------------------
 
 
@@ -181,22 +214,32 @@ def score_tiles(tiles: DataFrame, make_predictor: Callable[[], Predictor], size:
 
 
 def label_tile(r: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """4-neighbour component of each pixel: position of the component's first pixel."""
-    key = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
-    up = list(range(len(key)))
+    """4-neighbour component of each pixel (sorted by row, column): position of its first pixel.
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for (a, b), i in key.items():
-        for n in ((a + 1, b), (a, b + 1)):
-            if n in key:
-                x, y = root(i), root(key[n])
-                up[max(x, y)] = min(x, y)
-    return np.array([root(i) for i in range(len(up))])
+    Stretches of a row are the nodes; those that touch in neighbouring rows take
+    the smallest number around and jump to its own, until nothing moves.
+    """
+    if not len(r):
+        return np.zeros(0, np.int64)
+    new = np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1)]
+    run = np.cumsum(new) - 1
+    width = int(c.max()) + 2
+    key = r.astype(np.int64) * width + c
+    below = np.searchsorted(key, key + width)
+    touch = np.flatnonzero(np.r_[key, -1][below] == key + width)
+    a, b = run[touch], run[below[touch]]
+    low = np.arange(run[-1] + 1)
+    while True:
+        least = np.minimum(low[a], low[b])
+        after = low.copy()
+        np.minimum.at(after, low[a], least)
+        np.minimum.at(after, low[b], least)
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        after = after[after]
+        if (after == low).all():
+            return np.flatnonzero(new)[low[run]]
+        low = after
 
 
 def tile_components(oil: DataFrame, size: int = 8) -> DataFrame:
@@ -216,7 +259,7 @@ def tile_components(oil: DataFrame, size: int = 8) -> DataFrame:
     return tiled.groupBy("scene_id", "tile").applyInPandas(run, "scene_id bigint, r bigint, c bigint, tile bigint, label bigint")
 
 
-def scene_components(oil: DataFrame, size: int = 8, every: int = 2, rounds: int = 40) -> DataFrame:
+def scene_components(oil: DataFrame, size: int = TILE, rounds: int = 40) -> DataFrame:
     """(scene_id, r, c, component): components over the whole scene.
 
     Tiles are labelled on their own; then only pairs of labels that touch over
@@ -225,11 +268,7 @@ def scene_components(oil: DataFrame, size: int = 8, every: int = 2, rounds: int
     joined once at the end.
     """
     local = tile_components(oil, size)
-    spark = oil.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        # The cluster's shared folder; one of our own only where none is set, as in tests.
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_folder(oil.sparkSession)
     local = local.checkpoint()
     border = local.where(f"r % {size} in (0, {size - 1}) or c % {size} in (0, {size - 1})")
     other = border.select("scene_id", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("tile").alias("tile2"), F.col("label").alias("label2"))
@@ -239,7 +278,7 @@ def scene_components(oil: DataFrame, size: int = 8, every: int = 2, rounds: int
         pairs = near if pairs is None else pairs.unionByName(near)
     both = pairs.unionByName(pairs.select("scene_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     now = both.select("scene_id", F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    for i in range(rounds):
+    for _ in range(rounds):
         step = both.join(now.select("scene_id", F.col("node").alias("b"), F.col("root").alias("rb")), ["scene_id", "b"]).groupBy("scene_id", F.col("a").alias("node")).agg(F.min("rb").alias("low"))
         low = now.join(step, ["scene_id", "node"]).select("scene_id", "node", F.least("root", "low").alias("root"), F.col("root").alias("was"))
         jump = low.select("scene_id", F.col("node").alias("root"), F.col("root").alias("next"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from math import pi
 
 from spillspark.functions import chain, geo
-from spillspark.sources.derived import AIS_SQL, DAY_US, INCIDENTS_SQL, PIXELS_SQL
+from spillspark.sources.derived import AIS_SQL, DAY_US, INCIDENTS_SQL, PIXELS_SQL, SPILLS_SQL
 
 AIS = f"ais AS ({AIS_SQL})"
 INC = f"inc AS ({INCIDENTS_SQL})"
+SPILL = f"inc AS ({SPILLS_SQL})"  # instead of INC
 PX = f"px AS ({PIXELS_SQL})"
 A = geo.A
 
@@ -67,6 +68,31 @@ def simulated(source: str, name: str, n: int, step_s: int, sign: int) -> str:
 )"""
 
 
+def hindcast(n: int) -> list[str]:
+    """Steps of an hour backward through the linear field, on UTM zone 52, step after step."""
+    radius, forward, inverse, latitude = geo._series()
+    e = (geo.FLATTENING * (2 - geo.FLATTENING)) ** 0.5
+    series = lambda k, f, g, a, b: " + ".join(f"{num(x)} * {f}({2 * (i + 1)} * {a}) * {g}({2 * (i + 1)} * {b})" for i, x in enumerate(k))
+    out = [
+        f"w1 AS (SELECT *, sin(radians(lat0)) AS s, radians(lon0 - 129.0e0) AS dl FROM inc)",
+        f"w2 AS (SELECT *, sinh(atanh(s) - {num(e)} * atanh({num(e)} * s)) AS t FROM w1)",
+        "w3 AS (SELECT *, atan2(t, cos(dl)) AS xi, asinh(sin(dl) / sqrt(t * t + cos(dl) * cos(dl))) AS eta FROM w2)",
+        f"p0 AS (SELECT incident_id, region_id, target_us, lon0 AS lon, lat0 AS lat, 500000.0e0 + {num(0.9996 * radius)} * (eta + {series(forward, 'cos', 'sinh', 'xi', 'eta')}) AS x, {num(0.9996 * radius)} * (xi + {series(forward, 'sin', 'cosh', 'xi', 'eta')}) AS y FROM w3)",
+    ]
+    for i in range(n + 1):
+        out.append(f"q{i} AS (SELECT *, 0.2500137e0 + 0.125e0 * ((lat - 27) / 2) + 0.03e0 * (region_id * 2.0e0 + (lon - 122) / 2) AS vx, region_id * -0.1250193e0 - 0.0000171e0 + 0.0625e0 * ((lon - 122) / 2) + 0.03e0 * (5.0e0 - (lat - 27) / 2) AS vy FROM p{i})")
+        if i < n:
+            out += [
+                f"m{i} AS (SELECT incident_id, region_id, target_us, x - vx * 3600 AS x, y - vy * 3600 AS y FROM q{i})",
+                f"n{i} AS (SELECT *, y / {num(0.9996 * radius)} AS xi, (x - 500000.0e0) / {num(0.9996 * radius)} AS eta FROM m{i})",
+                f"o{i} AS (SELECT *, xi - ({series(inverse, 'sin', 'cosh', 'xi', 'eta')}) AS a, eta - ({series(inverse, 'cos', 'sinh', 'xi', 'eta')}) AS b FROM n{i})",
+                f"r{i} AS (SELECT *, asin(sin(a) / cosh(b)) AS chi FROM o{i})",
+                f"p{i + 1} AS (SELECT incident_id, region_id, target_us, x, y, degrees(atan2(sinh(b), cos(a))) + 129 AS lon, degrees(chi + " + " + ".join(f"{num(k)} * sin({2 * (j + 1)} * chi)" for j, k in enumerate(latitude)) + f") AS lat FROM r{i})",
+            ]
+    out.append("way AS (" + " UNION ALL ".join(f"SELECT incident_id, {i}::INT AS step, target_us - {i * 3_600_000_000} AS us, lon, lat, vx, vy, {5000.0 + 300.0 * i}e0 AS radius_m FROM q{i}" for i in range(n + 1)) + ")")
+    return out
+
+
 LATEST = "latest AS (SELECT vessel_id, max(row(us, lon, lat, speed, coalesce(heading, -1))) AS m FROM ais GROUP BY vessel_id), last AS (SELECT a.vessel_id, a.us, a.lon, a.lat, a.speed, a.heading FROM ais a JOIN (SELECT vessel_id, max(us) AS us FROM ais GROUP BY vessel_id) b USING (vessel_id, us))"
 
 # -- search areas -------------------------------------------------------------
@@ -127,7 +153,10 @@ RISK = [
     round(d_spill / 1000, 2) AS d_spill_km, round(d_way / 1000, 2) AS d_trajectory_km, round(d_impact / 1000, 2) AS d_impact_km,
     (d_impact / 1000 <= radius_zone_km OR d_way / 1000 <= 3) AS inside_impact_zone,
     CASE WHEN speed_m_s > 0.05 THEN round(w.step * 600.0e0 / 60, 1) END AS slick_closest_minutes,
-    round(speed, 1) AS speed_knots, round(heading, 1) AS heading_deg, round(lon, 6) AS lon
+    round(speed, 1) AS speed_knots, round(heading, 1) AS heading_deg, round(lon, 6) AS lon,
+    CASE WHEN d_impact / 1000 <= radius_zone_km OR d_way / 1000 <= 3 THEN 'HIGH RISK: Vessel is directly within the predicted impact zone (' || printf('%.1f', round(d_way / 1000, 1)) || ' km from forecast path, ' || printf('%.1f', round(d_impact / 1000, 1)) || ' km from impact center). Immediate advisory warning and evasive action recommended.'
+      WHEN d_way / 1000 <= 10 THEN 'MEDIUM RISK: Vessel is within the 10 km warning corridor (' || printf('%.1f', round(d_way / 1000, 1)) || ' km from predicted drift track). Precautionary monitoring active.'
+      ELSE 'LOW RISK: Vessel is outside the immediate warning distance (' || printf('%.1f', round(d_way / 1000, 1)) || ' km from predicted track) but remains within the regional forecast domain.' END AS explanation
   FROM rp2 r JOIN wmin w USING (incident_id, vessel_id)
 )""",
 ]
@@ -197,6 +226,9 @@ ORACLE_SQL: dict[str, str] = {
     "evidence_sentences": q(*LITE, """SELECT incident_id, rank, vessel_id,
   CASE WHEN in_zone_count > 0 THEN 'Vessel AIS observations intersect the estimated source zone (' || in_zone_count || ' records within ' || printf('%.1f', round(radius_km, 1)) || ' km).'
     ELSE 'Closest approach is ' || printf('%.1f', round(d_source_km, 1)) || ' km from the estimated source centroid.' END AS line_1,
+  'Closest temporal approach occurred at ' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(closest_us), '%Y-%m-%dT%H:%M:%SZ') || ' (delta: ' || printf('%.1f', round(dt_days, 1)) || ' days from hindcast epoch).' AS line_2,
+  CASE WHEN record_count >= 2 THEN 'Reconstructed track contains ' || record_count || ' AIS points with mean speed ' || mean_speed || ' knots.'
+    ELSE 'Single isolated AIS transmission recorded (' || record_count || ' observation).' END AS line_4,
   'Minimum distance to reconstructed backward drift trajectory is ' || printf('%.1f', round(d_trajectory_km, 1)) || ' km.' AS line_3, 4::BIGINT AS n_categories
 FROM topped WHERE rank <= 3"""),
     "evidence_matrix": q(*LITE, """SELECT incident_id, f.factor,
@@ -206,7 +238,7 @@ FROM (SELECT incident_id, rank, unnest([{'factor': 'spatial', 'v': spatial_score
 FROM (SELECT incident_id, rank, unnest([{'factor': 'spatial', 'v': spatial_score}, {'factor': 'temporal', 'v': temporal_score}, {'factor': 'trajectory', 'v': trajectory_score}, {'factor': 'heading', 'v': heading_score}]) AS f FROM topped WHERE rank <= 3)"""),
     "candidate_details": q(*LITE, LATEST, DETAIL, """SELECT t.incident_id, t.rank, v.vessel_name, round(v.lon, 6) AS lon, round(v.lat, 6) AS lat, v.speed FROM topped t LEFT JOIN vessel v USING (vessel_id) WHERE t.rank <= 3"""),
     "contextual_traffic": q(*LITE, "SELECT vessel_id, CASE WHEN vessel_id IN (SELECT vessel_id FROM topped WHERE rank <= 3) THEN 'ranked' ELSE 'context' END AS kind FROM (SELECT DISTINCT vessel_id FROM ais)"),
-    "ais_area_window_summary": q(AIS, INC, near("inc", 48), summaries("near"), """SELECT incident_id, vessel_id, n, first_us, last_us, (last_us - first_us) / 1e6 AS duration_s, round(mean_speed, 3) AS mean_speed, round(heading_std, 3) AS heading_std, round(distance_m, 3) AS distance_m FROM summaries"""),
+    "ais_area_window_summary": q(AIS, INC, near("inc", 48), summaries("near"), """SELECT incident_id, vessel_id, n, first_us, last_us, (last_us - first_us) / 1e6 AS duration_s, round(mean_speed, 6) AS mean_speed, round(heading_std, 3) AS heading_std, round(distance_m, 3) AS distance_m FROM summaries"""),
     "prototype_scores": q(AIS, INC, near("inc", 48), summaries("near"), PROTOTYPE, "SELECT incident_id, vessel_id, rank, overall_score, spatial_proximity, temporal_proximity, trajectory_consistency, heading_consistency FROM proto_ranked"),
     "latest_position": q(AIS, LATEST, "SELECT vessel_id, us, round(lon, 6) AS lon, round(lat, 6) AS lat, speed, heading FROM last"),
     "track_legs": q(
@@ -226,25 +258,25 @@ FROM pts a JOIN pts b ON a.vessel_id = b.vessel_id AND b.k = least(a.k + 1, a.n
     sign((bx - ax) * (lat - ay) - (by_ - ay) * (lon - ax)) AS s1, sign((cx - bx) * (lat - by_) - (cy - by_) * (lon - bx)) AS s2, sign((ax - cx) * (lat - cy) - (ay - cy) * (lon - cx)) AS s3
   FROM ais a, corner k WHERE a.us BETWEEN target_us - {3 * DAY_US} AND target_us + {3 * DAY_US}
 )""", "SELECT incident_id, event_id, vessel_id FROM side WHERE s1 > 0 AND s2 > 0 AND s3 > 0"),
-    "drift_forward": q(INC, simulated("inc", "way", 24, 1800, 1), "SELECT incident_id, step, round(lon, 6) AS lon, round(lat, 6) AS lat, us, round(vx, 6) AS vx, round(vy, 6) AS vy FROM way"),
+    "drift_forward": q(SPILL, simulated("inc", "way", 24, 1800, 1), "SELECT incident_id, step, round(lon, 6) AS lon, round(lat, 6) AS lat, us, round(vx, 6) AS vx, round(vy, 6) AS vy FROM way"),
     "drift_backward": q(
-        INC, simulated("inc", "way", 24, 3600, -1),
+        SPILL, simulated("inc", "way", 24, 3600, -1),
         "leg AS (SELECT incident_id, step, lon, lat, us, coalesce(lag(lon) OVER w, lon) AS lon_b, coalesce(lag(lat) OVER w, lat) AS lat_b FROM way WINDOW w AS (PARTITION BY incident_id ORDER BY step))",
         geodesic("leg", "legs", "leg_m", "incident_id, step, lon, lat, us", "lon_b", "lat_b", "lon", "lat"),
         "SELECT incident_id, step, round(lon, 6) AS lon, round(lat, 6) AS lat, us, round(sum(leg_m) OVER (PARTITION BY incident_id ORDER BY step), 2) AS path_m FROM legs",
     ),
     "impact_zone": q(
-        INC, END, geodesic("ends", "told", "drift_m", "*", "lon0", "lat0", "end_lon", "end_lat"),
+        SPILL, END, geodesic("ends", "told", "drift_m", "*", "lon0", "lat0", "end_lon", "end_lat"),
         f"""SELECT incident_id, round(end_lon, 6) AS end_lon, round(end_lat, 6) AS end_lat, radius_zone_km, round(speed_m_s, 4) AS speed_m_s,
   CASE WHEN speed_m_s < 1e-6 THEN 'Stationary' ELSE list_extract({geo.COMPASS!r}, (floor((((degrees(atan2(vx, vy)) + 360) % 360) + 11.25) / 22.5)::INT % 16) + 1) END AS direction,
   round(drift_m / 1000, 4) AS drift_km, 129::BIGINT AS n_ring, round(degrees((mx + 5000.0e0 * cos({-pi / 2!r}e0)) / {A!r}e0), 6) AS south_lon,
   round(degrees(2 * atan(exp((my - 5000.0e0) / {A!r}e0)) - {pi / 2!r}e0), 6) AS south_lat FROM told""",
     ),
-    "vessel_risk": q(*RISK, "SELECT incident_id, vessel_id, risk_level, d_spill_km, d_trajectory_km, d_impact_km, inside_impact_zone, slick_closest_minutes, speed_knots, heading_deg FROM risk"),
+    "vessel_risk": q(*RISK, "SELECT incident_id, vessel_id, risk_level, d_spill_km, d_trajectory_km, d_impact_km, inside_impact_zone, slick_closest_minutes, speed_knots, heading_deg, explanation FROM risk"),
     "risk_counts": q(*RISK, "SELECT incident_id, count_if(risk_level = 'HIGH')::BIGINT AS n_high, count_if(risk_level = 'MEDIUM')::BIGINT AS n_medium, count_if(risk_level = 'LOW')::BIGINT AS n_low FROM risk GROUP BY incident_id"),
     "risk_features": q(*RISK, "SELECT incident_id, vessel_id, risk_level, lon FROM risk"),
-    "kpi_overview": q(INC, "SELECT count(*)::BIGINT AS n_incidents, count_if(radius_km >= 35)::BIGINT AS n_high, round(sum(radius_km * radius_km), 1) AS area_km2 FROM inc"),
-    "grid_interpolate": q(INC, GRID, """axis AS (
+    "kpi_overview": q(SPILL, "SELECT count(*)::BIGINT AS n_incidents, count_if(radius_km >= 35)::BIGINT AS n_high, round(sum(radius_km * radius_km), 1) AS area_km2 FROM inc"),
+    "grid_interpolate": q(SPILL, GRID, """axis AS (
   SELECT incident_id, region_id AS field_id, lon0, lat0, floor((lon0 - 123.0e0) / 0.75e0) AS ix, floor((lat0 - 28.5e0) / 0.5e0) AS jy FROM inc
 ), t AS (SELECT *, (lon0 - 123.0e0 - ix * 0.75e0) / 0.75e0 AS tx, (lat0 - 28.5e0 - jy * 0.5e0) / 0.5e0 AS ty FROM axis
 )""", """SELECT incident_id, t.field_id,
@@ -266,20 +298,18 @@ FROM t JOIN grid g ON g.field_id = t.field_id AND abs(g.lon - 123.0e0 - (ix + 0.
     avg((3 * r0 + 2 * (r1 + 1)) / 5) AS centroid_r, avg((3 * c0 + 2 * (c1 + 1)) / 5) AS centroid_c FROM geometry GROUP BY scene_id
 )""", "SELECT scene_id, n_components, round(area_m2, 4) AS area_m2, perimeter_m, r0, r1, c0, c1, round(centroid_r, 4) AS centroid_r, round(centroid_c, 4) AS centroid_c, n_oil, n_core, round(area_m2 * n_core / greatest(n_oil, 1), 4) AS core_area_m2 FROM totals JOIN counts USING (scene_id)", recursive=True),
     "tile_scoring": q(PX, "SELECT scene_id, r, c, round(vv / (1 + vv + vh), 6) AS prob, (vv / (1 + vv + vh) >= 0.5)::INT AS is_oil FROM px"),
-    "incident_readiness": q(INC, """f AS (
+    "incident_readiness": q(SPILL, """f AS (
   SELECT incident_id, u.kind AS kind, u.present AS present FROM (SELECT incident_id, unnest([
     {'kind': 'ais', 'present': (incident_id + 1) % 2 <> 0 OR (incident_id + 1) % 3 <> 0},
     {'kind': 'wind', 'present': (incident_id + 1) % 4 <> 0}, {'kind': 'vv', 'present': (incident_id + 1) % 5 <> 0}]) AS u FROM inc)
 )""", """SELECT incident_id, CASE WHEN bool_and(present) AND incident_id % 6 <> 0 THEN 'ready' ELSE 'missing_inputs' END AS status, count_if(NOT present)::BIGINT AS n_missing,
   coalesce(string_agg(CASE WHEN NOT present THEN kind END, ',' ORDER BY kind), '') AS missing FROM f GROUP BY incident_id"""),
     "incremental_pending": q(AIS, INC, PAIRS, MEASURED, FOUND, "SELECT incident_id, name FROM inc WHERE incident_id NOT IN (SELECT incident_id FROM evidence WHERE d_source_km <= 2)"),
-    "geojson_features": q(INC, simulated("inc", "way", 3, 3600, 1), """SELECT incident_id, 1 AS kind, step, 'Point' AS geometry_type, step::BIGINT AS told_step FROM way
+    "geojson_features": q(SPILL, simulated("inc", "way", 3, 3600, 1), """SELECT incident_id, 1 AS kind, step, 'Point' AS geometry_type, step::BIGINT AS told_step FROM way
 UNION ALL SELECT incident_id, 0, NULL, 'LineString', NULL FROM inc"""),
     "report_facts": q(*LITE, f"SELECT i.incident_id, i.name, round(i.lon0, 6) AS lon0, round(i.lat0, 6) AS lat0, round({pi!r}e0 * i.radius_km * i.radius_km, 2) AS area_km2, t.vessel_id, t.score, 4::BIGINT AS n_evidence FROM inc i LEFT JOIN topped t ON t.incident_id = i.incident_id AND t.rank = 1"),
     "candidate_distances": q(AIS, INC, LATEST, "d AS (SELECT incident_id, vessel_id, sqrt(power((lon - lon0) * 111.0e0 * cos(radians(lat0)), 2) + power((lat - lat0) * 111.0e0, 2)) AS km FROM last, inc)", "SELECT incident_id, vessel_id, round(km, 4) AS flat_km FROM d WHERE km <= 60"),
-    "hindcast_grid": q(INC, """field AS (
-  SELECT incident_id, lon0, lat0, target_us, 0.25e0 + 0.03e0 * region_id * 2.0e0 AS vx, region_id * -0.125e0 + 0.03e0 * 5.0e0 AS vy FROM inc
-)""", "SELECT incident_id, s.step::INT AS step, target_us - s.step * 3600000000 AS us, round(vx, 6) AS vx, round(vy, 6) AS vy, 5000.0e0 + 300.0e0 * s.step AS radius_m FROM field, (SELECT unnest(range(0, 11)) AS step) s"),
+    "hindcast_grid": q(SPILL, *hindcast(3), "SELECT incident_id, step, us, round(lon, 5) AS lon, round(lat, 5) AS lat, round(vx, 5) AS vx, round(vy, 5) AS vy, radius_m FROM way"),
     "mask_to_candidates": q(
         AIS, PX, MASK, _mask_geometry(0.01, 124.5, -0.005, 30.8),
         f"start AS (SELECT scene_id AS incident_id, centroid_x AS lon0, centroid_y AS lat0, {10 * DAY_US} AS target_us, 4.0e0 AS wind_u, -2.0e0 AS wind_v, 0.2e0 AS cur_u, 0.1e0 AS cur_v FROM outline WHERE has_oil)",

@@ -18,6 +18,10 @@ def _incidents(spark: SparkSession, d: str) -> DataFrame:
     return derived.incidents(spark, d)
 
 
+def _spills(spark: SparkSession, d: str) -> DataFrame:
+    return derived.spills(spark, d)
+
+
 def _r(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -48,7 +52,7 @@ def _top(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
 
 def evidence_sentences(spark: SparkSession, d: str) -> DataFrame:
     told = attribution.categories(attribution.evidence_lines(_top(spark, d)))
-    return told.select("incident_id", "rank", "vessel_id", F.get("evidence", 0).alias("line_1"), F.get("evidence", 2).alias("line_3"), F.size("by_category").cast("bigint").alias("n_categories"))
+    return told.select("incident_id", "rank", "vessel_id", *[F.get("evidence", i).alias(f"line_{i + 1}") for i in range(4)], F.size("by_category").cast("bigint").alias("n_categories"))
 
 
 def evidence_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +100,8 @@ def prototype_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def ais_area_window_summary(spark: SparkSession, d: str) -> DataFrame:
     cols = ["incident_id", "vessel_id", "n", "first_us", "last_us", "duration_s", "mean_speed", "heading_std", "distance_m"]
-    return _r(_summaries(spark, d).select(*cols), 3, "mean_speed", "heading_std", "distance_m")
+    # Means of values with two places have no ties at the sixth.
+    return _r(_r(_summaries(spark, d).select(*cols), 6, "mean_speed"), 3, "heading_std", "distance_m")
 
 
 def latest_position(spark: SparkSession, d: str) -> DataFrame:
@@ -143,22 +148,22 @@ def polygon_window_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drift_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _r(drift.simulate(_incidents(spark, d), 12, 1800).select("incident_id", "step", "lon", "lat", "us", "vx", "vy"), 6, "lon", "lat", "vx", "vy")
+    return _r(drift.simulate(_spills(spark, d), 12, 1800).select("incident_id", "step", "lon", "lat", "us", "vx", "vy"), 6, "lon", "lat", "vx", "vy")
 
 
 def drift_backward(spark: SparkSession, d: str) -> DataFrame:
-    steps = drift.path_totals(drift.simulate(_incidents(spark, d), 24, 3600, direction="backward"))
+    steps = drift.path_totals(drift.simulate(_spills(spark, d), 24, 3600, direction="backward"))
     return _r(_r(steps.select("incident_id", "step", "lon", "lat", "us", "path_m"), 6, "lon", "lat"), 2, "path_m")
 
 
 def impact_zone(spark: SparkSession, d: str) -> DataFrame:
-    _, end = risk.forecast(_incidents(spark, d), 6)
+    _, end = risk.forecast(_spills(spark, d), 6)
     out = end.select("incident_id", "end_lon", "end_lat", "radius_zone_km", "speed_m_s", "direction", (F.col("drift_m") / 1000).alias("drift_km"), F.size("ring").cast("bigint").alias("n_ring"), F.get("ring", 32)["x"].alias("south_lon"), F.get("ring", 32)["y"].alias("south_lat"))
     return _r(_r(out, 6, "end_lon", "end_lat", "south_lon", "south_lat"), 4, "speed_m_s", "drift_km")
 
 
 def vessel_risk(spark: SparkSession, d: str) -> DataFrame:
-    return risk.assess(_reports(spark, d), _incidents(spark, d)).drop("explanation", "lon", "lat", "risk_rank")
+    return risk.assess(_reports(spark, d), _incidents(spark, d)).drop("lon", "lat", "risk_rank")
 
 
 def risk_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +172,7 @@ def risk_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def kpi_overview(spark: SparkSession, d: str) -> DataFrame:
     """Incidents by severity, and their source areas."""
-    one = _incidents(spark, d).withColumns({"severity": F.when(F.col("radius_km") >= 35, "HIGH").when(F.col("radius_km") >= 25, "MEDIUM").otherwise("LOW"), "area_km2": F.col("radius_km") * F.col("radius_km")})
+    one = _spills(spark, d).withColumns({"severity": F.when(F.col("radius_km") >= 35, "HIGH").when(F.col("radius_km") >= 25, "MEDIUM").otherwise("LOW"), "area_km2": F.col("radius_km") * F.col("radius_km")})
     good = one.where(F.col("lat0").between(-90, 90) & F.col("lon0").between(-180, 180))
     return good.agg(F.count(F.lit(1)).alias("n_incidents"), F.count_if(F.col("severity") == "HIGH").alias("n_high"), F.round(F.sum("area_km2"), 1).alias("area_km2"))
 
@@ -178,24 +183,27 @@ def kpi_overview(spark: SparkSession, d: str) -> DataFrame:
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     """A 10 x 10 grid per region around the incidents, latitudes descending on input."""
     i = spark.range(100).select(F.expr("cast(id div 10 AS int)").alias("iy"), F.expr("cast(id % 10 AS int)").alias("ix"))
-    regions = _incidents(spark, d).select(F.col("region_id").alias("field_id")).distinct()
+    regions = _spills(spark, d).select(F.col("region_id").alias("field_id")).distinct()
     at = regions.join(F.broadcast(i)).withColumns({"lat": 33.0 - F.col("iy") * 0.5, "lon": 123.0 + F.col("ix") * 0.75})
     return at.select("field_id", "lat", "lon", ((F.col("ix") - 4) * 0.5 + F.col("field_id") * 0.25).alias("u"), ((F.col("iy") - 3) * 0.25 + F.col("ix") * 0.125).alias("v"))
 
 
 def grid_interpolate(spark: SparkSession, d: str) -> DataFrame:
-    points = _incidents(spark, d).select("incident_id", F.col("region_id").alias("field_id"), F.col("lon0").alias("lon"), F.col("lat0").alias("lat"))
+    points = _spills(spark, d).select("incident_id", F.col("region_id").alias("field_id"), F.col("lon0").alias("lon"), F.col("lat0").alias("lat"))
     return _r(drift.interpolate(points, _grid(spark, d)).select("incident_id", "field_id", "u", "v"), 6, "u", "v")
 
 
 def hindcast_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Backward drift through a grid that is the same everywhere, so SQL can say it too."""
+    """Backward drift through winds and currents that vary with the place, field by field.
+
+    They are linear in it, so that bilinear values are exact and SQL can say them.
+    """
     i = spark.range(16).select(F.expr("cast(id div 4 AS double)").alias("y"), F.expr("cast(id % 4 AS double)").alias("x"))
-    starts = _incidents(spark, d).select("incident_id", F.col("region_id").alias("field_id"), "lon0", "lat0", "target_us")
-    fields = _incidents(spark, d).select(F.col("region_id").alias("field_id")).distinct()
-    grid = fields.join(F.broadcast(i)).select("field_id", (20 + 8 * F.col("y")).alias("lat"), (110 + 10 * F.col("x")).alias("lon"), (F.col("field_id") * 2.0).alias("wind_u"), F.lit(5.0).alias("wind_v"), F.lit(0.25).alias("cur_u"), (F.col("field_id") * -0.125).alias("cur_v"))
-    out = drift.hindcast(starts, grid, 10, 3600, salts=2)
-    return _r(_r(out.select("incident_id", "step", "us", "vx", "vy", "radius_m"), 6, "vx", "vy"), 6, "radius_m")
+    starts = _spills(spark, d).select("incident_id", F.col("region_id").alias("field_id"), "lon0", "lat0", "target_us")
+    fields = _spills(spark, d).select(F.col("region_id").alias("field_id")).distinct()
+    grid = fields.join(F.broadcast(i)).select("field_id", (27 + 2 * F.col("y")).alias("lat"), (122 + 2 * F.col("x")).alias("lon"), (F.col("field_id") * 2.0 + F.col("x")).alias("wind_u"), (5.0 - F.col("y")).alias("wind_v"), (0.2500137 + 0.125 * F.col("y")).alias("cur_u"), (F.col("field_id") * -0.1250193 - 0.0000171 + 0.0625 * F.col("x")).alias("cur_v"))
+    out = drift.hindcast(starts, grid, 3, 3600, salts=8)
+    return _r(_r(out.select("incident_id", "step", "us", "lon", "lat", "vx", "vy", "radius_m"), 5, "lon", "lat", "vx", "vy"), 6, "radius_m")
 
 
 # -- raster -------------------------------------------------------------------
@@ -285,7 +293,7 @@ def tile_scoring(spark: SparkSession, d: str) -> DataFrame:
 def incident_readiness(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("incident_id")
     name = lambda k, ext: F.concat(F.lit(f"{k}_"), n.cast("string"), F.lit(ext))
-    incidents = _incidents(spark, d).withColumn("expected_files", F.create_map(F.lit("ais"), name("ais", ".json"), F.lit("wind"), name("wind", ".nc"), F.lit("vv"), name("vv", ".tif")))
+    incidents = _spills(spark, d).withColumn("expected_files", F.create_map(F.lit("ais"), name("ais", ".json"), F.lit("wind"), name("wind", ".nc"), F.lit("vv"), name("vv", ".tif")))
     kinds = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), e.alias("name")) for m, e in ((2, F.lit("ais.csv")), (3, name("ais", ".json")), (4, name("wind", ".nc")), (5, name("vv", ".tif")))]))
     listing = incidents.select("incident_id", kinds.alias("f")).where((F.col("incident_id") + 1) % F.col("f.m") != 0).select("incident_id", "f.name")
     ready = catalog.readiness(catalog.files_present(incidents, listing), incidents.select("incident_id", (n % 6 != 0).alias("model_present")))
@@ -294,12 +302,13 @@ def incident_readiness(spark: SparkSession, d: str) -> DataFrame:
 
 def incremental_pending(spark: SparkSession, d: str) -> DataFrame:
     """Incidents to which no vessel has come within two kilometres."""
-    done = attribution.evidence(_reports(spark, d), _incidents(spark, d)).where("d_source_km <= 2")
+    near = joins.search_area_join(_reports(spark, d), _incidents(spark, d).withColumn("within_km", F.lit(2.01)), "within_km")
+    done = near.where(F.round(F.col("d_m") / 1000, 2) <= 2)
     return catalog.pending(_incidents(spark, d), done).select("incident_id", "name")
 
 
 def geojson_features(spark: SparkSession, d: str) -> DataFrame:
-    steps = drift.simulate(_incidents(spark, d), 3, 3600)
+    steps = drift.simulate(_spills(spark, d), 3, 3600)
     f = sinks.trajectory_features(steps)
     return f.select("incident_id", "kind", "step", F.get_json_object("feature", "$.geometry.type").alias("geometry_type"), F.get_json_object("feature", "$.properties.step").cast("bigint").alias("told_step"))
 
@@ -319,7 +328,9 @@ def report_facts(spark: SparkSession, d: str) -> DataFrame:
 def candidate_distances(spark: SparkSession, d: str) -> DataFrame:
     """Candidates within 60 km of the origin, by the flat-earth distance of the map view."""
     last = tracks.latest(_reports(spark, d))
-    pairs = joins.with_all_incidents(last.select("vessel_id", "lon", "lat"), _incidents(spark, d).select("incident_id", "lon0", "lat0"))
+    # The flat distance is within two hundredths of the geodesic: cells for 62 km hold all of 60.
+    places = last.select("vessel_id", "lon", "lat", "us")
+    pairs = joins.search_area_join(places, _incidents(spark, d).select("incident_id", "lon0", "lat0", F.lit(62.0).alias("within_km")), "within_km")
     km = geo.equirectangular_km(F.col("lon0"), F.col("lat0"), F.col("lon"), F.col("lat"))
     return _r(pairs.withColumn("flat_km", km).where("flat_km <= 60").select("incident_id", "vessel_id", "flat_km"), 4, "flat_km")
 

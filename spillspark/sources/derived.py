@@ -33,6 +33,17 @@ SELECT cast(n_nationkey AS bigint) AS incident_id, n_name AS name,
 FROM {nation}
 """
 
+_SPILLS = """
+SELECT c_custkey AS incident_id, c_name AS name,
+  124.5e0 + (c_custkey * 41 % 97) * 0.025e0 AS lon0, 29.2e0 + (c_custkey * 29 % 89) * 0.017e0 AS lat0,
+  (2 + c_custkey % 25) * cast(86400000000 AS bigint) AS target_us,
+  20.0e0 + (c_custkey % 5) * 5 AS radius_km,
+  (c_custkey % 7 - 3) * 1.5e0 AS wind_u, (c_custkey % 5 - 2) * 2.0e0 AS wind_v,
+  (c_custkey % 3 - 1) * 0.3e0 AS cur_u, (c_custkey % 4 - 1) * 0.2e0 AS cur_v,
+  cast(c_nationkey % 5 AS bigint) AS region_id
+FROM {customer}
+"""
+
 _PIXELS = """
 SELECT p.vec_id, p.scene_id, p.tile_row, p.tile_col,
   p.tile_row * 8 + p.k {div} 8 AS r, p.tile_col * 8 + p.k % 8 AS c,
@@ -54,6 +65,7 @@ FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM e
 #: The same tables as text for DuckDB.
 AIS_SQL = _AIS.format(string="varchar", us="epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')", events="events")
 INCIDENTS_SQL = _INCIDENTS.format(nation="nation")
+SPILLS_SQL = _SPILLS.format(customer="customer")
 PIXELS_SQL = _PIXELS.format(div="//", exploded=_EXPLODED_SQL)
 
 
@@ -84,6 +96,11 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_INCIDENTS.format(nation=_view(spark, sf_dir, "nation")))
 
 
+def spills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slicks, one per customer: as many as the tables are large, with the columns of ``incidents``."""
+    return spark.sql(_SPILLS.format(customer=_view(spark, sf_dir, "customer")))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene_id, tile, global row r and column c, prob, vv, vh: 8 x 8 tiles, 16 across, 32 down."""
     return spark.sql(_PIXELS.format(div="div", exploded=_EXPLODED_SPARK.format(embeddings=_view(spark, sf_dir, "embeddings"))))

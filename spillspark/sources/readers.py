@@ -106,15 +106,51 @@ def normalised(df: DataFrame, observed: Column | None = None) -> DataFrame:
     return kept.withColumn("us", F.unix_micros("ts") - base).withColumns({"timestamp": F.col("ts"), "timestamp_utc": F.col("ts")})
 
 
+def summaries(df: DataFrame) -> DataFrame:
+    """Vessel summaries with aliased fields to vessel_id, first_ts, distance_m, speed, heading.
+
+    The first readable time counts, in the order of its names; a missing distance is 0 m.
+    """
+    times = [parse_time(F.col(c)) for c in SUMMARY_TIME_ALIASES if c in df.columns]
+    metres = [F.expr(f"try_cast(`{c}` AS double)") * unit for c, unit in DISTANCE_ALIASES if c in df.columns]
+    return df.select(
+        vessel_key(df).alias("vessel_id"),
+        (F.coalesce(*times) if times else F.lit(None).cast("timestamp")).alias("first_ts"),
+        F.coalesce(*metres, F.lit(0.0)).alias("distance_m"),
+        pick(df, SPEED_ALIASES, "double").alias("speed"), pick(df, HEADING_ALIASES, "double").alias("heading"),
+    )
+
+
+def analysis_view(results: DataFrame) -> DataFrame:
+    """Nested analysis results to one flat row each, with the box as a closed polygon ring.
+
+    ``results``: analysis_id, status, spill struct<area_m2, perimeter_m,
+    centroid struct<x, y>, bbox array of x_min, y_min, x_max, y_max>, candidates
+    array of struct<vessel_id, score>.
+    """
+    x0, y0, x1, y1 = (F.get("spill.bbox", i) for i in range(4))
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1), corner(x0, y0))
+    return results.select(
+        "analysis_id", "status", F.col("spill.area_m2").alias("area_m2"), F.col("spill.perimeter_m").alias("perimeter_m"),
+        F.col("spill.centroid.x").alias("lon"), F.col("spill.centroid.y").alias("lat"),
+        F.when(F.size("spill.bbox") == 4, ring).alias("polygon"),
+        F.coalesce(F.size("candidates"), F.lit(0)).alias("n_candidates"), F.get("candidates", 0)["vessel_id"].alias("top_vessel"), F.get("candidates", 0)["score"].alias("top_score"),
+    )
+
+
 def ais_json(spark: SparkSession, path: str) -> DataFrame:
     """Position reports from a JSON array; a missing speed is 0."""
     return normalised(spark.read.json(path, multiLine=True)).withColumn("speed", F.coalesce("speed", F.lit(0.0)))
 
 
 def environment_json(spark: SparkSession, path: str) -> DataFrame:
-    """{"wind": [u, v], "current": [u, v]} to four columns."""
+    """{"wind": [u, v], "current": [u, v]} of one file or a folder of files to four columns.
+
+    Columns that the folders' names give (region_id=3) come first.
+    """
     raw = spark.read.schema("wind array<double>, current array<double>").json(path, multiLine=True)
-    return raw.select(F.get("wind", 0).alias("wind_u"), F.get("wind", 1).alias("wind_v"), F.get("current", 0).alias("cur_u"), F.get("current", 1).alias("cur_v"))
+    return raw.select(*[c for c in raw.columns if c not in ("wind", "current")], F.get("wind", 0).alias("wind_u"), F.get("wind", 1).alias("wind_v"), F.get("current", 0).alias("cur_u"), F.get("current", 1).alias("cur_v"))
 
 
 def grid_table(df: DataFrame) -> DataFrame:
@@ -135,18 +171,25 @@ def vector_grids(df: DataFrame) -> DataFrame:
     return cells.select("grid_id", "bounds", F.expr("k div width").alias("row"), F.expr("k % width").alias("col"), "x.u", "x.v")
 
 
-def calibration_xml(spark: SparkSession, path: str, scene_id: int, pol: str) -> DataFrame:
-    """Calibration vectors of an annotation file to (scene_id, pol, line, pixel, a_sigma)."""
+def _scene(scene_id: int | None) -> Column:
+    return (F.col("scene_id") if scene_id is None else F.lit(scene_id)).cast("bigint").alias("scene_id")
+
+
+def calibration_xml(spark: SparkSession, path: str, scene_id: int | None, pol: str) -> DataFrame:
+    """Calibration vectors of annotation files to (scene_id, pol, line, pixel, a_sigma).
+
+    Without ``scene_id`` the files' folders name it (scene_id=3).
+    """
     raw = spark.read.schema("line bigint, pixel string, sigmaNought string").option("rowTag", "calibrationVector").format("xml").load(path)
     numbers = lambda c: F.transform(F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
-    z = raw.select("line", F.explode(F.arrays_zip(numbers(F.col("pixel")).alias("pixel"), numbers(F.col("sigmaNought")).alias("a"))).alias("z"))
-    return z.select(F.lit(scene_id).cast("bigint").alias("scene_id"), F.lit(pol).alias("pol"), "line", F.col("z.pixel").cast("bigint").alias("pixel"), F.col("z.a").alias("a_sigma"))
+    z = raw.select(_scene(scene_id), "line", F.explode(F.arrays_zip(numbers(F.col("pixel")).alias("pixel"), numbers(F.col("sigmaNought")).alias("a"))).alias("z"))
+    return z.select("scene_id", F.lit(pol).alias("pol"), "line", F.col("z.pixel").cast("bigint").alias("pixel"), F.col("z.a").alias("a_sigma"))
 
 
-def geolocation_xml(spark: SparkSession, path: str, scene_id: int) -> DataFrame:
-    """Tie points of an annotation file to (scene_id, line, pixel, lat, lon)."""
+def geolocation_xml(spark: SparkSession, path: str, scene_id: int | None) -> DataFrame:
+    """Tie points of annotation files to (scene_id, line, pixel, lat, lon); see ``calibration_xml``."""
     raw = spark.read.schema("line bigint, pixel bigint, latitude double, longitude double").option("rowTag", "geolocationGridPoint").format("xml").load(path)
-    return raw.select(F.lit(scene_id).cast("bigint").alias("scene_id"), "line", "pixel", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    return raw.select(_scene(scene_id), "line", "pixel", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
 
 
 def pixel_positions(pixels: DataFrame, ties: DataFrame) -> DataFrame:
@@ -159,14 +202,14 @@ def pixel_positions(pixels: DataFrame, ties: DataFrame) -> DataFrame:
     return out.select(F.col("field_id").alias("scene_id"), F.col("lat").alias("line"), F.col("lon").alias("pixel"), F.col("u").alias("lon"), F.col("v").alias("lat"))
 
 
-def incident_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """metadata.json of every folder under ``root``; unreadable files are left out, sorted by id."""
+def incident_metadata(spark: SparkSession, root: str, name: str = "metadata.json") -> DataFrame:
+    """The file ``name`` of every folder under ``root``; unreadable files are left out, sorted by id."""
     schema = (
         "incident_id string, name string, description string, observation_time string, location struct<region:string,approximate_latitude:double,approximate_longitude:double>, "
         "timeline struct<collision_date:string,sinking_date:string,sar_observation:string>, expected_files map<string,string>, "
         "source_metadata struct<satellite:string,polarizations:array<string>,mode:string,product_type:string>, _corrupt_record string"
     )
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{root}/*/metadata.json")
+    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{root}/*/{name}")
     return raw.where("_corrupt_record is null and incident_id is not null").drop("_corrupt_record").orderBy("incident_id")
 
 

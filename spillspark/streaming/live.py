@@ -56,12 +56,12 @@ def latest_positions(reports: DataFrame, late: str = "10 minutes", idle: str = "
 def alerts(positions: DataFrame, waypoints: DataFrame) -> DataFrame:
     """Positions near a forecast path: stream-static join, tier by the nearest waypoint.
 
-    ``waypoints``: incident_id, lon, lat (a batch table, broadcast up to a
-    checked size). Waypoints of an incident are one array, so the stream's rows
+    ``waypoints``: incident_id, lon, lat (a batch table, its rows are
+    counted and broadcast up to a bound). Waypoints of an incident are one array, so the stream's rows
     don't multiply by steps.
     """
-    if waypoints.select("incident_id").distinct().limit(MAX_INCIDENTS + 1).count() > MAX_INCIDENTS:
-        raise ValueError("too many incidents to broadcast")
+    if waypoints.limit(MAX_INCIDENTS + 1).count() > MAX_INCIDENTS:
+        raise ValueError("too many waypoints to broadcast: divide the incidents over several streams")
     paths = waypoints.groupBy("incident_id").agg(F.collect_list(F.struct("lon", "lat")).alias("path"))
     pairs = positions.crossJoin(F.broadcast(paths))
     near = F.array_min(F.transform("path", lambda p: geo.haversine(F.col("lon"), F.col("lat"), p["lon"], p["lat"]))) / 1000

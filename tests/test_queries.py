@@ -27,7 +27,7 @@ def rows(table):
 @pytest.mark.parametrize("name", registry.NAMES)
 def test_query(spark, name):
     c = duckdb.connect()
-    for t in ("events", "embeddings", "nation"):
+    for t in ("events", "embeddings", "nation", "customer", "supplier", "orders", "part"):
         c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, D).toArrow(), c.execute(registry.ORACLE_SQL[name]).to_arrow_table()
     a, b = rows(got), rows(want)
