@@ -194,20 +194,27 @@ def score_tiles(tiles: DataFrame, make_predictor: Callable[[], Predictor], size:
     """Probability and mask per pixel of tile rows (scene_id, row_off, col_off, valid_h, valid_w, vv, vh).
 
     The predictor is made once per task. Tiles at the edge are padded by
-    reflection to ``size`` and cut back. Rows stream through, tile by tile.
+    reflection to ``size`` and cut back. Rows stream through, tile by tile. With
+    a column ``at`` (numbers of the pixels in ``vv`` and ``vh``, row by row) a tile
+    may lack pixels: they are zero to the predictor and get no row.
     """
+    fields = ["scene_id", "row_off", "col_off", "valid_h", "valid_w", "vv", "vh", *(["at"] if "at" in tiles.columns else [])]
+
+    def band(values: np.ndarray, at: np.ndarray, h: int, w: int) -> np.ndarray:
+        whole = np.zeros(h * w)
+        whole[at] = np.asarray(values, float)
+        return np.pad(whole.reshape(h, w), ((0, size - h), (0, size - w)), mode="symmetric" if min(h, w) == 1 else "reflect")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = make_predictor()
         for batch in batches:
             for t in batch.itertuples(index=False):
                 h, w = int(t.valid_h), int(t.valid_w)
-                bands = [np.pad(np.asarray(x, float).reshape(h, w), ((0, size - h), (0, size - w)), mode="symmetric" if min(h, w) == 1 else "reflect") if h <= size and w <= size else None for x in (t.vv, t.vh)]
-                p = predict(*bands)[:h, :w]
-                r, c = np.indices((h, w))
-                yield pd.DataFrame({"scene_id": t.scene_id, "r": r.ravel() + t.row_off, "c": c.ravel() + t.col_off, "prob": p.ravel(), "is_oil": (p.ravel() >= threshold).astype(int)})
+                at = np.asarray(t.at, np.int64) if "at" in fields else np.arange(h * w)
+                p = predict(band(t.vv, at, h, w), band(t.vh, at, h, w))[:h, :w].ravel()[at]
+                yield pd.DataFrame({"scene_id": t.scene_id, "r": at // w + t.row_off, "c": at % w + t.col_off, "prob": p, "is_oil": (p >= threshold).astype(int)})
 
-    return tiles.select("scene_id", "row_off", "col_off", "valid_h", "valid_w", "vv", "vh").mapInPandas(run, "scene_id bigint, r bigint, c bigint, prob double, is_oil int")
+    return tiles.select(*fields).mapInPandas(run, "scene_id bigint, r bigint, c bigint, prob double, is_oil int")
 
 
 # -- components ---------------------------------------------------------------
@@ -329,7 +336,8 @@ def outlines(labelled: DataFrame) -> DataFrame:
     """Boundary rings per component as arrays of corner points, outer rings and holes.
 
     Directed sides with oil on their left come from an anti-join; the sides of
-    one component are joined into rings in one task, which is that shape's size.
+    one component are joined into rings in one task, which is that shape's
+    size. Components that begin in one tile share a task's group.
     """
     cell = labelled.select("scene_id", "component", "r", "c")
     sides = [((-1, 0), (0, 1, 0, 0)), ((0, -1), (0, 0, 1, 0)), ((1, 0), (1, 0, 1, 1)), ((0, 1), (1, 1, 0, 1))]
@@ -339,18 +347,18 @@ def outlines(labelled: DataFrame) -> DataFrame:
     edge = open_.join(taken, ["scene_id", "component", "nr", "nc"], "left_anti").select(
         "scene_id", "component", *[(F.col(k[1]) + F.col(f"s.{k}")).alias(k) for k in ("ar", "ac", "br", "bc")]
     )
+    begins = F.concat_ws(",", F.expr(f"component div 2147483648 div {TILE}"), F.expr(f"component % 2147483648 div {TILE}"))
 
-    def trace(p: pd.DataFrame) -> pd.DataFrame:
+    def rings(own: np.ndarray) -> list[list[tuple[int, int]]]:
         after: dict[tuple, list] = {}
-        for e in p.sort_values(["ar", "ac", "br", "bc"]).itertuples(index=False):
-            after.setdefault((e.ar, e.ac), []).append((e.br, e.bc))
-        rings = []
+        for ar, ac, br, bc in own.tolist():
+            after.setdefault((ar, ac), []).append((br, bc))
+        out = []
         for start in sorted(after):
             while after.get(start):
                 ring, now, came = [start], start, None
                 while True:
-                    options = after[now]
-                    pick = 0
+                    options, pick = after[now], 0
                     if came and len(options) > 1:  # where corners touch, keep to the same cell
                         turn = (-came[1], came[0])
                         pick = next((i for i, o in enumerate(options) if (o[0] - now[0], o[1] - now[1]) == turn), 0)
@@ -359,7 +367,15 @@ def outlines(labelled: DataFrame) -> DataFrame:
                     ring.append(now)
                     if now == start:
                         break
-                rings.append(ring)
-        return pd.DataFrame({"scene_id": p.scene_id.iloc[0], "component": p.component.iloc[0], "ring": range(len(rings)), "points": [[{"r": int(a), "c": int(b)} for a, b in r] for r in rings]})
+                out.append(ring)
+        return out
 
-    return edge.groupBy("scene_id", "component").applyInPandas(trace, "scene_id bigint, component bigint, ring int, points array<struct<r:bigint,c:bigint>>")
+    def trace(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["component", "ar", "ac", "br", "bc"])
+        ids = p.component.to_numpy()
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        sides = p[["ar", "ac", "br", "bc"]].to_numpy()
+        found = [(ids[a], i, ring) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True) for i, ring in enumerate(rings(sides[a:b]))]
+        return pd.DataFrame({"scene_id": p.scene_id.iloc[0], "component": [f[0] for f in found], "ring": [f[1] for f in found], "points": [[{"r": a, "c": b} for a, b in f[2]] for f in found]})
+
+    return edge.groupBy("scene_id", begins.alias("tile")).applyInPandas(trace, "scene_id bigint, component bigint, ring int, points array<struct<r:bigint,c:bigint>>")

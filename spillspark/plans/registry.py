@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from spillspark.plans import oracles, roundtrip_oracles, roundtrips
 from spillspark.plans import queries as Q
-from spillspark.plans.oracles import ORACLE_SQL
 
 NAMES = (
     "vessel_attribution_topk", "historical_attribution", "evidence_sentences", "evidence_matrix", "evidence_flags", "candidate_details",
@@ -15,6 +15,8 @@ NAMES = (
     "mask_to_candidates",
 )
 
-QUERIES = {name: getattr(Q, name) for name in NAMES}
+QUERIES = {name: getattr(Q, name) for name in NAMES} | roundtrips.QUERIES
+NAMES = tuple(QUERIES)
+ORACLE_SQL = oracles.ORACLE_SQL | roundtrip_oracles.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
