@@ -262,7 +262,9 @@ def estimates(stats: DataFrame) -> DataFrame:
     fit = stats.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *FEATURES)
     now = written(_starts(fit), "mcd")
     for step in range(MAX_STEPS):
-        after = written(_estimate(_nearest(_distances(fit, now))), "mcd")
+        # Written once a step: three passes read them, and plans stay small.
+        d = written(_distances(fit, now).select("g", "start", *FEATURES, "bin", "cell"), "distances")
+        after = written(_estimate(_nearest(d)), "mcd")
         was = now.select("g", "start", F.col("logdet").alias("was"))
         moved = after.join(was, ["g", "start"]).where("abs(logdet - was) > 1e-9")
         now = after
@@ -274,7 +276,8 @@ def estimates(stats: DataFrame) -> DataFrame:
     best = now.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("b")).select("g", "b.start")
     chosen = now.join(best, ["g", "start"])
     end = (F.col("end_bin") * FINE + F.col("end_cell") + 1) / (FINE * BINS)
-    scale = _near(_distances(fit, chosen)).select("g", (F.exp(end) / chi2_6(SHARE)).alias("scale"))
+    d = written(_distances(fit, chosen).select("g", "start", "bin", "cell"), "distances")
+    scale = _near(d).select("g", (F.exp(end) / chi2_6(SHARE)).alias("scale"))
     return written(chosen.join(scale, "g").select("g", "start", *[f"mu{i}" for i in range(len(FEATURES))], *[f"w{i}{j}" for i, j in PAIRS], "logdet", "scale"), "mcd")
 
 
