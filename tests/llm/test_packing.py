@@ -58,3 +58,13 @@ def test_edges_of_input(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = packing.pack(spark.createDataFrame([(1, "the"), (1, "the"), (None, None)], "doc_id long, text string")).collect()
     assert sorted((p.doc_id or 0, p.length) for p in got) == [(0, 1), (1, 2), (1, 2)]
+
+
+def test_a_very_long_text(spark, plain):
+    r = random.Random(7)
+    text = " ".join(r.choice(["the", "Oion,", "ßtun", "pré", "x9-z"]) + str(r.randint(0, 999)) for _ in range(120_000))
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "short one"), (1, None)], "doc_id long, text string")).collect()
+    want = plain(text) + [1]
+    own = sorted((x for x in rows if x.doc_tokens == len(want)), key=lambda x: x.start)
+    assert [x.start for x in own] == np.cumsum([0] + [x.length for x in own])[:-1].tolist() and sum(x.length for x in own) == len(want)
+    assert all(x.ids_crc32 == zlib.crc32(np.array(want[x.start : x.start + x.length], "<u4").tobytes()) for x in own)

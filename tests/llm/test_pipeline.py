@@ -93,3 +93,19 @@ def test_packing(stages):
         assert [p["start"] for p in own] == np.cumsum([0] + [p["length"] for p in own])[:-1].tolist()
         assert b"".join(np.frombuffer(p["ids"], np.uint16).astype("<u4").tobytes() for p in own) == want.tobytes()
         assert all(p["ids_crc32"] == zlib.crc32(want[p["start"] : p["start"] + p["length"]].tobytes()) for p in own)
+
+
+def test_columns_of_any_name_and_empty_tables(spark):
+    if not os.path.isdir(D):
+        pytest.skip("needs the given tables")
+    extra = ("row", "whole_row", "masked_text", "masked", "q_hash", "text_key", "sim_id", "sim_key", "uid", "id", "own", "a b.c")
+    docs = spark.read.parquet(f"{D}/documents.parquet").where("doc_id < 60").selectExpr("*", *[f"doc_id + {i} as `{c}`" for i, c in enumerate(extra)])
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, D)
+        assert after.columns == docs.columns, name
+        kept = after.collect()
+        assert kept and all(r[c] == r["doc_id"] + i for r in kept for i, c in enumerate(extra)), name
+        assert stage(spark, empty, D).collect() == [], name
+        docs = spark.createDataFrame(kept, docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, D).collect() == []
