@@ -15,10 +15,10 @@ steps take the mean and covariance of the ``SHARE`` of documents nearest by
 Mahalanobis distance; after ``FIRST_STEPS`` the two starts with the smallest
 determinants go on until no determinant moves (or ``MAX_STEPS``), and the smaller wins.
 
-The nearest share holds exactly that share of the documents: a histogram of log
-distances finds the bin where it ends, a second one cuts that bin into
-``FINE`` cells, and the documents of the last cell (equal distances, or equal
-to one part in 30,000) share what is left of the count by weight. Each step is a
+A step is one pass over the small table: rows are counted and summed per bin of
+the logarithm of their distance, ``BINS`` a unit. The nearest share holds exactly
+that share of the documents: whole bins, and the documents of the bin where it
+ends (distances equal to 0.4 %, ties among them) by the same weight. A step is a
 group-by with partial sums: a source that holds a third of all rows is
 combined before the shuffle. Sources with fewer than ``LEAST`` documents are
 pooled by language, then all together; a pool that is still smaller can't carry
@@ -47,7 +47,7 @@ FLOOR = 0.25
 LEVEL, SLACK = 0.999, 3.0
 FEATURES = ("x1", "x2", "x3", "x4", "x5", "x6")
 PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
-BINS, FINE = 32, 1024  # histogram bins per unit of log distance, cells of a bin
+BINS = 256  # histogram bins per unit of log distance
 
 
 def chi2_6(share: float) -> float:
@@ -169,7 +169,7 @@ def _starts(fit: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("j") == i, 1.4826 * F.col("mad") / 1000)).alias(f"mad{i}") for i in range(len(FEATURES))],
     )
     scale = lambda start, i: F.greatest(F.col(f"mad{i}"), F.lit(FLOOR)) if start == 0 else F.lit(2 * FLOOR)
-    made = _estimate(_drawn(fit))
+    made = _estimate(_sums(_drawn(fit)).withColumn("part", F.lit(1.0))).drop("was")
     for start in (0, 1):
         one = wide.select(
             "g",
@@ -186,7 +186,7 @@ def _drawn(fit: DataFrame) -> DataFrame:
     """Rows of ``DRAWS`` sets per group, about ``DRAWN`` documents each, chosen by a hash of their statistics."""
     sizes = fit.groupBy("g").agg(F.count(F.lit(1)).alias("all"))
     chance = F.pmod(F.xxhash64(*FEATURES, "start"), F.lit(1 << 20)) < DRAWN * (1 << 20) / F.col("all")
-    return fit.join(sizes, "g").withColumn("start", F.explode(F.sequence(F.lit(2), F.lit(1 + DRAWS)))).where(chance).withColumn("part", F.lit(1.0))
+    return fit.join(sizes, "g").withColumn("start", F.explode(F.sequence(F.lit(2), F.lit(1 + DRAWS)))).where(chance).withColumns({"bin": F.lit(0), "logdet": F.lit(0.0)})
 
 
 def _distances(rows: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -196,47 +196,32 @@ def _distances(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     y = [sum((F.col(f"w{i}{j}") * F.col(f"d{j}") for j in range(i + 1)), F.lit(0.0)) for i in p]
     d = d.withColumns({f"y{i}": y[i] for i in p})
     d = d.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in p), F.lit(0.0)))
-    fine = F.floor(FINE * BINS * F.log(F.col("d2") + 1e-6)).cast("bigint")
-    return d.withColumn("fine", fine).withColumns({"bin": F.floor(F.col("fine") / FINE).cast("int"), "cell": F.pmod(F.col("fine"), F.lit(FINE)).cast("int")})
+    return d.withColumn("bin", F.floor(BINS * F.log(F.col("d2") + 1e-6)).cast("int"))
 
 
-def _cumulated(hist: DataFrame, cell: str) -> DataFrame:
-    """Adds ``upto``: rows of the group in cells up to this one."""
-    w = Window.partitionBy("g", "start").orderBy(cell)
-    return hist.withColumn("upto", F.sum("c").over(w))
+def _sums(d: DataFrame) -> DataFrame:
+    """Per (g, start, bin): rows ``n``, sums and products of the statistics, and the determinant ``was`` before."""
+    return d.groupBy("g", "start", "bin").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(n).alias(f"s{i}") for i, n in enumerate(FEATURES)],
+        *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in PAIRS],
+        F.min("logdet").alias("was"),
+    )
 
 
-def _near(d: DataFrame) -> DataFrame:
-    """(g, start, bin, cell, part): where the nearest ``SHARE`` of a group ends, and the last cell's weight."""
-    hist = _cumulated(d.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("c")), "bin")
+def _nearest(sums: DataFrame) -> DataFrame:
+    """Adds ``part``, the weight of each bin: the nearest ``SHARE`` of a group's rows, no more and no less."""
     w = Window.partitionBy("g", "start")
-    want = F.floor(SHARE * F.sum("c").over(w)).cast("bigint")
-    ends = hist.withColumn("want", want).where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("c") < F.col("want")))
-    ends = ends.select("g", "start", "bin", (F.col("want") - F.col("upto") + F.col("c")).alias("left"))
-    fine = d.join(ends, ["g", "start", "bin"]).groupBy("g", "start", "bin", "cell", "left").agg(F.count(F.lit(1)).alias("c"))
-    fine = _cumulated(fine, "cell").where((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("c") < F.col("left")))
-    return fine.select("g", "start", F.col("bin").alias("end_bin"), F.col("cell").alias("end_cell"), ((F.col("left") - F.col("upto") + F.col("c")) / F.col("c")).alias("end_part"))
-
+    before = F.sum("n").over(w.orderBy("bin")) - F.col("n")
+    want = F.floor(SHARE * F.sum("n").over(w))
+    return sums.withColumn("part", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (want - before) / F.col("n"))))
 
-def _nearest(d: DataFrame) -> DataFrame:
-    """The nearest ``SHARE`` of each group, with the weight ``part`` (1, or less in the last cell)."""
-    both = d.join(_near(d), ["g", "start"])
-    inside = (F.col("bin") < F.col("end_bin")) | (F.col("bin") == F.col("end_bin")) & (F.col("cell") <= F.col("end_cell"))
-    last = (F.col("bin") == F.col("end_bin")) & (F.col("cell") == F.col("end_cell"))
-    return both.where(inside).withColumn("part", F.when(last, F.col("end_part")).otherwise(1.0))
 
-
-def _estimate(d: DataFrame) -> DataFrame:
-    """Mean and inverse Cholesky factor of each (g, start) over the rows of ``d``, by their weight ``part``."""
+def _estimate(sums: DataFrame) -> DataFrame:
+    """Mean and inverse Cholesky factor of each (g, start) from its bins by their weight ``part``."""
     p = range(len(FEATURES))
     names = ["n", *[f"s{i}" for i in p], *[f"q{i}{j}" for i, j in PAIRS]]
-    whole = d.groupBy("g", "start", "part").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(FEATURES[i]).alias(f"s{i}") for i in p],
-        *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in PAIRS],
-    )
-    # Two rows a group at most: sums of integers, then one weighted addition.
-    sums = whole.groupBy("g", "start").agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in names])
+    sums = sums.where("part > 0").groupBy("g", "start").agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in names], F.min("was").alias("was"))
     e = sums.withColumns({f"mu{i}": F.col(f"s{i}") / F.col("n") / 1000 for i in p})
     e = e.withColumns({
         f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") / 1e6 - F.col(f"mu{i}") * F.col(f"mu{j}") + (FLOOR * FLOOR if i == j else 0.0)
@@ -254,7 +239,7 @@ def _estimate(d: DataFrame) -> DataFrame:
             for j in range(i + 1)
         })
     logdet = sum((2 * F.log(f"l{i}{i}") for i in p), F.lit(0.0))
-    return e.select("g", "start", *[f"mu{i}" for i in p], *[f"w{i}{j}" for i, j in PAIRS], logdet.alias("logdet"))
+    return e.select("g", "start", *[f"mu{i}" for i in p], *[f"w{i}{j}" for i, j in PAIRS], logdet.alias("logdet"), "was")
 
 
 def estimates(stats: DataFrame) -> DataFrame:
@@ -262,22 +247,17 @@ def estimates(stats: DataFrame) -> DataFrame:
     fit = stats.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *FEATURES)
     now = written(_starts(fit), "mcd")
     for step in range(MAX_STEPS):
-        # Written once a step: three passes read them, and plans stay small.
-        d = written(_distances(fit, now).select("g", "start", *FEATURES, "bin", "cell"), "distances")
-        after = written(_estimate(_nearest(d)), "mcd")
-        was = now.select("g", "start", F.col("logdet").alias("was"))
-        moved = after.join(was, ["g", "start"]).where("abs(logdet - was) > 1e-9")
-        now = after
+        now = written(_estimate(_nearest(_sums(_distances(fit, now.drop("was"))))), "mcd")
         if step + 1 == FIRST_STEPS:
             order = F.row_number().over(Window.partitionBy("g").orderBy("logdet", "start"))
             now = written(now.withColumn("place", order).where(F.col("place") <= BEST).drop("place"), "mcd")
-        elif step + 1 > FIRST_STEPS and not moved.limit(1).count():
+        elif step + 1 > FIRST_STEPS and not now.where("abs(logdet - was) > 1e-9").limit(1).count():
             break
     best = now.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("b")).select("g", "b.start")
-    chosen = now.join(best, ["g", "start"])
-    end = (F.col("end_bin") * FINE + F.col("end_cell") + 1) / (FINE * BINS)
-    d = written(_distances(fit, chosen).select("g", "start", "bin", "cell"), "distances")
-    scale = _near(d).select("g", (F.exp(end) / chi2_6(SHARE)).alias("scale"))
+    chosen = written(now.join(best, ["g", "start"]).drop("was"), "mcd")
+    ends = _nearest(_distances(fit, chosen).groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n"))).where("part > 0")
+    last = ends.groupBy("g").agg(F.max(F.struct("bin", "part")).alias("e"))
+    scale = last.select("g", (F.exp((F.col("e.bin") + F.col("e.part")) / BINS) / chi2_6(SHARE)).alias("scale"))
     return written(chosen.join(scale, "g").select("g", "start", *[f"mu{i}" for i in range(len(FEATURES))], *[f"w{i}{j}" for i, j in PAIRS], "logdet", "scale"), "mcd")
 
 

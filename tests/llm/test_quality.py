@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spillspark.llm import quality
 
@@ -87,10 +88,15 @@ def test_the_nearest_share_is_exact(spark):
     df = spark.createDataFrame([("all", *map(int, row)) for row in x], "g string, " + ", ".join(f"x{i} long" for i in range(1, 7)))
     p = range(6)
     one = df.limit(1).selectExpr("g", "0 as start", *[f"{float(x[0][i]) / 1000}D as mu{i}" for i in p], *[f"{1.0 if i == j else 0.0}D as w{i}{j}" for i, j in quality.PAIRS])
-    near = quality._nearest(quality._distances(df, one)).collect()
-    assert abs(sum(r.part for r in near) - int(0.75 * 333)) < 1e-9
+    one = one.withColumn("logdet", F.lit(0.0))
+    bins = quality._nearest(quality._sums(quality._distances(df, one))).collect()
+    assert abs(sum(r.n * r.part for r in bins) - int(0.75 * 333)) < 1e-9
     rest = sorted(((row - x[0]) / 1000) @ ((row - x[0]) / 1000) for row in x)
-    assert max(r.d2 for r in near) <= rest[int(0.75 * 333) - 1] * 1.001
+    end = max(r.bin for r in bins if r.part)
+    assert np.exp(end / quality.BINS) - 1e-6 <= rest[int(0.75 * 333) - 1] <= np.exp((end + 1) / quality.BINS)
+    fitted = quality._estimate(quality._nearest(quality._sums(quality._distances(df, one)))).first()
+    near = x[np.argsort([((row - x[0]) / 1000) @ ((row - x[0]) / 1000) for row in x], kind="stable")[: int(0.75 * 333)]] / 1000
+    assert np.allclose([fitted[f"mu{i}"] for i in range(6)], near.mean(0), atol=0.01)
 
 
 def test_groups_too_small_are_not_judged(spark):
