@@ -31,6 +31,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from spillspark.llm.common import slabs
 
@@ -228,8 +229,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 ["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "masked"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, masked string"
-    )
+    made = StructType.fromDDL("n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, masked string")
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *made.fields])
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
