@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spillspark.llm import bytenet, chat, latent, licenses, packing, pii, quality, simhash, substrings, suffixes
+from spillspark.llm import bytenet, chat, codes, latent, licenses, packing, pii, quality, simhash, substrings, suffixes
 from spillspark.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).drop("n_exact")
+
+
 QUERIES: dict = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -68,6 +72,7 @@ QUERIES: dict = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "op11_vector_codes": op11_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -75,4 +80,5 @@ QUERIES: dict = {
 #: holds them against brute force instead.
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
 }
