@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spillspark.llm import bytenet, chat, codes, latent, licenses, packing, pii, quality, simhash, substrings, suffixes
+from spillspark.llm import bytenet, chat, codes, latent, licenses, negatives, packing, pii, quality, simhash, substrings, suffixes
 from spillspark.llm.common import table
 
 
@@ -61,6 +61,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings")).drop("n_exact")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", "embedding", moved.alias("label"), (F.col("vec_id") % 100 == 0).alias("is_anchor")))
+
+
 QUERIES: dict = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -73,6 +79,7 @@ QUERIES: dict = {
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
     "op11_vector_codes": op11_vector_codes,
+    "op12_hard_negatives": op12_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -81,4 +88,5 @@ QUERIES: dict = {
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.ORACLE,
     "op11_vector_codes": codes.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
 }
