@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spillspark.llm import bytenet, chat, codes, latent, licenses, negatives, packing, pii, quality, simhash, substrings, suffixes
+from spillspark.llm import bytenet, chat, codes, latent, licenses, negatives, ngrams, packing, pii, quality, simhash, substrings, suffixes
 from spillspark.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.select("vec_id", "embedding", moved.alias("label"), (F.col("vec_id") % 100 == 0).alias("is_anchor")))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -80,6 +84,7 @@ QUERIES: dict = {
     "op10_packing": op10_packing,
     "op11_vector_codes": op11_vector_codes,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_ngram_join": op13_ngram_join,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -89,4 +94,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.ORACLE,
     "op11_vector_codes": codes.ORACLE,
     "op12_hard_negatives": negatives.ORACLE,
+    "op13_ngram_join": ngrams.ORACLE,
 }
