@@ -130,6 +130,20 @@ def to_utm(lon: Column, lat: Column, zone: int = 52) -> tuple[Column, Column]:
     return UTM_EAST + UTM_SCALE * radius * east, UTM_SCALE * radius * north
 
 
+def utm_levels(lon: str, lat: str, zone: str, p: str = "t") -> tuple[chain.Levels, str, str]:
+    """Levels of ``to_utm`` with a zone per row, and the names of easting and northing."""
+    radius, forward, _, _ = _series()
+    e = _real((FLATTENING * (2 - FLATTENING)) ** 0.5)
+    wave = lambda a, b: " + ".join(f"{_real(c)} * {a}({2 * (k + 1)} * {p}xi) * {b}({2 * (k + 1)} * {p}eta)" for k, c in enumerate(forward))
+    levels: chain.Levels = [
+        {f"{p}s": f"sin(radians({lat}))", f"{p}l": f"radians({lon} - ({zone} * 6 - 183))"},
+        {f"{p}t": f"sinh(atanh({p}s) - {e} * atanh({e} * {p}s))"},
+        {f"{p}xi": f"atan2({p}t, cos({p}l))", f"{p}eta": f"asinh(sin({p}l) / sqrt({p}t * {p}t + cos({p}l) * cos({p}l)))"},
+        {f"{p}x": f"{_real(UTM_EAST)} + {_real(UTM_SCALE * radius)} * ({p}eta + {wave('cos', 'sinh')})", f"{p}y": f"{_real(UTM_SCALE * radius)} * ({p}xi + {wave('sin', 'cosh')})"},
+    ]
+    return levels, f"{p}x", f"{p}y"
+
+
 def from_utm(x: Column, y: Column, zone: int = 52) -> tuple[Column, Column]:
     """UTM north to EPSG:4326."""
     radius, _, inverse, latitude = _series()

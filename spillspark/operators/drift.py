@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spillspark.functions import geo
+from spillspark.functions import geo, grids
 
 WINDAGE = 0.03
 
@@ -62,36 +62,12 @@ def fill_grid(grid: DataFrame) -> DataFrame:
 
 
 def interpolate(points: DataFrame, grid: DataFrame) -> DataFrame:
-    """Bilinear u, v of ``grid`` (field_id, iy, ix, lat, lon, u, v) at ``points`` (field_id, lon, lat).
+    """Bilinear u, v of ``grid`` (field_id, lat, lon, u, v) at ``points`` (field_id, lon, lat).
 
     Axes may ascend or descend on input; points outside are clamped to the
-    edge. The axes of a field are one row each; corners come by four equality
-    joins on (field, iy, ix).
+    edge. See ``grids``: cells carry their corners, so points are joined once.
     """
-    axes = grid.groupBy("field_id").agg(F.array_sort(F.collect_set("lat")).alias("lats"), F.array_sort(F.collect_set("lon")).alias("lons"))
-    cells = grid.join(axes, "field_id").select(
-        "field_id", (F.array_position("lats", F.col("lat")) - 1).cast("int").alias("iy"), (F.array_position("lons", F.col("lon")) - 1).cast("int").alias("ix"), "u", "v"
-    )
-    at = points.join(axes, "field_id")
-    for value, axis, i, t in (("lat", "lats", "iy", "ty"), ("lon", "lons", "ix", "tx")):
-        below = F.size(_count_below(axis, value))
-        n = F.size(axis)
-        at = at.withColumn(i, F.greatest(F.lit(0), F.least(below - 1, n - 2)))
-        lo, hi = F.get(axis, F.col(i)), F.get(axis, F.col(i) + 1)
-        at = at.withColumn(t, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - lo) / (hi - lo))))
-    for dy in (0, 1):
-        for dx in (0, 1):
-            corner = cells.select("field_id", (F.col("iy") - dy).alias("iy"), (F.col("ix") - dx).alias("ix"), F.col("u").alias(f"u{dy}{dx}"), F.col("v").alias(f"v{dy}{dx}"))
-            at = at.join(corner, ["field_id", "iy", "ix"])
-    mixed = {
-        c: (F.col(f"{c}00") * (1 - F.col("tx")) + F.col(f"{c}01") * F.col("tx")) * (1 - F.col("ty")) + (F.col(f"{c}10") * (1 - F.col("tx")) + F.col(f"{c}11") * F.col("tx")) * F.col("ty")
-        for c in ("u", "v")
-    }
-    return at.select(*points.columns, *[e.alias(c) for c, e in mixed.items()])
-
-
-def _count_below(axis: str, value: str):
-    return F.filter(axis, lambda a: a <= F.col(value))
+    return grids.interpolate(points, grid, ["field_id"], "lat", "lon", ["u", "v"])
 
 
 def _bilinear(lats: np.ndarray, lons: np.ndarray, field: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:

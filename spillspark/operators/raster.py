@@ -320,18 +320,6 @@ def component_geometry(stats: DataFrame, cell_m: float = 10.0, scale: int = SCAL
     return stats.withColumns({"area_m2": h * w * F.col("density"), "perimeter_m": 2 * (h + w)})
 
 
-def spill_totals(shapes: DataFrame, counts: DataFrame) -> DataFrame:
-    """Totals per scene; the centroid is the mean of all ring vertices (five per box, the first twice)."""
-    row = (3 * F.col("r0") + 2 * (F.col("r1") + 1)) / 5
-    col = (3 * F.col("c0") + 2 * (F.col("c1") + 1)) / 5
-    t = shapes.groupBy("scene_id").agg(
-        F.count(F.lit(1)).alias("n_components"), F.sum("area_m2").alias("area_m2"), F.sum("perimeter_m").alias("perimeter_m"),
-        F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.avg(row).alias("centroid_r"), F.avg(col).alias("centroid_c"),
-    )
-    both = t.join(counts.select("scene_id", "n_oil", "n_core"), "scene_id")
-    return both.withColumn("core_area_m2", F.try_divide(F.col("area_m2") * F.col("n_core"), F.greatest(F.col("n_oil"), F.lit(1)).cast("double")))
-
-
 def outlines(labelled: DataFrame) -> DataFrame:
     """Boundary rings per component as arrays of corner points, outer rings and holes.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from math import pi
 
 from spillspark.functions import chain, geo
-from spillspark.sources.derived import AIS_SQL, DAY_US, INCIDENTS_SQL, PIXELS_SQL, SPILLS_SQL
+from spillspark.sources.derived import AIS_SQL, DAY_US, INCIDENTS_SQL, PIXELS_SQL, SPILLS_SQL, TIES_SQL
 
 AIS = f"ais AS ({AIS_SQL})"
 INC = f"inc AS ({INCIDENTS_SQL})"
@@ -193,6 +193,43 @@ STATS = """shapes AS (
 ), geometry AS (
   SELECT *, (r1 - r0 + 1) * 10.0e0 * ((c1 - c0 + 1) * 10.0e0) * density AS area_m2, 2 * ((r1 - r0 + 1) * 10.0e0 + (c1 - c0 + 1) * 10.0e0) AS perimeter_m FROM dense WHERE n >= 2
 )"""
+TIES = f"ties AS MATERIALIZED ({TIES_SQL})"
+_CORNERS = "(VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0), (4, NULL, NULL)) v(k, i, j)"
+_LEVELS, _EAST, _NORTH = geo.utm_levels("lon", "lat", "zone")
+
+
+def _between(v: str) -> str:
+    return f"(a.{v} * (1 - tx) + b.{v} * tx) * (1 - ty) + (c.{v} * (1 - tx) + d.{v} * tx) * ty AS {v}"
+
+
+def _k(k: int, v: str) -> str:
+    return f"max(CASE WHEN k = {k} THEN {v} END) AS {v}{k}"
+
+
+#: Component boxes of STATS on the ground: each corner between the four tie points around it.
+GROUND = [
+    TIES,
+    f"""spot AS (
+  SELECT scene_id, component, k, coalesce(CASE i WHEN 0 THEN r0 WHEN 1 THEN r1 + 1 END, (r0 + r1) / 2.0e0) AS line, coalesce(CASE j WHEN 0 THEN c0 WHEN 1 THEN c1 + 1 END, (c0 + c1) / 2.0e0) AS pixel
+  FROM geometry, {_CORNERS}
+), cell AS (SELECT *, least(floor(line / 50), 5) * 50 AS y0, least(floor(pixel / 40), 3) * 40 AS x0 FROM spot
+), share AS (SELECT *, (line - y0) / 50.0e0 AS ty, (pixel - x0) / 40.0e0 AS tx FROM cell
+), zoned AS (SELECT scene_id, least(60, greatest(1, floor((avg(lon) + 180) / 6) + 1)) AS zone FROM ties GROUP BY scene_id
+), warped AS (
+  SELECT s.scene_id, s.component, s.k, zone, {_between('lon')}, {_between('lat')} FROM share s JOIN zoned USING (scene_id)
+    JOIN ties a ON a.scene_id = s.scene_id AND a.line = y0 AND a.pixel = x0 JOIN ties b ON b.scene_id = s.scene_id AND b.line = y0 AND b.pixel = x0 + 40
+    JOIN ties c ON c.scene_id = s.scene_id AND c.line = y0 + 50 AND c.pixel = x0 JOIN ties d ON d.scene_id = s.scene_id AND d.line = y0 + 50 AND d.pixel = x0 + 40
+)""",
+    chain.ctes("warped", "metric", _LEVELS, {"x": _EAST, "y": _NORTH}, "scene_id, component, k, zone, lon, lat"),
+    f"""quad AS (
+  SELECT scene_id, component, any_value(zone)::BIGINT AS zone, {", ".join(_k(k, v) for k in range(5) for v in ("lon", "lat", "x", "y"))} FROM metric GROUP BY scene_id, component
+), ground AS (
+  SELECT g.scene_id, g.component, rank, n, q.*  EXCLUDE (scene_id, component),
+    abs((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0) + (x2 - x0) * (y3 - y0) - (x3 - x0) * (y2 - y0)) / 2 * g.density AS ground_m2,
+    sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) + sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) + sqrt(power(x3 - x2, 2) + power(y3 - y2, 2)) + sqrt(power(x0 - x3, 2) + power(y0 - y3, 2)) AS outline_m
+  FROM geometry g JOIN quad q USING (scene_id, component)
+)""",
+]
 GRID = "grid AS (SELECT f.field_id, 33.0e0 - iy * 0.5e0 AS lat, 123.0e0 + ix * 0.75e0 AS lon, (ix - 4) * 0.5e0 + field_id * 0.25e0 AS u, (iy - 3) * 0.25e0 + ix * 0.125e0 AS v FROM (SELECT DISTINCT region_id AS field_id FROM inc) f, (SELECT unnest(range(0, 10)) AS iy) a, (SELECT unnest(range(0, 10)) AS ix) b)"
 
 
@@ -293,10 +330,15 @@ FROM t JOIN grid g ON g.field_id = t.field_id AND abs(g.lon - 123.0e0 - (ix + 0.
     "components_tile": q(PX, MASK, components(IN_TILE), "SELECT scene_id, component, count(*)::BIGINT AS n FROM label GROUP BY scene_id, component", recursive=True),
     "components_scene": q(PX, MASK, components(""), STATS, "SELECT scene_id, component, n, r0, r1, c0, c1, round(density, 6) AS density FROM dense", recursive=True),
     "top_components": q(PX, MASK, components(""), STATS, "SELECT scene_id, rank, n, round(area_m2, 4) AS area_m2, perimeter_m, (r0 + r1) / 2.0e0 AS centre_r, (c0 + c1) / 2.0e0 AS centre_c FROM geometry WHERE rank <= 10", recursive=True),
-    "spill_totals": q(PX, MASK, COUNTS, components(""), STATS, """totals AS (
-  SELECT scene_id, count(*)::BIGINT AS n_components, sum(area_m2) AS area_m2, sum(perimeter_m) AS perimeter_m, min(r0) AS r0, max(r1) AS r1, min(c0) AS c0, max(c1) AS c1,
-    avg((3 * r0 + 2 * (r1 + 1)) / 5) AS centroid_r, avg((3 * c0 + 2 * (c1 + 1)) / 5) AS centroid_c FROM geometry GROUP BY scene_id
-)""", "SELECT scene_id, n_components, round(area_m2, 4) AS area_m2, perimeter_m, r0, r1, c0, c1, round(centroid_r, 4) AS centroid_r, round(centroid_c, 4) AS centroid_c, n_oil, n_core, round(area_m2 * n_core / greatest(n_oil, 1), 4) AS core_area_m2 FROM totals JOIN counts USING (scene_id)", recursive=True),
+    "georeferenced_components": q(PX, MASK, components(""), STATS, *GROUND, """SELECT scene_id, rank, n, zone, round(ground_m2, 1) AS area_m2, round(outline_m, 1) AS perimeter_m, round(lon4, 9) AS centroid_lon, round(lat4, 9) AS centroid_lat,
+  """ + ", ".join(f"round(lon{k}, 9) AS lon{k}, round(lat{k}, 9) AS lat{k}" for k in range(4)) + ", round(x0, 3) AS x0, round(y0, 3) AS y0, round(x2, 3) AS x2, round(y2, 3) AS y2 FROM ground", recursive=True),
+    "spill_totals": q(PX, MASK, COUNTS, components(""), STATS, *GROUND, """totals AS (
+  SELECT scene_id, count(*)::BIGINT AS n_components, any_value(zone) AS zone, sum(ground_m2) AS area_m2, sum(outline_m) AS perimeter_m,
+    avg((2 * lon0 + lon1 + lon2 + lon3) / 5) AS centroid_lon, avg((2 * lat0 + lat1 + lat2 + lat3) / 5) AS centroid_lat,
+    """ + ", ".join(f"min(least({v}0, {v}1, {v}2, {v}3)) AS {v}_min, max(greatest({v}0, {v}1, {v}2, {v}3)) AS {v}_max" for v in ("lon", "lat", "x", "y")) + """ FROM ground GROUP BY scene_id
+)""", "SELECT scene_id, n_components, zone, round(area_m2, 1) AS area_m2, round(perimeter_m, 1) AS perimeter_m, round(centroid_lon, 9) AS centroid_lon, round(centroid_lat, 9) AS centroid_lat, "
+        + ", ".join(f"round({v}_{e}, {9 if v[0] == 'l' else 3}) AS {v}_{e}" for v in ("lon", "lat", "x", "y") for e in ("min", "max"))
+        + ", n_valid, n_oil, n_core, round(100.0e0 * n_oil / nullif(n_valid, 0), 4) AS oil_percent, round(100.0e0 * n_core / nullif(n_valid, 0), 4) AS core_percent, round(area_m2 * n_core / greatest(n_oil, 1), 1) AS core_area_m2 FROM totals JOIN counts USING (scene_id)", recursive=True),
     "tile_scoring": q(PX, "SELECT scene_id, r, c, round(vv / (1 + vv + vh), 6) AS prob, (vv / (1 + vv + vh) >= 0.5)::INT AS is_oil FROM px"),
     "incident_readiness": q(SPILL, """f AS (
   SELECT incident_id, u.kind AS kind, u.present AS present FROM (SELECT incident_id, unnest([

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spillspark.functions import geo
-from spillspark.operators import attribution, catalog, drift, joins, raster, risk, tracks
+from spillspark.operators import attribution, catalog, drift, georef, joins, raster, risk, tracks
 from spillspark.sources import derived, sinks
 
 
@@ -271,10 +271,23 @@ def top_components(spark: SparkSession, d: str) -> DataFrame:
     return _r(top.select("scene_id", "rank", "n", "area_m2", "perimeter_m", "centre_r", "centre_c"), 4, "area_m2")
 
 
+def georeferenced(spark: SparkSession, d: str) -> DataFrame:
+    """Components of two pixels and more on the ground, by the scenes' tie points."""
+    return georef.component_shapes(raster.without_speckle(_components(spark, d), 2, 1), derived.ties(spark, d))
+
+
+def georeferenced_components(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda ring, k, axis, digits: F.round(F.get(ring, k)[axis], digits)
+    return georeferenced(spark, d).select(
+        "scene_id", "rank", "n", F.col("zone").cast("bigint").alias("zone"), *[F.round(c, 1).alias(c) for c in ("area_m2", "perimeter_m")], *[F.round(c, 9).alias(c) for c in ("centroid_lon", "centroid_lat")],
+        *[at("ring", k, axis, 9).alias(f"{name}{k}") for k in range(4) for axis, name in (("x", "lon"), ("y", "lat"))], *[at("utm", k, axis, 3).alias(f"{axis}{k}") for k in (0, 2) for axis in "xy"],
+    )
+
+
 def spill_totals(spark: SparkSession, d: str) -> DataFrame:
-    shapes = raster.component_geometry(raster.without_speckle(_components(spark, d), 2, 1), 10.0, 1)
-    out = raster.spill_totals(shapes, raster.mask_counts(_mask(spark, d)))
-    return _r(out, 4, "area_m2", "core_area_m2", "centroid_r", "centroid_c")
+    out = georef.spill_totals(georeferenced(spark, d), raster.mask_counts(_mask(spark, d))).withColumn("zone", F.col("zone").cast("bigint"))
+    out = _r(out, 1, "area_m2", "perimeter_m", "core_area_m2")
+    return _r(_r(out, 9, "centroid_lon", "centroid_lat", "lon_min", "lon_max", "lat_min", "lat_max"), 3, "x_min", "x_max", "y_min", "y_max")
 
 
 def tile_scoring(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ NAMES = (
     "ais_dataset_stats", "search_area_cell_join", "polygon_window_filter", "drift_forward", "drift_backward", "impact_zone", "vessel_risk",
     "risk_counts", "risk_features", "kpi_overview", "grid_interpolate", "hindcast_grid", "sar_calibrate", "sar_normalise", "mask_counts",
     "scene_stats", "scene_percentiles", "downsample", "mask_geometry", "components_tile", "components_scene", "top_components",
-    "spill_totals", "tile_scoring", "incident_readiness", "incremental_pending", "geojson_features", "report_facts", "candidate_distances",
+    "spill_totals", "georeferenced_components", "tile_scoring", "incident_readiness", "incremental_pending", "geojson_features", "report_facts", "candidate_distances",
     "mask_to_candidates",
 )
 

@@ -6,7 +6,7 @@ from math import pi
 
 from spillspark.functions import geo
 from spillspark.plans.oracles import (
-    AIS, COUNTS, END, FOUND, INC, LITE, MASK, MEASURED, PAIRS, PX, RISK, SCORED, SPILL, STATS, A, _mask_geometry, components, geodesic, num, q,
+    AIS, COUNTS, END, FOUND, GROUND, INC, LITE, MASK, MEASURED, PAIRS, PX, RISK, SCORED, SPILL, STATS, A, _mask_geometry, components, geodesic, num, q,
 )
 from spillspark.plans.oracles import ORACLE_SQL as BASE
 from spillspark.sources.derived import DAY_US
@@ -52,7 +52,11 @@ ORACLE_SQL: dict[str, str] = {
   coalesce(count_if(severity = 'error'), 0) = 0 AS can_run FROM (SELECT DISTINCT a FROM need) d LEFT JOIN lack USING (a) GROUP BY d.a""",
     "closest_points": q(*LITE, WHERE, "SELECT vessel_id, 'Point' AS kind, round(closest_lon, 6) AS lon, round(closest_lat, 6) AS lat, d_source_km, score FROM topped JOIN closest USING (incident_id, vessel_id) WHERE rank <= 3"),
     "zone_polygons": q(SPILL, f"SELECT incident_id, 'Polygon' AS kind, 129::BIGINT AS n_points, round({num(AREA)} * sin({num(2 * pi / 128)}), 0) AS area_m2, round({num(LENGTH)} * sin({num(pi / 128)}), 1) AS length_m, 10000.0e0 AS width_m FROM inc"),
-    "component_shapes": q(PX, MASK, components(""), STATS, "few AS (SELECT *, count(*) OVER (PARTITION BY scene_id) AS n_all FROM geometry)", "SELECT scene_id, count(*)::BIGINT AS n, round(sum(round(area_m2, 2)), 1) AS area_m2, round(sum(round(perimeter_m, 2)), 1) AS perimeter_m, max(rank)::BIGINT AS last_rank FROM few WHERE rank <= greatest(1, n_all // 4) GROUP BY scene_id", recursive=True),
+    "component_shapes": q(
+        PX, MASK, components(""), STATS, *GROUND, "few AS (SELECT *, count(*) OVER (PARTITION BY scene_id) AS n_all FROM ground)",
+        "SELECT rank::BIGINT AS component_id, round(ground_m2, 2) AS area_m2, round(ground_m2 / 1e6, 4) AS area_km2, round(outline_m, 2) AS perimeter_m, round(lat4, 6) AS centroid_lat, round(lon4, 6) AS centroid_lon, n AS pixel_count_approx, 'Polygon' AS kind, 5::BIGINT AS n_points, "
+        + ", ".join(f"round(lon{k}, 9) AS lon{k}, round(lat{k}, 9) AS lat{k}" for k in range(3)) + " FROM few WHERE rank <= greatest(1, n_all // 4)", recursive=True,
+    ),
     "result_documents": q(*RISK, "SELECT incident_id, (CASE WHEN incident_id = 3 THEN -1 ELSE 1 END * count(*) OVER (PARTITION BY incident_id))::BIGINT AS n, vessel_id, risk_level, d_trajectory_km FROM risk"),
     "raster_tiles": q(PX, "SELECT scene_id, r // 32 * 32 AS row_off, c // 32 * 32 AS col_off, count(*)::BIGINT AS n, round(sum(prob), 6) AS prob FROM px WHERE r >= 32 AND r < 96 GROUP BY 1, 2, 3"),
     "outline_rings": q(PX, MASK, components(""), """side AS (

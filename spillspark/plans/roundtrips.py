@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spillspark.functions import geo
 from spillspark.operators import attribution, catalog, raster, risk, tracks
-from spillspark.plans import investigate
+from spillspark.plans import investigate, queries
 from spillspark.sources import derived, readers, sinks
 from spillspark.sources.workspace import new_folder
 
@@ -207,19 +207,15 @@ def zone_polygons(spark: SparkSession, d: str) -> DataFrame:
     return got.select("incident_id", "kind", F.size("ring").cast("bigint").alias("n_points"), F.round(geo.ring_area(F.col("ring")), 0).alias("area_m2"), F.round(geo.ring_length(F.col("ring")), 1).alias("length_m"), F.round(F.array_max(xs) - F.array_min(xs), 1).alias("width_m"))
 
 
-def _shapes(spark: SparkSession, d: str) -> DataFrame:
-    oil = raster.masks(derived.pixels(spark, d)).where("oil")
-    return raster.component_geometry(raster.without_speckle(raster.component_stats(raster.scene_components(oil)), 2, 1), 10.0, 1)
-
-
 def component_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """The first quarter of each scene's component boxes, written as one document per scene and read back."""
-    made = sinks.collections(sinks.component_features(_shapes(spark, d), core=True), "scene_id")
+    """The first quarter of each scene's georeferenced components, written as GeoJSON and read back."""
     path = new_folder(spark, "components")
-    sinks.write_documents(made, path, "scene_id")
-    features = F.from_json("document", "struct<features:array<struct<properties:struct<component_id:bigint,area_m2:double,perimeter_m:double>>>>")
-    rows = spark.read.json(path).select(F.col("scene_id").cast("bigint").alias("scene_id"), F.explode(features["features"]).alias("f"))
-    return rows.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("f.properties.area_m2"), 1).alias("area_m2"), F.round(F.sum("f.properties.perimeter_m"), 1).alias("perimeter_m"), F.max("f.properties.component_id").alias("last_rank"))
+    sinks.write_features(sinks.component_features(queries.georeferenced(spark, d), core=True), path)
+    props = "component_id:bigint,area_m2:double,area_km2:double,perimeter_m:double,centroid_lat:double,centroid_lon:double,pixel_count_approx:bigint"
+    f = F.from_json("value", f"struct<properties:struct<{props}>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>")
+    got = spark.read.text(path).select(f.alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("kind"), F.get("f.geometry.coordinates", 0).alias("p"))
+    ends = [F.round(F.get(F.get("p", k), i), 9).alias(f"{n}{k}") for k in range(3) for i, n in enumerate(("lon", "lat"))]
+    return got.select("component_id", "area_m2", "area_km2", "perimeter_m", "centroid_lat", "centroid_lon", "pixel_count_approx", "kind", F.size("p").cast("bigint").alias("n_points"), *ends)
 
 
 def result_documents(spark: SparkSession, d: str) -> DataFrame:

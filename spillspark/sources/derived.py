@@ -53,6 +53,12 @@ SELECT p.vec_id, p.scene_id, p.tile_row, p.tile_col,
 FROM ({exploded}) p
 """
 
+_TIES = """
+SELECT scene_id, line, pixel, 121.0e0 + scene_id * 2.5e0 + pixel * 0.00600017e0 + line * 0.00030011e0 + (pixel {div} 40 % 2) * 0.0009e0 AS lon,
+  31.0e0 - line * 0.00500013e0 + pixel * 0.00010007e0 + (line {div} 50 % 3) * 0.0007e0 AS lat
+FROM (SELECT DISTINCT scene_id FROM ({pixels}) s) s, (SELECT {each}({lines}) AS line) a, (SELECT {each}({samples}) AS pixel) b
+"""
+
 _EXPLODED_SPARK = """
 SELECT vec_id, vec_id div 512 AS scene_id, (vec_id % 512) div 16 AS tile_row, vec_id % 16 AS tile_col, cast(k AS bigint) AS k, cast(v AS double) AS v
 FROM (SELECT vec_id, posexplode(embedding) AS (k, v) FROM {embeddings})
@@ -67,6 +73,7 @@ AIS_SQL = _AIS.format(string="varchar", us="epoch_us(ts) - epoch_us(TIMESTAMP '2
 INCIDENTS_SQL = _INCIDENTS.format(nation="nation")
 SPILLS_SQL = _SPILLS.format(customer="customer")
 PIXELS_SQL = _PIXELS.format(div="//", exploded=_EXPLODED_SQL)
+TIES_SQL = _TIES.format(div="//", pixels="SELECT scene_id FROM px", each="unnest", lines="range(0, 301, 50)", samples="range(0, 161, 40)")
 
 
 def importable(spark: SparkSession) -> None:
@@ -104,3 +111,9 @@ def spills(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene_id, tile, global row r and column c, prob, vv, vh: 8 x 8 tiles, 16 across, 32 down."""
     return spark.sql(_PIXELS.format(div="div", exploded=_EXPLODED_SPARK.format(embeddings=_view(spark, sf_dir, "embeddings"))))
+
+
+def ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tie points of the scenes of ``pixels``: lon and lat every 50 lines and 40 pixels, uneven between neighbours."""
+    pixels = f"SELECT vec_id div 512 AS scene_id FROM {_view(spark, sf_dir, 'embeddings')}"
+    return spark.sql(_TIES.format(div="div", pixels=pixels, each="explode", lines="sequence(0L, 300L, 50L)", samples="sequence(0L, 160L, 40L)"))

@@ -194,12 +194,10 @@ def geolocation_xml(spark: SparkSession, path: str, scene_id: int | None) -> Dat
 
 def pixel_positions(pixels: DataFrame, ties: DataFrame) -> DataFrame:
     """Longitude and latitude of pixels (scene_id, line, pixel) from tie points, bilinear."""
-    from spillspark.operators import drift
+    from spillspark.operators import georef
 
-    grid = ties.select(F.col("scene_id").alias("field_id"), F.col("line").cast("double").alias("lat"), F.col("pixel").cast("double").alias("lon"), F.col("lon").alias("u"), F.col("lat").alias("v"))
-    at = pixels.select(F.col("scene_id").alias("field_id"), F.col("line").cast("double").alias("lat"), F.col("pixel").cast("double").alias("lon"))
-    out = drift.interpolate(at, grid)
-    return out.select(F.col("field_id").alias("scene_id"), F.col("lat").alias("line"), F.col("lon").alias("pixel"), F.col("u").alias("lon"), F.col("v").alias("lat"))
+    at = pixels.select("scene_id", F.col("line").cast("double").alias("line"), F.col("pixel").cast("double").alias("pixel"))
+    return georef.positions(at, ties)
 
 
 def incident_metadata(spark: SparkSession, root: str, name: str = "metadata.json") -> DataFrame:

@@ -50,12 +50,16 @@ def risk_features(risks: DataFrame) -> DataFrame:
 
 
 def component_features(shapes: DataFrame, core: bool = False) -> DataFrame:
-    """Component boxes by rank; ``core`` keeps the first quarter, one at least."""
+    """Georeferenced component boxes by rank, in degrees; ``core`` keeps the first quarter, one at least."""
     if core:
         w = Window.partitionBy("scene_id")
         shapes = shapes.withColumn("of", F.count(F.lit(1)).over(w)).where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("of") / 4)))
-    box = F.array(F.array(F.array("c0", "r0"), F.array(F.col("c1") + 1, F.col("r0")), F.array(F.col("c1") + 1, F.col("r1") + 1), F.array(F.col("c0"), F.col("r1") + 1), F.array("c0", "r0")))
-    return shapes.select("scene_id", "rank", feature(F.struct(F.col("rank").alias("component_id"), F.round("area_m2", 2).alias("area_m2"), F.round("perimeter_m", 2).alias("perimeter_m")), "Polygon", box).alias("feature"))
+    props = F.struct(
+        F.col("rank").alias("component_id"), F.round("area_m2", 2).alias("area_m2"), F.round(F.col("area_m2") / 1e6, 4).alias("area_km2"), F.round("perimeter_m", 2).alias("perimeter_m"),
+        F.round("centroid_lat", 6).alias("centroid_lat"), F.round("centroid_lon", 6).alias("centroid_lon"), F.col("full_size").alias("pixel_count_approx"),
+    )
+    ring = F.array(F.transform("ring", lambda p: F.array(p["x"], p["y"])))
+    return shapes.select("scene_id", "rank", feature(props, "Polygon", ring).alias("feature"))
 
 
 def write_features(features: DataFrame, path: str) -> None:
