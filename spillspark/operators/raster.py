@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spillspark.functions import geo
 from spillspark.sources.workspace import shared_folder
 
 # Thresholds, floors and sizes of the detection chain.
@@ -133,18 +134,29 @@ def affine(r: Column, c: Column, a: float, b: float, x0: float, d: float, e: flo
     return a * c + b * r + x0, d * c + e * r + y0
 
 
-def mask_geometry(mask: DataFrame, transform: tuple[float, float, float, float, float, float]) -> DataFrame:
+def mask_geometry(mask: DataFrame, transform: tuple[float, float, float, float, float, float], geographic: bool = False) -> DataFrame:
     """Area, perimeter, centroid and box of the oil pixels (scene_id, r, c, is_oil), per scene.
 
-    ``transform``: see ``affine``; it may turn and shear. Perimeter: sides without
-    an oil neighbour, found by a join with the shifted pixels.
+    ``transform``: see ``affine``; it may turn and shear. Centroid and box are
+    in the map's coordinates. With ``geographic`` these are degrees, and area and perimeter
+    are taken in EPSG:3857. Both are sums over the sides without an oil neighbour,
+    found by a join with the shifted pixels: lengths, and the area by Green's theorem.
     """
-    a, b, x0, d, e, y0 = transform
-    across, down = float(np.hypot(a, d)), float(np.hypot(b, e))  # lengths of a pixel's sides along its row and column
-    oil = mask.where("is_oil = 1").select("scene_id", "r", "c")
-    around = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(size).alias("side")) for dr, dc, size in ((-1, 0, across), (1, 0, across), (0, -1, down), (0, 1, down))]))
-    sides = oil.withColumn("n", around).select("scene_id", (F.col("r") + F.col("n.dr")).alias("r"), (F.col("c") + F.col("n.dc")).alias("c"), "n.side")
-    perimeter = sides.join(oil, ["scene_id", "r", "c"], "left_anti").groupBy("scene_id").agg(F.sum("side").alias("perimeter_m"))
+    oil = mask.where("is_oil = 1").select("scene_id", F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"))
+    # Where the neighbour lies, and the side's ends, with oil on its left.
+    around = ((-1, 0, 0, 1, 0, 0), (0, -1, 0, 0, 1, 0), (1, 0, 1, 0, 1, 1), (0, 1, 1, 1, 0, 1))
+    side = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("dr", "dc", "ar", "ac", "br", "bc"), x, strict=True)]) for x in around]))
+    sides = oil.withColumn("n", side).select("scene_id", (F.col("r") + F.col("n.dr")).alias("r"), (F.col("c") + F.col("n.dc")).alias("c"), *[(F.col(k[1]) + F.col(f"n.{k}")).alias(k) for k in ("ar", "ac", "br", "bc")])
+    open_ = sides.join(oil, ["scene_id", "r", "c"], "left_anti")
+    metres = geo.to_mercator if geographic else lambda x, y: (x, y)
+    # Relative to the map's origin: sums keep their digits.
+    x0, y0 = metres(F.lit(float(transform[2])), F.lit(float(transform[5])))
+    for k in "ab":
+        x, y = metres(*affine(F.col(f"{k}r"), F.col(f"{k}c"), *transform))
+        open_ = open_.withColumns({f"{k}x": x - x0, f"{k}y": y - y0})
+    measured = open_.groupBy("scene_id").agg(
+        (F.abs(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay"))) / 2).alias("area_m2"), F.sum(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).alias("perimeter_m")
+    )
     corners = [affine(F.col("r") + i, F.col("c") + j, *transform) for i in (0, 1) for j in (0, 1)]
     xs, ys = [x for x, _ in corners], [y for _, y in corners]
     sums = oil.groupBy("scene_id").agg(
@@ -153,11 +165,11 @@ def mask_geometry(mask: DataFrame, transform: tuple[float, float, float, float,
     )
     centre = affine(F.col("mr") + 0.5, F.col("mc") + 0.5, *transform)
     scenes = mask.select("scene_id").distinct()
-    return scenes.join(sums, "scene_id", "left").join(perimeter, "scene_id", "left").select(
+    return scenes.join(sums, "scene_id", "left").join(measured, "scene_id", "left").select(
         "scene_id",
         F.col("pixel_count").isNotNull().alias("has_oil"),
         F.coalesce("pixel_count", F.lit(0)).alias("pixel_count"),
-        F.coalesce(F.col("pixel_count") * abs(a * e - b * d), F.lit(0.0)).alias("area_m2"),
+        F.coalesce("area_m2", F.lit(0.0)).alias("area_m2"),
         F.coalesce("perimeter_m", F.lit(0.0)).alias("perimeter_m"),
         centre[0].alias("centroid_x"), centre[1].alias("centroid_y"),
         "x_min", "y_min", "x_max", "y_max",
@@ -318,52 +330,3 @@ def component_geometry(stats: DataFrame, cell_m: float = 10.0, scale: int = SCAL
     side = cell_m * scale
     h, w = (F.col("r1") - F.col("r0") + 1) * side, (F.col("c1") - F.col("c0") + 1) * side
     return stats.withColumns({"area_m2": h * w * F.col("density"), "perimeter_m": 2 * (h + w)})
-
-
-def outlines(labelled: DataFrame) -> DataFrame:
-    """Boundary rings per component as arrays of corner points, outer rings and holes.
-
-    Directed sides with oil on their left come from an anti-join; the sides of
-    one component are joined into rings in one task, which is that shape's
-    size. Components that begin in one tile share a task's group.
-    """
-    cell = labelled.select("scene_id", "component", "r", "c")
-    sides = [((-1, 0), (0, 1, 0, 0)), ((0, -1), (0, 0, 1, 0)), ((1, 0), (1, 0, 1, 1)), ((0, 1), (1, 1, 0, 1))]
-    every = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), *[F.lit(v).alias(k) for k, v in zip(("ar", "ac", "br", "bc"), ends, strict=True)]) for (dr, dc), ends in sides]))
-    open_ = cell.withColumn("s", every).withColumns({"nr": F.col("r") + F.col("s.dr"), "nc": F.col("c") + F.col("s.dc")})
-    taken = cell.select("scene_id", "component", F.col("r").alias("nr"), F.col("c").alias("nc"))
-    edge = open_.join(taken, ["scene_id", "component", "nr", "nc"], "left_anti").select(
-        "scene_id", "component", *[(F.col(k[1]) + F.col(f"s.{k}")).alias(k) for k in ("ar", "ac", "br", "bc")]
-    )
-    begins = F.concat_ws(",", F.expr(f"component div 2147483648 div {TILE}"), F.expr(f"component % 2147483648 div {TILE}"))
-
-    def rings(own: np.ndarray) -> list[list[tuple[int, int]]]:
-        after: dict[tuple, list] = {}
-        for ar, ac, br, bc in own.tolist():
-            after.setdefault((ar, ac), []).append((br, bc))
-        out = []
-        for start in sorted(after):
-            while after.get(start):
-                ring, now, came = [start], start, None
-                while True:
-                    options, pick = after[now], 0
-                    if came and len(options) > 1:  # where corners touch, keep to the same cell
-                        turn = (-came[1], came[0])
-                        pick = next((i for i, o in enumerate(options) if (o[0] - now[0], o[1] - now[1]) == turn), 0)
-                    step = options.pop(pick)
-                    came, now = (step[0] - now[0], step[1] - now[1]), step
-                    ring.append(now)
-                    if now == start:
-                        break
-                out.append(ring)
-        return out
-
-    def trace(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["component", "ar", "ac", "br", "bc"])
-        ids = p.component.to_numpy()
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        sides = p[["ar", "ac", "br", "bc"]].to_numpy()
-        found = [(ids[a], i, ring) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True) for i, ring in enumerate(rings(sides[a:b]))]
-        return pd.DataFrame({"scene_id": p.scene_id.iloc[0], "component": [f[0] for f in found], "ring": [f[1] for f in found], "points": [[{"r": a, "c": b} for a, b in f[2]] for f in found]})
-
-    return edge.groupBy("scene_id", begins.alias("tile")).applyInPandas(trace, "scene_id bigint, component bigint, ring int, points array<struct<r:bigint,c:bigint>>")

@@ -247,6 +247,28 @@ def _mask_geometry(a: float, x0: float, e: float, y0: float) -> str:
 )"""
 
 
+def _northing(lat: str) -> str:
+    return f"{A!r}e0 * ln(tan({pi / 4!r}e0 + radians({lat}) / 2))"
+
+
+#: Area and outline in EPSG:3857 of a pixel row of 0.01 by 0.005 degrees from (124.5, 30.8).
+ROW_WIDE = f"({A!r}e0 * radians(0.01e0))"
+ROW_HIGH = f"({_northing('30.8e0 - 0.005e0 * r')} - {_northing('30.8e0 - 0.005e0 * (r + 1)')})"
+#: Per component: shapes of its boundary from the pixels around each lattice point, by Euler's formula.
+BOUNDARY = f"""pix AS MATERIALIZED (SELECT scene_id, component, p // 2147483648 AS r, p % 2147483648 AS c FROM label
+), point AS (
+  SELECT scene_id, component, r + i AS y, c + j AS x, count(*) AS n, sum(CASE WHEN i = j THEN 1 ELSE -1 END) AS diagonal FROM pix, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j) GROUP BY ALL
+), points AS (SELECT scene_id, component, count(*) AS v, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND abs(diagonal) = 2 THEN 2 ELSE 0 END)::BIGINT AS n_corners FROM point GROUP BY scene_id, component
+), edge AS (
+  SELECT scene_id, component, k, CASE WHEN k < 2 THEN r + k ELSE r END AS y, CASE WHEN k > 1 THEN c + k - 2 ELSE c END AS x, k // 2 AS upright, min(r) AS r, count(*) AS n
+  FROM pix, (SELECT unnest(range(4)) AS k) GROUP BY ALL
+), sides AS (SELECT scene_id, component, upright, y, x, min(r) AS r, sum(n) AS n FROM edge GROUP BY ALL
+), edges AS (
+  SELECT scene_id, component, count(*) AS e, count_if(n = 1)::BIGINT AS sides, sum(CASE WHEN n > 1 THEN 0 WHEN upright = 1 THEN {ROW_HIGH} ELSE {ROW_WIDE} END) AS perimeter_m FROM sides GROUP BY scene_id, component
+), faces AS (SELECT scene_id, component, count(*) AS f, sum({ROW_WIDE} * {ROW_HIGH}) AS area_m2, min(c) AS c0, min(r) AS r0 FROM pix GROUP BY scene_id, component
+), boundary AS (SELECT *, (1 - (v - e + f))::BIGINT AS n_holes FROM points JOIN edges USING (scene_id, component) JOIN faces USING (scene_id, component))"""
+
+
 TRACKS = "pts AS (SELECT vessel_id, us, lon, lat, row_number() OVER (PARTITION BY vessel_id ORDER BY us, lon, lat) - 1 AS k, count(*) OVER (PARTITION BY vessel_id) AS n FROM ais)"
 DETAIL = "vessel AS (SELECT vessel_id, 'NAME_' || vessel_id AS vessel_name, lon, lat, speed FROM last)"
 

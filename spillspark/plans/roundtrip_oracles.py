@@ -6,7 +6,7 @@ from math import pi
 
 from spillspark.functions import geo
 from spillspark.plans.oracles import (
-    AIS, COUNTS, END, FOUND, GROUND, INC, LITE, MASK, MEASURED, PAIRS, PX, RISK, SCORED, SPILL, STATS, A, _mask_geometry, components, geodesic, num, q,
+    AIS, BOUNDARY, COUNTS, END, FOUND, GROUND, INC, LITE, MASK, MEASURED, PAIRS, PX, RISK, ROW_HIGH, ROW_WIDE, SCORED, SPILL, STATS, A, _mask_geometry, components, geodesic, num, q,
 )
 from spillspark.plans.oracles import ORACLE_SQL as BASE
 from spillspark.sources.derived import DAY_US
@@ -59,9 +59,8 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "result_documents": q(*RISK, "SELECT incident_id, (CASE WHEN incident_id = 3 THEN -1 ELSE 1 END * count(*) OVER (PARTITION BY incident_id))::BIGINT AS n, vessel_id, risk_level, d_trajectory_km FROM risk"),
     "raster_tiles": q(PX, "SELECT scene_id, r // 32 * 32 AS row_off, c // 32 * 32 AS col_off, count(*)::BIGINT AS n, round(sum(prob), 6) AS prob FROM px WHERE r >= 32 AND r < 96 GROUP BY 1, 2, 3"),
-    "outline_rings": q(PX, MASK, components(""), """side AS (
-  SELECT a.scene_id, a.component, count(*) AS n, sum(4 - (SELECT count(*) FROM label b WHERE b.scene_id = a.scene_id AND b.p IN (a.p - 1, a.p + 1, a.p - 2147483648, a.p + 2147483648))) AS sides FROM label a GROUP BY a.scene_id, a.component
-)""", "SELECT scene_id, component, n::BIGINT AS area, sides::BIGINT AS sides FROM side", recursive=True),
+    "outline_rings": q(PX, MASK, components(""), BOUNDARY, "SELECT scene_id, component, 1::BIGINT AS n_shells, n_holes, f::BIGINT AS area, sides, n_corners, 0::BIGINT AS n_open FROM boundary", recursive=True),
+    "spill_polygons": q(PX, MASK, components(""), BOUNDARY, "SELECT scene_id, component, 'MultiPolygon' AS type, n_holes, n_corners, true AS closed, round(124.5e0 + 0.01e0 * c0, 6) AS lon_min, round(30.8e0 - 0.005e0 * r0, 6) AS lat_max, 2::BIGINT AS axes, round(area_m2, 1) AS area_m2, round(perimeter_m, 2) AS perimeter_m FROM boundary", recursive=True),
     "tile_grid": q(PX, "size AS (SELECT scene_id, max(r) + 1 AS h, max(c) + 1 AS w FROM px GROUP BY scene_id)", "t AS (SELECT scene_id, h, w, y AS row_off, unnest(range(0, w, 48)) AS col_off FROM (SELECT *, unnest(range(0, h, 48)) AS y FROM size))", "SELECT scene_id, row_off, col_off, least(48, h - row_off) AS valid_h, least(48, w - col_off) AS valid_w, 48 - least(48, h - row_off) AS pad_h, 48 - least(48, w - col_off) AS pad_w FROM t"),
     "overlap_mean": q(PX, "SELECT scene_id, r, c, round(CASE WHEN r % 8 < 4 THEN prob * 0.75e0 ELSE prob END, 6) AS prob FROM px"),
     "band_join": q(PX.replace("px AS", "every AS", 1), "px AS (SELECT * FROM every WHERE vv >= 2 AND vh <> 5)", MASK, COUNTS, "SELECT *, n_pixels - n_valid AS n_invalid, round(100.0e0 * n_oil / nullif(n_valid, 0), 4) AS oil_percent, round(100.0e0 * n_core / nullif(n_valid, 0), 4) AS core_percent FROM counts"),
@@ -75,7 +74,7 @@ ORACLE_SQL: dict[str, str] = {
   round(8.0e0 * (avg(c) + 0.5e0) + 3.0e0 * (avg(r) + 0.5e0) + 1000, 4) AS centroid_x, round(6.0e0 * (avg(c) + 0.5e0) - 4.0e0 * (avg(r) + 0.5e0) + 5000, 4) AS centroid_y,
   any_value(x_min) AS x_min, any_value(y_min) AS y_min, any_value(x_max) AS x_max, any_value(y_max) AS y_max
 FROM (SELECT DISTINCT scene_id FROM px) s LEFT JOIN core k USING (scene_id) LEFT JOIN box USING (scene_id) LEFT JOIN open USING (scene_id) GROUP BY s.scene_id"""),
-    "analysis_view": q(PX, MASK, _mask_geometry(0.01, 124.5, -0.005, 30.8), "SELECT scene_id AS analysis_id, 'complete' AS status, round(area_m2, 6) AS area_m2, round(centroid_x, 6) AS lon, round(centroid_y, 6) AS lat, round((x_max - x_min) * (y_max - y_min), 6) AS box_area, 5::BIGINT AS n_corners, 'V' || scene_id AS top_vessel, round(pixel_count / 1000, 6) AS top_score FROM outline"),
+    "analysis_view": q(PX, MASK, _mask_geometry(0.01, 124.5, -0.005, 30.8), f"SELECT scene_id AS analysis_id, 'complete' AS status, coalesce((SELECT round(sum({ROW_WIDE} * {ROW_HIGH}), 0) FROM core WHERE core.scene_id = outline.scene_id), 0) AS area_m2, round(centroid_x, 6) AS lon, round(centroid_y, 6) AS lat, round((x_max - x_min) * (y_max - y_min), 6) AS box_area, 5::BIGINT AS n_corners, 'V' || scene_id AS top_vessel, round(pixel_count / 1000, 6) AS top_score FROM outline"),
     "leg_speeds": q(
         AIS, "lagged AS (SELECT vessel_id, us, lon, lat, lag(lon) OVER w AS lon_b, lag(lat) OVER w AS lat_b, lag(us) OVER w AS us_b FROM ais WINDOW w AS (PARTITION BY vessel_id ORDER BY us, lon, lat)), kept AS (SELECT * FROM lagged WHERE us > us_b)",
         geodesic("kept", "legs", "leg_m", "vessel_id, us, us_b, lon, lat, lon_b, lat_b", "lon_b", "lat_b", "lon", "lat"),

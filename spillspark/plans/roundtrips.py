@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spillspark.functions import geo
-from spillspark.operators import attribution, catalog, raster, risk, tracks
+from spillspark.operators import attribution, catalog, outlines, raster, risk, tracks
 from spillspark.plans import investigate, queries
-from spillspark.sources import derived, readers, sinks
+from spillspark.sources import derived, readers, sinks, workspace
 from spillspark.sources.workspace import new_folder
 
 US = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast({} AS timestamp_ntz))"
@@ -242,12 +242,41 @@ def raster_tiles(spark: SparkSession, d: str) -> DataFrame:
 # -- raster and chains --------------------------------------------------------
 
 
+#: Degrees a pixel, and the place of the first.
+DEGREES = (0.01, 0.0, 124.5, 0.0, -0.005, 30.8)
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return raster.scene_components(raster.masks(derived.pixels(spark, d)).where("oil"))
+
+
 def outline_rings(spark: SparkSession, d: str) -> DataFrame:
-    """Boundary rings of components: their signed areas add up to the pixels, their sides to the open sides."""
-    rings = raster.outlines(raster.scene_components(raster.masks(derived.pixels(spark, d)).where("oil")))
-    pairs = F.zip_with(F.slice("points", 1, F.size("points") - 1), F.slice("points", 2, F.size("points") - 1), lambda a, b: a["c"] * b["r"] - b["c"] * a["r"])
-    signed = rings.select("scene_id", "component", F.aggregate(pairs, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("twice"), (F.size("points") - 1).alias("sides"))
-    return signed.groupBy("scene_id", "component").agg(F.abs(F.sum("twice") / 2).cast("bigint").alias("area"), F.sum("sides").alias("sides"))
+    """Boundary rings of components, stitched over tiles: one shell each, holes, signed areas, sides and corners."""
+    found = outlines.rings(_labelled(spark, d), 32)
+    shell, hole = F.col("is_shell"), ~F.col("is_shell")
+    return found.groupBy("scene_id", "component").agg(
+        F.count_if(shell).alias("n_shells"), F.count_if(hole).alias("n_holes"), (F.sum("twice") / 2).cast("bigint").alias("area"), F.sum("sides").alias("sides"), F.sum(F.size("points") - 1).alias("n_corners"),
+        F.count_if(F.element_at("points", 1) != F.element_at("points", -1)).alias("n_open"),
+    )
+
+
+def spill_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Slicks of a map in degrees as one GeoJSON MultiPolygon per scene, read back, with their areas in square metres."""
+    labelled = workspace.written(_labelled(spark, d), "labelled")
+    path = new_folder(spark, "polygons")
+    shapes = outlines.polygons(outlines.rings(labelled, 64), DEGREES)
+    sinks.write_documents(outlines.multipolygons(shapes), path, "scene_id")
+    read = F.from_json("document", "struct<type:string,coordinates:array<array<array<array<double>>>>>")
+    parts = spark.read.schema("scene_id bigint, document string").json(path).select("scene_id", read.alias("g")).select("scene_id", "g.type", F.posexplode("g.coordinates").alias("k", "rings"))
+    order = Window.partitionBy("scene_id").orderBy("component")
+    areas = outlines.measures(outlines.chains(labelled, 64), DEGREES, geographic=True).withColumn("k", F.row_number().over(order) - 1)
+    first = F.get(F.get("rings", 0), 0)
+    ends = F.forall("rings", lambda x: F.element_at(x, 1) == F.element_at(x, -1))
+    return parts.join(areas, ["scene_id", "k"]).select(
+        "scene_id", "component", "type", (F.size("rings") - 1).cast("bigint").alias("n_holes"), F.aggregate("rings", F.lit(0), lambda s, x: s + F.size(x) - 1).cast("bigint").alias("n_corners"), ends.alias("closed"),
+        F.round(F.array_min(F.transform(F.get("rings", 0), lambda p: p[0])), 6).alias("lon_min"), F.round(F.array_max(F.transform(F.get("rings", 0), lambda p: p[1])), 6).alias("lat_max"), F.size(first).cast("bigint").alias("axes"),
+        F.round("area_m2", 1).alias("area_m2"), F.round("perimeter_m", 2).alias("perimeter_m"),
+    )
 
 
 def tile_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -280,11 +309,11 @@ def turned_outline(spark: SparkSession, d: str) -> DataFrame:
 def analysis_view(spark: SparkSession, d: str) -> DataFrame:
     """Nested results of scenes as flat rows."""
     m = raster.masks(derived.pixels(spark, d)).select("scene_id", "r", "c", F.col("core").cast("int").alias("is_oil"))
-    g = raster.mask_geometry(m, (0.01, 0.0, 124.5, 0.0, -0.005, 30.8))
+    g = raster.mask_geometry(m, DEGREES, geographic=True)
     spill = F.struct("area_m2", "perimeter_m", F.struct(F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y")).alias("centroid"), F.array("x_min", "y_min", "x_max", "y_max").alias("bbox"))
     candidates = F.array(F.struct(F.concat(F.lit("V"), F.col("scene_id").cast("string")).alias("vessel_id"), (F.col("pixel_count") / 1000).alias("score")))
     flat = readers.analysis_view(g.select(F.col("scene_id").alias("analysis_id"), F.lit("complete").alias("status"), spill.alias("spill"), candidates.alias("candidates")))
-    return flat.select("analysis_id", "status", F.round("area_m2", 6).alias("area_m2"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round(geo.ring_area(F.col("polygon")), 6).alias("box_area"), F.size("polygon").cast("bigint").alias("n_corners"), "top_vessel", F.round("top_score", 6).alias("top_score"))
+    return flat.select("analysis_id", "status", F.round("area_m2", 0).alias("area_m2"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round(geo.ring_area(F.col("polygon")), 6).alias("box_area"), F.size("polygon").cast("bigint").alias("n_corners"), "top_vessel", F.round("top_score", 6).alias("top_score"))
 
 
 def leg_speeds(spark: SparkSession, d: str) -> DataFrame:
@@ -318,7 +347,7 @@ def full_investigation(spark: SparkSession, d: str) -> DataFrame:
 NAMES = (
     "csv_reports", "json_reports", "environment_files", "grid_slices", "vector_grid_cells", "calibration_scan", "pixel_geolocation", "incident_catalogue",
     "format_classes", "summary_aliases", "vessel_keys", "input_validation", "closest_points", "zone_polygons", "component_shapes", "result_documents",
-    "raster_tiles", "outline_rings", "tile_grid", "overlap_mean", "band_join", "turned_outline", "analysis_view", "leg_speeds", "scene_detection",
+    "raster_tiles", "outline_rings", "spill_polygons", "tile_grid", "overlap_mean", "band_join", "turned_outline", "analysis_view", "leg_speeds", "scene_detection",
     "full_investigation",
 )
 

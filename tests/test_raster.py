@@ -16,6 +16,28 @@ def test_mask_geometry(spark):
     assert (b.has_oil, b.area_m2, b.perimeter_m, b.centroid_x) == (False, 0.0, 0.0, None)
 
 
+def test_mask_in_degrees(spark):
+    """Area and perimeter of a map in degrees are those of its sides in EPSG:3857."""
+    cells = [(0, 0), (0, 1), (1, 1), (5, 3)]
+    df = spark.createDataFrame([(1, r, c, 1) for r, c in cells], "scene_id long, r long, c long, is_oil int")
+    for turn in ((0.01, 0.0, 124.5, 0.0, -0.005, 30.8), (0.008, 0.003, 10.0, 0.006, -0.004, 55.0)):
+        a, b, x0, d, e, y0 = turn
+
+        def ground(r, c):
+            lon, lat = a * c + b * r + x0, d * c + e * r + y0  # noqa: B023
+            return math.radians(lon) * 6378137, 6378137 * math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))
+
+        area = length = 0.0
+        for r, c in cells:
+            p = [ground(*x) for x in ((r, c), (r + 1, c), (r + 1, c + 1), (r, c + 1))]
+            area += abs(sum(p[k - 1][0] * p[k][1] - p[k][0] * p[k - 1][1] for k in range(4))) / 2
+            for (dr, dc), k in (((0, -1), (0, 1)), ((1, 0), (1, 2)), ((0, 1), (2, 3)), ((-1, 0), (3, 0))):
+                if (r + dr, c + dc) not in cells:
+                    length += math.dist(p[k[0]], p[k[1]])
+        got = raster.mask_geometry(df, turn, geographic=True).first()
+        assert math.isclose(got.area_m2, area, rel_tol=1e-6) and math.isclose(got.perimeter_m, length, rel_tol=1e-9)
+
+
 def test_calibration(spark):
     lut = spark.createDataFrame([(1, "VV", y * 10, x * 10, z) for y, x, z in ((0, 0, 10.0), (0, 1, 20.0), (1, 0, 30.0), (1, 1, 40.0))], "scene_id long, pol string, line long, pixel long, a_sigma double")
     px = spark.createDataFrame([(1, "VV", 5, 5, 2.5), (1, "VV", 99, -3, 0.0)], "scene_id long, pol string, r long, c long, dn double")
@@ -73,16 +95,6 @@ def test_components_do_not_depend_on_tiles(spark, size):
     assert all(k == min(r * 2**31 + c for r, c in v) for k, v in got.items())
 
 
-def test_outlines(spark):
-    cells = [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (2, 2)]
-    df = spark.createDataFrame([(1, 7, r, c) for r, c in cells] + [(1, 8, 9, 9)], "scene_id long, component long, r long, c long")
-    got = {}
-    for x in raster.outlines(df).collect():
-        area = sum(a.r * b.c - b.r * a.c for a, b in zip(x.points, x.points[1:], strict=False)) / 2
-        got.setdefault(x.component, []).append(area)
-    assert sorted(map(abs, got[7])) == [1, 9] and got[7][0] * got[7][1] < 0 and [abs(a) for a in got[8]] == [1]
-
-
 def test_tiles(spark):
     t = raster.tile_grid(spark.createDataFrame([(1, 600, 700)], "scene_id long, height int, width int")).orderBy("row_off", "col_off").collect()
     assert len(t) == 4 and (t[-1].valid_h, t[-1].valid_w, t[-1].pad_h) == (88, 188, 424)
