@@ -12,9 +12,9 @@ needs c shared tokens must share one of its first t - c + 1 in that order
 (prefix filter), a block needs c template tokens itself (length filter), and a
 shared token only counts if enough tokens follow it on both sides (positional
 filter); what is left is verified. Only documents that hold a prefix token of
-some template are cut into blocks, so common words never meet the index. Of
-runs, only those around a prefix token are counted, and only in texts of several
-lines: within one, the line holds all that its runs hold.
+some template are cut into blocks, so common words never meet the index. Runs
+are counted for the templates that a text has a prefix token and enough tokens of, and only
+in texts of several lines: within one, the line holds all that its runs hold.
 
 What is broadcast is the template index: its size is fixed by the templates,
 which ``MAX_TEMPLATES`` bounds, and doesn't grow with the documents.
@@ -132,23 +132,31 @@ def index(templates, counts: dict[str, int], threshold: float) -> list[tuple]:
     return rows
 
 
-def _in_runs(table: DataFrame, known: DataFrame) -> DataFrame:
-    """Template matches of runs as long as the template, around each of its prefix tokens.
+def _in_runs(table: DataFrame, rows: list[tuple]) -> DataFrame:
+    """Template matches of runs as long as the template, over line ends.
 
-    A run may begin at one of the template's words: moved on to the next of
-    them, it holds no fewer.
+    A text is only asked about templates of which it holds a prefix token and
+    enough tokens in all. Its marks of one become rows in order, and each counts the
+    distinct tokens of the run that begins there: a run may begin at one of the
+    template's words, for moved on to the next of them it holds no fewer. Positions are
+    divided by the template's length, so one window of less than 1 serves
+    all; a row looks at as many words as the template has, whatever the text's length.
     """
-    at = table.where("size(marks) > 0").select("uid", "marks", F.explode("marks").alias("mark"))
-    near = at.select("uid", "marks", F.col("mark.at").alias("at"), F.col("mark.token").alias("token")).join(F.broadcast(known), "token")
-    apart = F.filter("marks", lambda m: (F.abs(m["at"] - F.col("at")) < F.col("length")) & F.array_contains("template", m["token"]))
-    near = near.withColumn("around", apart).where(F.size(F.array_distinct("around.token")) >= F.col("need"))
-    starts = F.filter("around", lambda m: m["at"] <= F.col("at"))
-
-    def held(start):
-        own = F.filter("around", lambda m: (m["at"] >= start["at"]) & (m["at"] < start["at"] + F.col("length")))
-        return F.size(F.array_distinct(F.transform(own, lambda m: m["token"])))
-
-    return near.withColumn("shared", F.array_max(F.transform(starts, held))).where("shared >= need")
+    whole = {}
+    for token, number, label, _, need, size, template, length in rows:
+        whole.setdefault(number, (label, need, size, length, template, []))[5].append(token)
+    known = F.array(*[
+        F.struct(F.lit(n).alias("number"), F.lit(label).alias("label"), F.lit(need).alias("need"), F.lit(size).alias("size"), F.lit(length).alias("length"), _strings(template).alias("template"), _strings(prefix).alias("prefix"))
+        for n, (label, need, size, length, template, prefix) in whole.items()
+    ])
+    held = table.where("size(marks) > 0").select("uid", "marks", F.array_distinct("marks.token").alias("tokens"))
+    asked = F.filter(known, lambda t: F.arrays_overlap(t["prefix"], F.col("tokens")) & (F.size(F.array_intersect(t["template"], F.col("tokens"))) >= t["need"]))
+    pairs = held.select("uid", "marks", F.explode(asked).alias("t"))
+    mine = F.filter("marks", lambda m: F.array_contains(F.col("t.template"), m["token"]))
+    marks = pairs.select("uid", "t.number", "t.label", "t.need", "t.size", "t.length", F.explode(mine).alias("m")).select("*", "m.token", (F.col("m.at") / F.col("length")).alias("at")).drop("m")
+    longest = max(length for _, _, _, length, _, _ in whole.values())
+    run = f"OVER (PARTITION BY uid, number ORDER BY at RANGE BETWEEN CURRENT ROW AND {1 - 1 / (2 * longest)}D FOLLOWING)"
+    return marks.withColumn("shared", F.expr(f"size(collect_set(token) {run})")).where("shared >= need")
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
@@ -160,7 +168,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     last_word (smallest and largest start, else null), base_labels, labels
     (with the join's), score: 1 with a phrase, else the largest containment
     found, else 0. A null text is empty, and empty texts have no words; texts
-    may be of any length. Rows that repeat an id, or have none, are judged one
+    may be of any length, and take time in proportion to it. Rows that repeat an id, or have none, are judged one
     by one; other columns, whatever their names, are ignored; an empty table
     gives an empty result.
     """
@@ -207,7 +215,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     shared = candidates.withColumn("shared", F.size(F.array_intersect("tokens", "template"))).where("shared >= need")
     shared = shared.select("uid", "label", "shared", "size")
     if wrapped:
-        shared = shared.unionByName(_in_runs(table, known).select("uid", "label", "shared", "size"))
+        shared = shared.unionByName(_in_runs(table, rows).select("uid", "label", "shared", "size"))
     labels = shared.groupBy("uid").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.col("size")).alias("most"))
 
     base = F.array_sort(F.array_distinct(F.transform(F.coalesce("at", F.expr("array()").cast("array<struct<at:int,label:string>>")), lambda p: p["label"])))

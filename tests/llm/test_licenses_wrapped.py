@@ -1,6 +1,7 @@
 """op5 on notices that are broken over lines."""
 
 import random
+import time
 
 from spillspark.llm import licenses, queries
 from tests.llm.test_licenses import WORD, brute, low, made
@@ -39,3 +40,21 @@ def test_query_finds_wrapped_notices(spark, tmp_path):
     spark.createDataFrame([(1, BSD), (2, MPL), (3, "plain\ntext")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {x.doc_id: x.labels for x in queries.op5_license_scan(spark, str(tmp_path)).collect()}
     assert got == {1: "bsd", 2: "mpl", 3: ""}
+
+
+def test_very_long_texts(spark):
+    """Two million letters, a third of the words from templates, twelve words a line."""
+    r = random.Random(6)
+    common = sorted({w for t, _ in licenses.TEMPLATES for w in t.split()})
+
+    def text(n):
+        return "".join((r.choice(common) if r.random() < 0.3 else "word%d" % r.randrange(999)) + ("\n" if i % 12 == 11 else " ") for i in range(n))
+
+    small, large = text(4_000), text(280_000)
+    rows = [(1, small), (2, large + MPL + text(20_000)), (3, "x" * 2_000_000), (4, ("the license of\n" * 60_000))]
+    assert len(rows[1][1]) > 2_000_000
+    began = time.time()
+    got = {x.doc_id: tuple(x)[1:] for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), wrapped=True).collect()}
+    took = time.time() - began
+    assert got[1] == runs(small) and "mpl" in got[2][5].split(",") and got[3][0] == 1 and got[4][5] == ""
+    assert took < 120  # it took hours before
