@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spillspark.functions import geo, grids
+from spillspark.functions import geo
+from spillspark.functions import grids as cells_of
 
 WINDAGE = 0.03
 
@@ -67,7 +68,7 @@ def interpolate(points: DataFrame, grid: DataFrame) -> DataFrame:
     Axes may ascend or descend on input; points outside are clamped to the
     edge. See ``grids``: cells carry their corners, so points are joined once.
     """
-    return grids.interpolate(points, grid, ["field_id"], "lat", "lon", ["u", "v"])
+    return cells_of.interpolate(points, grid, ["field_id"], "lat", "lon", ["u", "v"])
 
 
 def _bilinear(lats: np.ndarray, lons: np.ndarray, field: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -83,17 +84,23 @@ def _bilinear(lats: np.ndarray, lons: np.ndarray, field: np.ndarray, lat: np.nda
 TRAJECTORY = "incident_id bigint, step int, lon double, lat double, us bigint, vx double, vy double, radius_m double"
 
 
-def hindcast(starts: DataFrame, grid: DataFrame, hours: float, step_s: float, windage: float = WINDAGE, radius0_m: float = 5000.0, growth_m_per_h: float = 300.0, salts: int = 1) -> DataFrame:
+BLOCK = 2048  # starts that step together in one task
+
+
+def hindcast(starts: DataFrame, grid: DataFrame, hours: float, step_s: float, windage: float = WINDAGE, radius0_m: float = 5000.0, growth_m_per_h: float = 300.0, block: int = BLOCK) -> DataFrame:
     """Backward Euler steps of many incidents through wind and current grids.
 
     ``starts``: incident_id, field_id, lon0, lat0, target_us. ``grid``:
     field_id, lat, lon, wind_u, wind_v, cur_u, cur_v. Time is sequential, so
-    the starts of a field step together, vectorised; ``salts`` deals the
-    starts of a busy field over several tasks, each with the grid.
+    starts of a field step together, vectorised. They are counted per field and dealt in blocks of
+    about ``block``, each with the field's grid: a task holds the steps of one block.
     """
     n = math.ceil(hours * 3600 / step_s)
-    salted = starts.withColumn("salt", F.pmod(F.xxhash64("incident_id"), F.lit(salts)).cast("int"))
-    grids = grid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = starts.groupBy("field_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    salted = starts.join(counts, "field_id").withColumn("salt", F.pmod(F.xxhash64("incident_id"), F.col("blocks")).cast("int")).drop("blocks")
+    grids = grid.join(counts, "field_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    # Both sides may come from one table: columns of their own keep them apart.
+    salted, grids = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (salted, grids))
 
     def run(points: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         if points.empty or cells.empty:

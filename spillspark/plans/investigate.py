@@ -1,49 +1,20 @@
 """Detection and whole investigations as chains of stages whose results are kept.
 
-A stage's result is a table in a folder of ``root``, with a row or more per
-incident. A stage only runs for incidents that have none yet, or for all of
-those given with ``force``; what others have stays.
+See ``manifest`` for what is kept and when it is made anew.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spillspark.operators import attribution, catalog, drift, joins, raster, tracks
+from spillspark.operators import attribution, drift, georef, raster
+from spillspark.plans.manifest import Input, Stage, Store
 from spillspark.sources import workspace
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stage's table, or None where it was never run. The last run of an incident counts."""
-    try:
-        rows = spark.read.option("recursiveFileLookup", True).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-    last = rows.groupBy("incident_id").agg(F.max("run").alias("run"))
-    return rows.join(last, ["incident_id", "run"]).drop("run")
-
-
-def stage(spark: SparkSession, path: str, incidents: DataFrame, make: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
-    """The stage's rows of ``incidents``; ``make`` gives those of the incidents that lack them, or of all with ``force``.
-
-    A run is a folder of its own, so a run that fails leaves the others as they are.
-    """
-    before = stored(spark, path)
-    runs = before is not None and spark.read.option("recursiveFileLookup", True).parquet(path).agg(F.max("run")).first()[0]
-    todo = incidents if before is None else catalog.pending(incidents, before, force)
-    todo = workspace.written(todo, "pending")
-    if todo.limit(1).count():
-        make(todo).withColumn("run", F.lit(int(runs or 0) + 1)).write.parquet(f"{path}/{uuid.uuid4().hex}")
-    return stored(spark, path).join(incidents.select("incident_id").distinct(), "incident_id", "left_semi")
-
-
 def scene_detection(pixels: DataFrame, lut: DataFrame, predictor: Callable[[], raster.Predictor], size: int) -> DataFrame:
     """Scores of calibrated scenes: (scene_id, r, c, prob, is_oil, vv, vh).
 
@@ -75,33 +46,52 @@ def detection_report(scored: DataFrame) -> DataFrame:
     return raster.scene_stats(scored).drop("n_oil").join(raster.percentiles(scored), "scene_id").join(counts, "scene_id")
 
 
-def investigation(spark: SparkSession, root: str, pixels: DataFrame, reports: DataFrame, incidents: DataFrame, transform: tuple[float, ...], radius_km: float = 40.0, hours: float = 24, window_hours: float = 120, force: bool = False) -> DataFrame:
-    """Outline, origin and ranked candidates of each incident, stage by stage, with reuse.
+def stages(predictor: Callable[[], raster.Predictor], named: str, tile: int = raster.TILE, least_pixels: int = 50, hours: float = 144, step_s: float = 3600, radius0_m: float = 5000.0, top: int = 10) -> list[Stage]:
+    """Detection, geometry, drift and attribution of incidents; ``named`` tells the predictor apart.
 
-    ``pixels``: incident_id, r, c, prob, vv, vh. ``incidents``: incident_id,
-    target_us and the wind and current at the slick.
+    Inputs: ``pixels`` (incident_id, r, c, vv, vh as digital numbers), ``lut`` and ``ties`` of each
+    incident's scene, ``times`` (incident_id, field_id, target_us), ``winds`` (a grid
+    per field_id) and ``reports``.
     """
 
-    def outline(todo: DataFrame) -> DataFrame:
-        mask = raster.masks(pixels.join(todo.select("incident_id"), "incident_id", "left_semi")).select(F.col("incident_id").alias("scene_id"), "r", "c", F.col("core").cast("int").alias("is_oil"))
-        return raster.mask_geometry(mask, transform).withColumnRenamed("scene_id", "incident_id")
-
-    shapes = stage(spark, f"{root}/outline", incidents, outline, force)
-
-    def origin(todo: DataFrame) -> DataFrame:
-        starts = todo.join(shapes.where("has_oil"), "incident_id").withColumns({"lon0": F.col("centroid_x"), "lat0": F.col("centroid_y")})
-        end = drift.simulate(starts, hours, hours * 3600, direction="backward").where("step = 1")
-        return end.select("incident_id", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"), "target_us", F.lit(radius_km).alias("radius_km"))
-
-    spilled = incidents.join(shapes.where("has_oil").select("incident_id"), "incident_id", "left_semi")
-    origins = stage(spark, f"{root}/origin", spilled, origin, force)
-
-    def candidates(todo: DataFrame) -> DataFrame:
-        own = origins.join(todo.select("incident_id"), "incident_id", "left_semi")
-        near = joins.search_area_join(reports, own, hours=window_hours)
-        s = tracks.summarize(near, "lon0", "lat0", ("incident_id", "vessel_id")).join(own.select("incident_id", "target_us"), "incident_id")
-        ranks = attribution.prototype(s.withColumns({"distance_m": F.round("distance_m", 2), "heading_spread": F.round("heading_std", 4)}))
-        best = ranks.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.when(F.col("rank") <= 20, F.struct("rank", "vessel_id", "overall_score", "temporal_proximity", "heading_consistency")))).alias("candidates"))
-        return own.select("incident_id", "lon0", "lat0").join(best, "incident_id", "left")
-
-    return stage(spark, f"{root}/candidates", spilled, candidates, force)
+    def of(rows: DataFrame, todo: DataFrame) -> DataFrame:
+        return rows.join(todo, "incident_id", "left_semi")
+
+    def scene(rows: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed("incident_id", "scene_id")
+
+    def detection(todo: DataFrame, pixels: DataFrame, lut: DataFrame) -> DataFrame:
+        scored = scene_detection(scene(of(pixels, todo)), scene(of(lut, todo)), predictor, tile)
+        return scored.drop("is_oil").withColumnRenamed("scene_id", "incident_id")
+
+    def geometry(todo: DataFrame, detected: DataFrame, ties: DataFrame) -> DataFrame:
+        masked = raster.masks(scene(of(detected, todo)))
+        stats = raster.without_speckle(raster.component_stats(raster.scene_components(masked.where("oil"))), least_pixels, 1)
+        totals = georef.spill_totals(georef.component_shapes(stats, scene(of(ties, todo))), raster.mask_counts(masked))
+        return totals.withColumnRenamed("scene_id", "incident_id")
+
+    def hindcast(todo: DataFrame, spill: DataFrame, times: DataFrame, winds: DataFrame) -> DataFrame:
+        starts = of(spill, todo).join(times, "incident_id").select("incident_id", "field_id", F.col("centroid_lon").alias("lon0"), F.col("centroid_lat").alias("lat0"), "target_us")
+        return drift.hindcast(starts, winds, hours, step_s, radius0_m=radius0_m)
+
+    def candidates(todo: DataFrame, path: DataFrame, reports: DataFrame) -> DataFrame:
+        own = workspace.written(of(path, todo), "path")
+        last = own.groupBy("incident_id").agg(F.max_by(F.struct("lon", "lat", "us", "radius_m"), "step").alias("e"))
+        zones = last.select("incident_id", F.col("e.lon").alias("lon0"), F.col("e.lat").alias("lat0"), F.col("e.us").alias("target_us"), (F.col("e.radius_m") / 1000).alias("radius_km"))
+        ranks = attribution.ranked(attribution.scored(attribution.evidence(reports, zones, own)))
+        return ranks.where(F.col("rank") <= top)
+
+    return [
+        Stage("detection", ("pixels", "lut"), detection, (named, tile)),
+        Stage("geometry", ("detection", "ties"), geometry, (raster.OIL, raster.CORE, least_pixels)),
+        Stage("drift", ("geometry", "times", "winds"), hindcast, (hours, step_s, radius0_m)),
+        Stage("attribution", ("drift", "reports"), candidates, (top, tuple(sorted(attribution.WEIGHTS.items())))),
+    ]
+
+
+def investigation(store: Store, incidents: DataFrame, inputs: dict[str, Input], chain: list[Stage], force: bool = False) -> DataFrame:
+    """One row per incident and candidate, with the spill and its origin; incidents without oil have one without."""
+    made = store.run(incidents, inputs, chain, force)
+    last = made["drift"].groupBy("incident_id").agg(F.max_by(F.struct("lon", "lat", "us"), "step").alias("origin"))
+    whole = incidents.select("incident_id").distinct().join(made["geometry"], "incident_id", "left").join(last, "incident_id", "left").join(made["attribution"], "incident_id", "left")
+    return whole

@@ -69,28 +69,29 @@ def simulated(source: str, name: str, n: int, step_s: int, sign: int) -> str:
 
 
 def hindcast(n: int) -> list[str]:
-    """Steps of an hour backward through the linear field, on UTM zone 52, step after step."""
+    """Steps of an hour backward through the linear field, on UTM zone 52, step after step (recursive)."""
     radius, forward, inverse, latitude = geo._series()
     e = (geo.FLATTENING * (2 - geo.FLATTENING)) ** 0.5
+    size = num(0.9996 * radius)
     series = lambda k, f, g, a, b: " + ".join(f"{num(x)} * {f}({2 * (i + 1)} * {a}) * {g}({2 * (i + 1)} * {b})" for i, x in enumerate(k))
-    out = [
-        f"w1 AS (SELECT *, sin(radians(lat0)) AS s, radians(lon0 - 129.0e0) AS dl FROM inc)",
+    speed = "0.2500137e0 + 0.125e0 * ((lat - 27) / 2) + 0.03e0 * (region_id * 2.0e0 + (lon - 122) / 2) AS vx, region_id * -0.1250193e0 - 0.0000171e0 + 0.0625e0 * ((lon - 122) / 2) + 0.03e0 * (5.0e0 - (lat - 27) / 2) AS vy"
+    return [
+        "w1 AS (SELECT *, sin(radians(lat0)) AS s, radians(lon0 - 129.0e0) AS dl FROM inc)",
         f"w2 AS (SELECT *, sinh(atanh(s) - {num(e)} * atanh({num(e)} * s)) AS t FROM w1)",
         "w3 AS (SELECT *, atan2(t, cos(dl)) AS xi, asinh(sin(dl) / sqrt(t * t + cos(dl) * cos(dl))) AS eta FROM w2)",
-        f"p0 AS (SELECT incident_id, region_id, target_us, lon0 AS lon, lat0 AS lat, 500000.0e0 + {num(0.9996 * radius)} * (eta + {series(forward, 'cos', 'sinh', 'xi', 'eta')}) AS x, {num(0.9996 * radius)} * (xi + {series(forward, 'sin', 'cosh', 'xi', 'eta')}) AS y FROM w3)",
+        f"""path AS (
+  SELECT incident_id, region_id, target_us, 0 AS step, lon0 AS lon, lat0 AS lat, 500000.0e0 + {size} * (eta + {series(forward, 'cos', 'sinh', 'xi', 'eta')}) AS x, {size} * (xi + {series(forward, 'sin', 'cosh', 'xi', 'eta')}) AS y FROM w3
+  UNION ALL
+  SELECT incident_id, region_id, target_us, step, degrees(atan2(sinh(b), cos(a))) + 129 AS lon, degrees(chi + """
+        + " + ".join(f"{num(k)} * sin({2 * (j + 1)} * chi)" for j, k in enumerate(latitude))
+        + f""") AS lat, x, y FROM (
+    SELECT *, asin(sin(a) / cosh(b)) AS chi FROM (
+      SELECT *, xi - ({series(inverse, 'sin', 'cosh', 'xi', 'eta')}) AS a, eta - ({series(inverse, 'cos', 'sinh', 'xi', 'eta')}) AS b FROM (
+        SELECT *, y / {size} AS xi, (x - 500000.0e0) / {size} AS eta FROM (
+          SELECT incident_id, region_id, target_us, step + 1 AS step, x - vx * 3600 AS x, y - vy * 3600 AS y FROM (SELECT *, {speed} FROM path WHERE step < {n})))))
+)""",
+        f"way AS (SELECT incident_id, step::INT AS step, target_us - step * 3600000000 AS us, lon, lat, vx, vy, 5000.0e0 + 300.0e0 * step AS radius_m FROM (SELECT *, {speed} FROM path))",
     ]
-    for i in range(n + 1):
-        out.append(f"q{i} AS (SELECT *, 0.2500137e0 + 0.125e0 * ((lat - 27) / 2) + 0.03e0 * (region_id * 2.0e0 + (lon - 122) / 2) AS vx, region_id * -0.1250193e0 - 0.0000171e0 + 0.0625e0 * ((lon - 122) / 2) + 0.03e0 * (5.0e0 - (lat - 27) / 2) AS vy FROM p{i})")
-        if i < n:
-            out += [
-                f"m{i} AS (SELECT incident_id, region_id, target_us, x - vx * 3600 AS x, y - vy * 3600 AS y FROM q{i})",
-                f"n{i} AS (SELECT *, y / {num(0.9996 * radius)} AS xi, (x - 500000.0e0) / {num(0.9996 * radius)} AS eta FROM m{i})",
-                f"o{i} AS (SELECT *, xi - ({series(inverse, 'sin', 'cosh', 'xi', 'eta')}) AS a, eta - ({series(inverse, 'cos', 'sinh', 'xi', 'eta')}) AS b FROM n{i})",
-                f"r{i} AS (SELECT *, asin(sin(a) / cosh(b)) AS chi FROM o{i})",
-                f"p{i + 1} AS (SELECT incident_id, region_id, target_us, x, y, degrees(atan2(sinh(b), cos(a))) + 129 AS lon, degrees(chi + " + " + ".join(f"{num(k)} * sin({2 * (j + 1)} * chi)" for j, k in enumerate(latitude)) + f") AS lat FROM r{i})",
-            ]
-    out.append("way AS (" + " UNION ALL ".join(f"SELECT incident_id, {i}::INT AS step, target_us - {i * 3_600_000_000} AS us, lon, lat, vx, vy, {5000.0 + 300.0 * i}e0 AS radius_m FROM q{i}" for i in range(n + 1)) + ")")
-    return out
 
 
 LATEST = "latest AS (SELECT vessel_id, max(row(us, lon, lat, speed, coalesce(heading, -1))) AS m FROM ais GROUP BY vessel_id), last AS (SELECT a.vessel_id, a.us, a.lon, a.lat, a.speed, a.heading FROM ais a JOIN (SELECT vessel_id, max(us) AS us FROM ais GROUP BY vessel_id) b USING (vessel_id, us))"
@@ -373,7 +374,7 @@ FROM t JOIN grid g ON g.field_id = t.field_id AND abs(g.lon - 123.0e0 - (ix + 0.
 UNION ALL SELECT incident_id, 0, NULL, 'LineString', NULL FROM inc"""),
     "report_facts": q(*LITE, f"SELECT i.incident_id, i.name, round(i.lon0, 6) AS lon0, round(i.lat0, 6) AS lat0, round({pi!r}e0 * i.radius_km * i.radius_km, 2) AS area_km2, t.vessel_id, t.score, 4::BIGINT AS n_evidence FROM inc i LEFT JOIN topped t ON t.incident_id = i.incident_id AND t.rank = 1"),
     "candidate_distances": q(AIS, INC, LATEST, "d AS (SELECT incident_id, vessel_id, sqrt(power((lon - lon0) * 111.0e0 * cos(radians(lat0)), 2) + power((lat - lat0) * 111.0e0, 2)) AS km FROM last, inc)", "SELECT incident_id, vessel_id, round(km, 4) AS flat_km FROM d WHERE km <= 60"),
-    "hindcast_grid": q(SPILL, *hindcast(3), "SELECT incident_id, step, us, round(lon, 5) AS lon, round(lat, 5) AS lat, round(vx, 5) AS vx, round(vy, 5) AS vy, radius_m FROM way"),
+    "hindcast_grid": q(SPILL, *hindcast(24), "SELECT incident_id, step, us, round(lon, 5) AS lon, round(lat, 5) AS lat, round(vx, 5) AS vx, round(vy, 5) AS vy, radius_m FROM way", recursive=True),
     "mask_to_candidates": q(
         AIS, PX, MASK, _mask_geometry(0.01, 124.5, -0.005, 30.8),
         f"start AS (SELECT scene_id AS incident_id, centroid_x AS lon0, centroid_y AS lat0, {10 * DAY_US} AS target_us, 4.0e0 AS wind_u, -2.0e0 AS wind_v, 0.2e0 AS cur_u, 0.1e0 AS cur_v FROM outline WHERE has_oil)",

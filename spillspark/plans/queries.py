@@ -193,16 +193,20 @@ def grid_interpolate(spark: SparkSession, d: str) -> DataFrame:
     return _r(drift.interpolate(points, _grid(spark, d)).select("incident_id", "field_id", "u", "v"), 6, "u", "v")
 
 
-def hindcast_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Backward drift through winds and currents that vary with the place, field by field.
+def winds(fields: DataFrame, west: int = 0, east: int = 4) -> DataFrame:
+    """Winds and currents of ``fields`` (field_id) that vary with the place, at nodes two degrees apart from (122, 27).
 
     They are linear in it, so that bilinear values are exact and SQL can say them.
     """
-    i = spark.range(16).select(F.expr("cast(id div 4 AS double)").alias("y"), F.expr("cast(id % 4 AS double)").alias("x"))
+    i = fields.sparkSession.range(4 * (east - west)).select(F.expr("cast(id % 4 AS double)").alias("y"), F.expr(f"cast(id div 4 + {west} AS double)").alias("x"))
+    at = fields.join(F.broadcast(i))
+    return at.select("field_id", (27 + 2 * F.col("y")).alias("lat"), (122 + 2 * F.col("x")).alias("lon"), (F.col("field_id") * 2.0 + F.col("x")).alias("wind_u"), (5.0 - F.col("y")).alias("wind_v"), (0.2500137 + 0.125 * F.col("y")).alias("cur_u"), (F.col("field_id") * -0.1250193 - 0.0000171 + 0.0625 * F.col("x")).alias("cur_v"))
+
+
+def hindcast_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Backward drift of a day by steps of an hour through winds and currents, field by field, in blocks of starts."""
     starts = _spills(spark, d).select("incident_id", F.col("region_id").alias("field_id"), "lon0", "lat0", "target_us")
-    fields = _spills(spark, d).select(F.col("region_id").alias("field_id")).distinct()
-    grid = fields.join(F.broadcast(i)).select("field_id", (27 + 2 * F.col("y")).alias("lat"), (122 + 2 * F.col("x")).alias("lon"), (F.col("field_id") * 2.0 + F.col("x")).alias("wind_u"), (5.0 - F.col("y")).alias("wind_v"), (0.2500137 + 0.125 * F.col("y")).alias("cur_u"), (F.col("field_id") * -0.1250193 - 0.0000171 + 0.0625 * F.col("x")).alias("cur_v"))
-    out = drift.hindcast(starts, grid, 3, 3600, salts=8)
+    out = drift.hindcast(starts, winds(starts.select("field_id").distinct()), 24, 3600, block=256)
     return _r(_r(out.select("incident_id", "step", "us", "lon", "lat", "vx", "vy", "radius_m"), 5, "lon", "lat", "vx", "vy"), 6, "radius_m")
 
 

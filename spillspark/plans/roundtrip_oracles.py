@@ -6,9 +6,8 @@ from math import pi
 
 from spillspark.functions import geo
 from spillspark.plans.oracles import (
-    AIS, BOUNDARY, COUNTS, END, FOUND, GROUND, INC, LITE, MASK, MEASURED, PAIRS, PX, RISK, ROW_HIGH, ROW_WIDE, SCORED, SPILL, STATS, A, _mask_geometry, components, geodesic, num, q,
+    AIS, BOUNDARY, COUNTS, END, FOUND, GROUND, INC, LITE, MASK, MEASURED, PAIRS, PX, RISK, ROW_HIGH, ROW_WIDE, SCORED, SPILL, STATS, A, _mask_geometry, components, geodesic, hindcast, num, q,
 )
-from spillspark.plans.oracles import ORACLE_SQL as BASE
 from spillspark.sources.derived import DAY_US
 
 SUMS = """sums AS (
@@ -24,6 +23,16 @@ def percent(column: str, p: int) -> str:
     return f"round(quantile_cont({column}, {p / 100}), 6) AS p{p}"
 
 
+def detected(c: str) -> list[str]:
+    """Calibrated and normalised pixels, scored by nv / (c + nv + nh), and their masks."""
+    return [
+        "a AS (SELECT scene_id, r, c, vv, vh, least(r, 300) * 0.5e0 + least(c, 160) * 0.25e0 AS a FROM px)",
+        "db AS (SELECT *, CASE WHEN vv > 0 THEN 10 * log10(greatest(vv * vv / ((400.0e0 + a) * (400.0e0 + a)), 1e-7)) ELSE -50.0 END AS dv, CASE WHEN vh > 0 THEN 10 * log10(greatest(vh * vh / ((500.0e0 + a) * (500.0e0 + a)), 1e-7)) ELSE -50.0 END AS dh FROM a)",
+        "n AS (SELECT *, (greatest(-50.0e0, least(5.0e0, dv)) + 50) / 55 AS nv, (greatest(-50.0e0, least(5.0e0, dh)) + 50) / 55 AS nh FROM db)",
+        MASK.replace("FROM px", f"FROM (SELECT scene_id, r, c, vv, vh, nv / ({c} + nv + nh) AS prob FROM n)"),
+    ]
+
+
 ORACLE_SQL: dict[str, str] = {
     "csv_reports": q(AIS, "SELECT CASE WHEN user_id % 3 = 0 THEN 'MMSI_' || user_id ELSE vessel_id END AS vessel_id, user_id AS mmsi, us, round(lat, 6) AS lat, round(lon, 6) AS lon, speed, heading FROM ais WHERE event_id % 10 <> 0"),
     "json_reports": q(AIS, "SELECT CASE user_id % 4 WHEN 0 THEN vessel_id WHEN 1 THEN user_id::VARCHAR WHEN 2 THEN 'N' || user_id ELSE 'UNKNOWN' END AS vessel_id, us, true AS mirrored, round(lat, 6) AS lat, round(lon, 6) AS lon, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE speed END AS speed, heading FROM ais WHERE event_id % 11 <> 0"),
@@ -80,11 +89,19 @@ FROM (SELECT DISTINCT scene_id FROM px) s LEFT JOIN core k USING (scene_id) LEFT
         geodesic("kept", "legs", "leg_m", "vessel_id, us, us_b, lon, lat, lon_b, lat_b", "lon_b", "lat_b", "lon", "lat"),
         f"SELECT vessel_id, us, round(leg_m / ((us - us_b) / 1e6) * {num(geo.KNOTS)}, 4) AS knots, CASE WHEN sqrt((lon - lon_b) * (lon - lon_b) + (lat - lat_b) * (lat - lat_b)) < 1e-6 THEN 'Stationary' ELSE list_extract({geo.COMPASS_8!r}, (floor((((degrees(atan2(lon - lon_b, lat - lat_b)) + 360) % 360) + 22.5) / 45)::INT % 8) + 1) END AS direction FROM legs",
     ),
-    "scene_detection": q(
-        PX, "a AS (SELECT scene_id, r, c, vv, vh, least(r, 300) * 0.5e0 + least(c, 160) * 0.25e0 AS a FROM px)",
-        "db AS (SELECT *, CASE WHEN vv > 0 THEN 10 * log10(greatest(vv * vv / ((400.0e0 + a) * (400.0e0 + a)), 1e-7)) ELSE -50.0 END AS dv, CASE WHEN vh > 0 THEN 10 * log10(greatest(vh * vh / ((500.0e0 + a) * (500.0e0 + a)), 1e-7)) ELSE -50.0 END AS dh FROM a)",
-        "n AS (SELECT *, (greatest(-50.0e0, least(5.0e0, dv)) + 50) / 55 AS nv, (greatest(-50.0e0, least(5.0e0, dh)) + 50) / 55 AS nh FROM db)", "scored AS (SELECT *, nv / (0.25e0 + nv + nh) AS p, vv > 0 AND vh > 0 AS valid FROM n)",
-        "SELECT scene_id, round(min(p), 6) AS p_min, round(max(p), 6) AS p_max, round(avg(p), 6) AS p_mean, " + ", ".join(percent("p", k) for k in (10, 50, 99)) + ", count(*)::BIGINT AS n_pixels, count_if(valid)::BIGINT AS n_valid, count_if(valid AND p >= 0.5)::BIGINT AS n_oil, count_if(valid AND p >= 0.7)::BIGINT AS n_core FROM scored GROUP BY scene_id",
+    "scene_detection": q(PX, *detected("0.25e0"), "SELECT scene_id, round(min(prob), 6) AS p_min, round(max(prob), 6) AS p_max, round(avg(prob), 6) AS p_mean, " + ", ".join(percent("prob", k) for k in (10, 50, 99)) + ", count(*)::BIGINT AS n_pixels, count_if(valid)::BIGINT AS n_valid, count_if(oil)::BIGINT AS n_oil, count_if(core)::BIGINT AS n_core FROM mask GROUP BY scene_id"),
+    "full_investigation": q(
+        AIS, PX, *detected("0.02e0"), COUNTS, components(""), STATS, *GROUND,
+        "totals AS (SELECT scene_id, count(*)::BIGINT AS n_components, sum(ground_m2) AS area_m2, avg((2 * lon0 + lon1 + lon2 + lon3) / 5) AS centroid_lon, avg((2 * lat0 + lat1 + lat2 + lat3) / 5) AS centroid_lat FROM ground GROUP BY scene_id)",
+        f"spot0 AS (SELECT scene_id AS incident_id, scene_id % 5 AS region_id, {10 * DAY_US} AS target_us, centroid_lon AS lon0, centroid_lat AS lat0 FROM totals)",
+        *[p.replace("FROM inc)", "FROM spot0)") for p in hindcast(24)],
+        "inc AS (SELECT incident_id, lon AS lon0, lat AS lat0, us AS target_us, radius_m / 1000 AS radius_km FROM way WHERE step = 24)",
+        PAIRS, MEASURED, FOUND, "wp AS (SELECT a.vessel_id, a.lon AS vlon, a.lat AS vlat, w.incident_id, w.lon AS wlon, w.lat AS wlat FROM (SELECT DISTINCT vessel_id, lon, lat FROM ais) a, way w)",
+        geodesic("wp", "wp1", "d_way", "vessel_id, incident_id", "vlon", "vlat", "wlon", "wlat"),
+        "wmin AS (SELECT incident_id, vessel_id, round(min(d_way) / 1000, 2) AS d_trajectory_km FROM wp1 GROUP BY incident_id, vessel_id)",
+        "with_path AS (SELECT * FROM evidence JOIN wmin USING (incident_id, vessel_id))", SCORED.format(source="with_path"),
+        """SELECT i.scene_id AS incident_id, round(area_m2, 1) AS area_m2, n_components, n_oil, round(centroid_lon, 7) AS centroid_lon, round(o.lon0, 5) AS origin_lon, round(o.lat0, 5) AS origin_lat, o.target_us AS origin_us,
+  vessel_id, rank, d_source_km, d_trajectory_km, in_zone_count, score FROM (SELECT DISTINCT scene_id FROM px) i LEFT JOIN (totals JOIN counts USING (scene_id)) t USING (scene_id) LEFT JOIN inc o ON o.incident_id = i.scene_id LEFT JOIN (SELECT * FROM topped WHERE rank <= 10) r ON r.incident_id = i.scene_id""",
+        recursive=True,
     ),
-    "full_investigation": BASE["mask_to_candidates"],
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spillspark.functions import geo
 from spillspark.operators import attribution, catalog, outlines, raster, risk, tracks
 from spillspark.plans import investigate, queries
+from spillspark.plans.manifest import Input, Store
 from spillspark.sources import derived, readers, sinks, workspace
 from spillspark.sources.workspace import new_folder
 
@@ -333,15 +334,31 @@ def scene_detection(spark: SparkSession, d: str) -> DataFrame:
     return out.select("scene_id", *[F.round(c, 6).alias(c) for c in ("p_min", "p_max", "p_mean", "p10", "p50", "p99")], "n_pixels", "n_valid", "n_oil", "n_core")
 
 
+def _inputs(spark: SparkSession, d: str) -> dict[str, Input]:
+    """What the investigations of all scenes read."""
+    px = derived.pixels(spark, d).select(F.col("scene_id").alias("incident_id"), "r", "c", "vv", "vh")
+    scenes = px.select("incident_id").distinct()
+    nodes = scenes.join(F.broadcast(spark.range(70).select(F.expr("id div 35").alias("p"), F.expr("id % 35 div 5 * 50").alias("line"), F.expr("id % 5 * 40").alias("pixel"))))
+    lut = nodes.select("incident_id", F.when(F.col("p") == 0, "VV").otherwise("VH").alias("pol"), "line", "pixel", (400.0 + F.col("p") * 100 + F.col("line") * 0.5 + F.col("pixel") * 0.25).alias("a_sigma"))
+    times = scenes.select("incident_id", (F.col("incident_id") % 5).alias("field_id"), F.lit(10 * derived.DAY_US).alias("target_us"))
+    return {
+        "pixels": Input(px), "lut": Input(lut), "ties": Input(derived.ties(spark, d).withColumnRenamed("scene_id", "incident_id")), "times": Input(times),
+        "winds": Input(queries.winds(times.select("field_id").distinct(), -3, 10), None), "reports": Input(derived.ais(spark, d), None),
+    }
+
+
 def full_investigation(spark: SparkSession, d: str) -> DataFrame:
-    """Outline, origin and candidates of every scene; half of the scenes were investigated before and are reused."""
-    px = derived.pixels(spark, d).withColumnRenamed("scene_id", "incident_id")
-    incidents = px.select("incident_id").distinct().select("incident_id", F.lit(10 * derived.DAY_US).alias("target_us"), F.lit(4.0).alias("wind_u"), F.lit(-2.0).alias("wind_v"), F.lit(0.2).alias("cur_u"), F.lit(0.1).alias("cur_v"))
-    root, map_ = new_folder(spark, "investigation"), (0.01, 0.0, 124.5, 0.0, -0.005, 30.8)
-    run = lambda which, reports: investigate.investigation(spark, root, px, reports, which, map_)
-    run(incidents.where("incident_id % 2 = 0"), derived.ais(spark, d))
-    out = run(incidents, derived.ais(spark, d))
-    return out.select("incident_id", F.inline("candidates")).select("incident_id", "vessel_id", "rank", "overall_score", "temporal_proximity", "heading_consistency")
+    """Detection, geometry, drift and attribution of every scene; half of the scenes were investigated before and are reused."""
+    inputs = _inputs(spark, d)
+    scenes = inputs["times"].rows.select("incident_id")
+    store = Store(spark, new_folder(spark, "investigation"))
+    chain = investigate.stages(lambda: lambda vv, vh: vv / (0.02 + vv + vh), "ratio", tile=64, least_pixels=2, hours=24)
+    store.run(scenes.where("incident_id % 2 = 0"), inputs, chain)
+    out = investigate.investigation(store, scenes, inputs, chain)
+    return out.select(
+        "incident_id", F.round("area_m2", 1).alias("area_m2"), "n_components", "n_oil", F.round("centroid_lon", 7).alias("centroid_lon"), F.round("origin.lon", 5).alias("origin_lon"), F.round("origin.lat", 5).alias("origin_lat"), F.col("origin.us").alias("origin_us"),
+        "vessel_id", "rank", "d_source_km", "d_trajectory_km", "in_zone_count", "score",
+    )
 
 
 NAMES = (

@@ -95,7 +95,7 @@ def grid(spark):
 
 def test_hindcast_moves_against_wind_and_current(spark):
     starts = spark.createDataFrame([(1, "f", 126.5, 29.5, 0), (2, "f", 126.6, 29.4, 0)], "incident_id long, field_id string, lon0 double, lat0 double, target_us long")
-    got = drift.hindcast(starts, grid(spark), 10, 3600, salts=3).where("incident_id = 1").orderBy("step").collect()
+    got = drift.hindcast(starts, grid(spark), 10, 3600, block=1).where("incident_id = 1").orderBy("step").collect()
     assert len(got) == 11 and got[-1].lon < got[0].lon and got[-1].lat < got[0].lat
     assert all(a.radius_m < b.radius_m for a, b in zip(got, got[1:], strict=False)) and abs(got[0].lon - 126.5) < 1e-9
 
