@@ -20,9 +20,14 @@ the logarithm of their distance, ``BINS`` a unit. The nearest share holds exactl
 that share of the documents: whole bins, and the documents of the bin where it
 ends (distances equal to 0.4 %, ties among them) by the same weight. A step is a
 group-by with partial sums: a source that holds a third of all rows is
-combined before the shuffle. Sources with fewer than ``LEAST`` documents are
-pooled by language, then all together; a pool that is still smaller can't carry
-six variances and 15 covariances and is not judged.
+combined before the shuffle.
+
+Every document that passes the base rules is judged. A source with fewer than ``LEAST``
+documents can't carry six variances and 15 covariances: it is judged by the estimate of
+its language's small sources together, those of languages that are still too small
+by one of all of these, and where even these are too few by one of the whole table. In a
+table that is smaller itself, the covariance is drawn to ``SPREAD`` and the scale to one, by
+the weight of the documents that lack. ``judged_by`` tells which it was.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ FIRST_STEPS, BEST, MAX_STEPS = 2, 2, 30
 #: Least standard deviation of a statistic, in its own (log) units: a share
 #: that is zero nearly everywhere still gets a scale.
 FLOOR = 0.25
+#: Standard deviation that a statistic is drawn to where fewer than ``LEAST`` documents tell it.
+SPREAD = 0.5
 #: Distances beyond this multiple of the chi-square quantile are rejected.
 LEVEL, SLACK = 0.999, 3.0
 FEATURES = ("x1", "x2", "x3", "x4", "x5", "x6")
@@ -138,7 +145,10 @@ def statistics(counts: DataFrame) -> DataFrame:
 
 
 def grouped(stats: DataFrame) -> DataFrame:
-    """Adds ``g``: the documents a row is judged with (null: too few)."""
+    """Adds ``g``, the group a row is judged with, and ``whole``: the last group is fitted on all rows.
+
+    Null only where a row's language and source have no row that passes the base rules.
+    """
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     keyed = stats.withColumns({"kl": name("lang"), "ks": name("source")})
     sizes = keyed.where(~F.col("base_failed")).groupBy("kl", "ks").agg(F.count(F.lit(1)).alias("n"))
@@ -146,7 +156,8 @@ def grouped(stats: DataFrame) -> DataFrame:
     rest = first.where("g is null").groupBy("kl").agg(F.sum("n").alias("nl"))
     second = first.join(rest, "kl", "left").withColumn("g", F.coalesce("g", F.when(F.col("nl") >= LEAST, F.concat_ws("\x1f", F.lit("lang"), "kl"))))
     pool = second.where("g is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("na"))
-    named = second.crossJoin(pool).select("kl", "ks", F.coalesce("g", F.when(F.col("na") >= LEAST, F.lit("all"))).alias("g"))
+    few = (F.col("na") > 0) & (F.col("na") < LEAST)
+    named = second.crossJoin(pool).select("kl", "ks", F.coalesce("g", F.lit("all")).alias("g"), few.alias("whole"))
     return keyed.join(named, ["kl", "ks"], "left").drop("kl", "ks")
 
 
@@ -169,7 +180,7 @@ def _starts(fit: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("j") == i, 1.4826 * F.col("mad") / 1000)).alias(f"mad{i}") for i in range(len(FEATURES))],
     )
     scale = lambda start, i: F.greatest(F.col(f"mad{i}"), F.lit(FLOOR)) if start == 0 else F.lit(2 * FLOOR)
-    made = _estimate(_sums(_drawn(fit)).withColumn("part", F.lit(1.0))).drop("was")
+    made = _estimate(_sums(_drawn(fit)).withColumn("part", F.lit(1.0)), drawn=False).drop("was")
     for start in (0, 1):
         one = wide.select(
             "g",
@@ -213,18 +224,27 @@ def _nearest(sums: DataFrame) -> DataFrame:
     """Adds ``part``, the weight of each bin: the nearest ``SHARE`` of a group's rows, no more and no less."""
     w = Window.partitionBy("g", "start")
     before = F.sum("n").over(w.orderBy("bin")) - F.col("n")
-    want = F.floor(SHARE * F.sum("n").over(w))
+    want = F.greatest(F.lit(1), F.floor(SHARE * F.sum("n").over(w)))
     return sums.withColumn("part", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (want - before) / F.col("n"))))
 
 
-def _estimate(sums: DataFrame) -> DataFrame:
-    """Mean and inverse Cholesky factor of each (g, start) from its bins by their weight ``part``."""
+def _lacking(rows: Column) -> Column:
+    """Rows that a group's nearest share lacks: so much weight goes to ``SPREAD`` and a scale of one."""
+    return F.greatest(F.lit(0.0), SHARE * LEAST - 1 - rows)
+
+
+def _estimate(sums: DataFrame, drawn: bool = True) -> DataFrame:
+    """Mean and inverse Cholesky factor of each (g, start) from its bins by their weight ``part``.
+
+    ``drawn``: small ones are drawn to ``SPREAD``.
+    """
     p = range(len(FEATURES))
     names = ["n", *[f"s{i}" for i in p], *[f"q{i}{j}" for i, j in PAIRS]]
     sums = sums.where("part > 0").groupBy("g", "start").agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in names], F.min("was").alias("was"))
     e = sums.withColumns({f"mu{i}": F.col(f"s{i}") / F.col("n") / 1000 for i in p})
+    lack = _lacking(F.col("n")) if drawn else F.lit(0.0)
     e = e.withColumns({
-        f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") / 1e6 - F.col(f"mu{i}") * F.col(f"mu{j}") + (FLOOR * FLOOR if i == j else 0.0)
+        f"c{i}{j}": ((F.col(f"q{i}{j}") / 1e6 - F.col("n") * F.col(f"mu{i}") * F.col(f"mu{j}")) + (lack * SPREAD * SPREAD if i == j else 0.0)) / (F.col("n") + lack) + (FLOOR * FLOOR if i == j else 0.0)
         for i, j in PAIRS
     })
     for j in p:  # Cholesky, column by column
@@ -244,7 +264,10 @@ def _estimate(sums: DataFrame) -> DataFrame:
 
 def estimates(stats: DataFrame) -> DataFrame:
     """One row per group: centre, inverse factor, and the scale of its distances."""
-    fit = stats.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *FEATURES)
+    rows = stats.where(~F.col("base_failed") & F.col("g").isNotNull())
+    if "whole" in stats.columns:
+        rows = rows.withColumn("g", F.explode(F.when(F.col("whole"), F.array_distinct(F.array("g", F.lit("all")))).otherwise(F.array("g"))))
+    fit = rows.select("g", *FEATURES)
     now = written(_starts(fit), "mcd")
     for step in range(MAX_STEPS):
         now = written(_estimate(_nearest(_sums(_distances(fit, now.drop("was"))))), "mcd")
@@ -253,22 +276,27 @@ def estimates(stats: DataFrame) -> DataFrame:
             now = written(now.withColumn("place", order).where(F.col("place") <= BEST).drop("place"), "mcd")
         elif step + 1 > FIRST_STEPS and not now.where("abs(logdet - was) > 1e-9").limit(1).count():
             break
-    best = now.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("b")).select("g", "b.start")
+    settled = F.abs(F.col("logdet") - F.col("was")) <= 1e-9
+    best = now.withColumn("settled", settled).groupBy("g").agg(F.min(F.struct("logdet", "start", "settled")).alias("b")).select("g", "b.start", "b.settled")
     chosen = written(now.join(best, ["g", "start"]).drop("was"), "mcd")
     ends = _nearest(_distances(fit, chosen).groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n"))).where("part > 0")
-    last = ends.groupBy("g").agg(F.max(F.struct("bin", "part")).alias("e"))
-    scale = last.select("g", (F.exp((F.col("e.bin") + F.col("e.part")) / BINS) / chi2_6(SHARE)).alias("scale"))
-    return written(chosen.join(scale, "g").select("g", "start", *[f"mu{i}" for i in range(len(FEATURES))], *[f"w{i}{j}" for i, j in PAIRS], "logdet", "scale"), "mcd")
+    last = ends.groupBy("g").agg(F.max(F.struct("bin", "part")).alias("e"), F.sum(F.col("n") * F.col("part")).alias("m"))
+    lack = _lacking(F.col("m"))
+    scale = last.select("g", ((F.col("m") * F.exp((F.col("e.bin") + F.col("e.part")) / BINS) / chi2_6(SHARE) + lack) / (F.col("m") + lack)).alias("scale"))
+    return written(chosen.join(scale, "g").select("g", "start", *[f"mu{i}" for i in range(len(FEATURES))], *[f"w{i}{j}" for i, j in PAIRS], "logdet", "scale", "settled"), "mcd")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang, source): counts and verdict.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, distance (null where a row isn't
-    judged), lang, source, text_key (hash of the text). A null text has no words and fails the base rule. Null languages
-    and sources are values of their own. Rows that repeat an id are judged one
-    by one; other columns are ignored; an empty table gives an empty result.
+    n_repeat_words, base_failed, kept, distance, judged_by (source, lang, all, or
+    none where a row fails the base rules), settled (false where the estimate
+    still moved after ``MAX_STEPS``), lang, source, text_key (hash of the text). A
+    null, empty or wordless text has no words and fails the base rules; texts may
+    be of any length and count whole. Null languages and sources are values of
+    their own. Rows that repeat an id are judged one by one, equal rows alike;
+    other columns are ignored; an empty table gives an empty result.
     """
     stats = written(grouped(statistics(written(base_counts(docs), "counts"))), "stats")
     fitted = estimates(stats)
@@ -280,6 +308,7 @@ def judged(docs: DataFrame) -> DataFrame:
     return d.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~outlier).alias("kept"), F.round("distance", 3).alias("distance"),
+        F.when(F.col("base_failed"), "none").otherwise(F.substring_index("g", "\x1f", 1)).alias("judged_by"), "settled",
         "lang", "source", "text_key",
     )
 

@@ -215,13 +215,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) without near duplicates, all columns.
 
-    Of each group the row with the smallest (doc_id, hash of the text) stays; a
-    null id is smaller than any other; of rows equal in both, one stays. Null
-    and wordless texts are one group; other columns may have any names; an
+    Of each group the row with the smallest (doc_id, hash of the text) stays. Ids
+    may be of any type that has an order, numbers or texts; a null id is smaller
+    than any other; of rows equal in both, one stays. Null and wordless texts are
+    one group, very long ones count whole; other columns may have any names; an
     empty table stays empty.
     """
-    own = docs.select(whole_row(docs).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("sim_id"), F.xxhash64("text").alias("sim_key"), "text")
-    named = own.select(F.struct("sim_id", "sim_key").alias("id"), "text")
-    first = near_duplicates(named, "id", "text", words, distance).where("id = component_id").select("id.sim_id", "id.sim_key").distinct()
-    rows = own.join(first, ["sim_id", "sim_key"], "left_semi")
-    return rows.groupBy("sim_id", "sim_key").agg(F.first("row").alias("row")).select("row.*")
+    own = docs.select(whole_row(docs).alias("row"), F.struct(F.col("doc_id").alias("k"), F.xxhash64("text").alias("h")).alias("id"), "text")
+    named = near_duplicates(own, "id", "text", words, distance).where(F.col("id").eqNullSafe(F.col("component_id")))
+    first = named.select(F.col("id.k").alias("first_k"), F.col("id.h").alias("first_h")).distinct()
+    rows = own.join(first, F.col("id.k").eqNullSafe(F.col("first_k")) & (F.col("id.h") == F.col("first_h")), "left_semi")
+    return rows.groupBy("id").agg(F.first("row").alias("row")).select("row.*")

@@ -99,7 +99,34 @@ def test_the_nearest_share_is_exact(spark):
     assert np.allclose([fitted[f"mu{i}"] for i in range(6)], near.mean(0), atol=0.01)
 
 
-def test_groups_too_small_are_not_judged(spark):
-    text = "some plain words of a text " + " ".join(f"w{i}" for i in range(30))
-    got = quality.judged(spark.createDataFrame([(k, text + str(k), "en", "s") for k in range(9)], "doc_id long, text string, lang string, source string")).collect()
-    assert all(r.kept and r.distance is None for r in got)
+def plain(k, n=60):
+    r = random.Random(k)
+    return " ".join(r.choice("some plain words of a text that goes on and says little".split()) + str(r.randrange(99)) for _ in range(n + r.randrange(9)))
+
+
+def test_every_document_is_judged(spark):
+    """Small sources, small languages, and a table that is small itself."""
+    odd = " ".join("$$%d##ABC" % k for k in range(60))
+    rows = [(k, plain(k), "en", "big") for k in range(150)] + [(1000 + k, plain(k), "en", f"s{k % 9}") for k in range(70)] + [(2000 + k, plain(k), "fr", "s") for k in range(5)] + [(2999, odd, "fr", "s"), (1999, odd, "en", "s0"), (3000, "few words", "de", None)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    by = lambda low, high: {r.judged_by for k, r in got.items() if low <= k < high}
+    assert (by(0, 1000), by(1000, 2000), by(2000, 3000), by(3000, 3001)) == ({"source"}, {"lang"}, {"all"}, {"none"})
+    assert not got[1999].kept and not got[2999].kept and not got[3000].kept
+    assert all(r.kept and r.distance is not None and r.settled for k, r in got.items() if k not in (1999, 2999, 3000))
+
+
+def test_small_tables(spark):
+    odd = " ".join("$$%d##ABC" % k for k in range(60))
+    rows = [(k, plain(k), "en", "s") for k in range(9)]
+    for extra in ([(9, odd, "en", "s")],):
+        got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, source string")).collect()}
+        assert all(r.judged_by == "all" and r.distance is not None and r.kept == (k < 9) for k, r in got.items())
+    alone = quality.judged(spark.createDataFrame(rows[:1], "doc_id long, text string, lang string, source string")).first()
+    assert alone.kept and alone.distance == 0
+
+
+def test_very_long_texts(spark):
+    rows = [(k, plain(k), "en", "s") for k in range(70)] + [(100, plain(1, 200_000), "en", "s"), (101, "z" * 2_000_000, "en", "s"), (102, "a b c d e f g h " * 100_000, "en", "s")]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[100].n_words >= 200_000 and not got[100].base_failed and got[100].distance is not None
+    assert got[101].n_words == 1 and not got[101].kept and got[102].n_repeat_words == 800_000 and got[102].base_failed

