@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Input classes by file extension, first match counts.
-FORMATS = ((r"\.csv$", "csv"), (r"\.json$", "json"), (r"\.(nc|nc4|netcdf)$", "netcdf"), (r"\.(tif|tiff)$", "geotiff"), (r"\.zip$", "zip"))
+# Input classes by file extension.
+FORMATS = (((".zip",), "ZIP"), ((".tif", ".tiff"), "GeoTIFF"), ((".nc", ".nc4"), "NetCDF"), ((".csv",), "CSV"), ((".json",), "JSON"))
 
 
 def format_class(path: Column) -> Column:
     out = None
-    for pattern, name in FORMATS:
-        hit = F.lower(path).rlike(pattern)
+    for endings, name in FORMATS:
+        hit = F.lit(False)
+        for ending in endings:
+            hit = hit | F.lower(path).endswith(ending)
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("unknown")
+    return out.otherwise("UNKNOWN")
 
 
 def files_present(incidents: DataFrame, listing: DataFrame) -> DataFrame:

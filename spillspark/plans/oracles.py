@@ -132,6 +132,14 @@ PROTOTYPE = """base AS (
   SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY overall_score DESC, first_us, vessel_id)::BIGINT AS rank FROM proto
 )"""
 
+#: After PROTOTYPE: distance counts as spatial and the spread as heading; the reasons in words.
+OWN_MODE = """own AS (
+  SELECT p.incident_id, p.vessel_id, p.first_us, round(0.0e0 + 0.25e0 * hc + 0.25e0 * tp + 0.25e0 * tr + 0.25e0 * tr, 3) AS overall_score, round(hc, 3) AS spatial_proximity, round(tr, 3) AS heading_consistency,
+    'Distance ' || printf('%.1f', round(d, 1)) || ' m from estimated origin' AS told_spatial, '|observation - spill time| = ' || printf('%.1f', round(t, 1)) || ' s' AS told_temporal,
+    'Heading variance ' || printf('%.1f', round(h, 1)) || ' deg' AS told_trajectory, 'Proximity based on distance ' || printf('%.1f', round(d, 1)) || ' m' AS told_heading
+  FROM parts p JOIN base b USING (incident_id, vessel_id)
+)"""
+
 # -- risk ---------------------------------------------------------------------
 
 END = f"""ends_v AS (
@@ -283,14 +291,14 @@ ORACLE_SQL: dict[str, str] = {
         "with_path AS (SELECT * FROM evidence JOIN wmin USING (incident_id, vessel_id))", SCORED.format(source="with_path"),
         "SELECT incident_id, vessel_id, rank, d_source_km, d_trajectory_km, trajectory_score, score FROM topped WHERE rank <= 10",
     ),
-    "evidence_sentences": q(*LITE, """SELECT incident_id, rank, vessel_id,
+    "evidence_sentences": q(*LITE, """SELECT *, line_1 AS by_spatial, line_2 AS by_temporal, line_3 AS by_trajectory, line_4 AS by_track FROM (SELECT incident_id, rank, vessel_id,
   CASE WHEN in_zone_count > 0 THEN 'Vessel AIS observations intersect the estimated source zone (' || in_zone_count || ' records within ' || printf('%.1f', round(radius_km, 1)) || ' km).'
     ELSE 'Closest approach is ' || printf('%.1f', round(d_source_km, 1)) || ' km from the estimated source centroid.' END AS line_1,
   'Closest temporal approach occurred at ' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(closest_us), '%Y-%m-%dT%H:%M:%SZ') || ' (delta: ' || printf('%.1f', round(dt_days, 1)) || ' days from hindcast epoch).' AS line_2,
   CASE WHEN record_count >= 2 THEN 'Reconstructed track contains ' || record_count || ' AIS points with mean speed ' || mean_speed || ' knots.'
     ELSE 'Single isolated AIS transmission recorded (' || record_count || ' observation).' END AS line_4,
   'Minimum distance to reconstructed backward drift trajectory is ' || printf('%.1f', round(d_trajectory_km, 1)) || ' km.' AS line_3, 4::BIGINT AS n_categories
-FROM topped WHERE rank <= 3"""),
+FROM topped WHERE rank <= 3)"""),
     "evidence_matrix": q(*LITE, """SELECT incident_id, f.factor,
   max(CASE WHEN rank = 1 THEN f.v END) AS rank_1, max(CASE WHEN rank = 2 THEN f.v END) AS rank_2, max(CASE WHEN rank = 3 THEN f.v END) AS rank_3
 FROM (SELECT incident_id, rank, unnest([{'factor': 'spatial', 'v': spatial_score}, {'factor': 'temporal', 'v': temporal_score}, {'factor': 'trajectory', 'v': trajectory_score}, {'factor': 'heading', 'v': heading_score}]) AS f FROM topped WHERE rank <= 3) GROUP BY incident_id, f.factor"""),
@@ -299,6 +307,9 @@ FROM (SELECT incident_id, rank, unnest([{'factor': 'spatial', 'v': spatial_score
     "candidate_details": q(*LITE, LATEST, DETAIL, """SELECT t.incident_id, t.rank, v.vessel_name, round(v.lon, 6) AS lon, round(v.lat, 6) AS lat, v.speed FROM topped t LEFT JOIN vessel v USING (vessel_id) WHERE t.rank <= 3"""),
     "contextual_traffic": q(*LITE, "SELECT vessel_id, CASE WHEN vessel_id IN (SELECT vessel_id FROM topped WHERE rank <= 3) THEN 'ranked' ELSE 'context' END AS kind FROM (SELECT DISTINCT vessel_id FROM ais)"),
     "ais_area_window_summary": q(AIS, INC, near("inc", 48), summaries("near"), """SELECT incident_id, vessel_id, n, first_us, last_us, (last_us - first_us) / 1e6 AS duration_s, round(mean_speed, 6) AS mean_speed, round(heading_std, 3) AS heading_std, round(distance_m, 3) AS distance_m FROM summaries"""),
+    "prototype_explanations": q(AIS, INC, near("inc", 48), summaries("near"), PROTOTYPE, OWN_MODE,
+        "SELECT incident_id, vessel_id, row_number() OVER (PARTITION BY incident_id ORDER BY overall_score DESC, first_us, vessel_id)::BIGINT AS rank, overall_score, spatial_proximity, heading_consistency, told_spatial, told_temporal, told_trajectory, told_heading FROM own",
+    ),
     "prototype_scores": q(AIS, INC, near("inc", 48), summaries("near"), PROTOTYPE, "SELECT incident_id, vessel_id, rank, overall_score, spatial_proximity, temporal_proximity, trajectory_consistency, heading_consistency FROM proto_ranked"),
     "latest_position": q(AIS, LATEST, "SELECT vessel_id, us, round(lon, 6) AS lon, round(lat, 6) AS lat, speed, heading FROM last"),
     "track_legs": q(
@@ -333,6 +344,13 @@ FROM pts a JOIN pts b ON a.vessel_id = b.vessel_id AND b.k = least(a.k + 1, a.n
   round(degrees(2 * atan(exp((my - 5000.0e0) / {A!r}e0)) - {pi / 2!r}e0), 6) AS south_lat FROM told""",
     ),
     "vessel_risk": q(*RISK, "SELECT incident_id, vessel_id, risk_level, d_spill_km, d_trajectory_km, d_impact_km, inside_impact_zone, slick_closest_minutes, speed_knots, heading_deg, explanation FROM risk"),
+    "risk_order": q(*RISK, "SELECT concat(vessel_id, '/', incident_id) AS vessel_incident, risk_level, d_trajectory_km FROM risk ORDER BY CASE risk_level WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, d_trajectory_km, vessel_incident LIMIT 20"),
+    "synthetic_distances": q(
+        AIS, "moved AS (SELECT event_id, vessel_id, us, user_id % 2 = 0 AS flat, CASE WHEN user_id % 2 = 0 THEN 1000 + 100 * lon ELSE lon END AS lon, CASE WHEN user_id % 2 = 0 THEN 1000 + 100 * lat ELSE lat END AS lat FROM ais)",
+        "lagged AS (SELECT *, lag(lon) OVER w AS lon_b, lag(lat) OVER w AS lat_b FROM moved WINDOW w AS (PARTITION BY vessel_id ORDER BY us, event_id))",
+        "kept AS (SELECT * FROM lagged WHERE lon_b IS NOT NULL AND NOT flat)", geodesic("kept", "legs", "leg_m", "event_id", "lon_b", "lat_b", "lon", "lat"),
+        "SELECT event_id, round(leg_m, 3) AS leg_m FROM legs UNION ALL SELECT event_id, round(sqrt(power(lon - lon_b, 2) + power(lat - lat_b, 2)), 3) FROM lagged WHERE lon_b IS NOT NULL AND flat",
+    ),
     "risk_counts": q(*RISK, "SELECT incident_id, count_if(risk_level = 'HIGH')::BIGINT AS n_high, count_if(risk_level = 'MEDIUM')::BIGINT AS n_medium, count_if(risk_level = 'LOW')::BIGINT AS n_low FROM risk GROUP BY incident_id"),
     "risk_features": q(*RISK, "SELECT incident_id, vessel_id, risk_level, lon FROM risk"),
     "kpi_overview": q(SPILL, "SELECT count(*)::BIGINT AS n_incidents, count_if(radius_km >= 35)::BIGINT AS n_high, round(sum(radius_km * radius_km), 1) AS area_km2 FROM inc"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spillspark.functions import geo
@@ -52,7 +52,7 @@ def _top(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
 
 def evidence_sentences(spark: SparkSession, d: str) -> DataFrame:
     told = attribution.categories(attribution.evidence_lines(_top(spark, d)))
-    return told.select("incident_id", "rank", "vessel_id", *[F.get("evidence", i).alias(f"line_{i + 1}") for i in range(4)], F.size("by_category").cast("bigint").alias("n_categories"))
+    return told.select("incident_id", "rank", "vessel_id", *[F.get("evidence", i).alias(f"line_{i + 1}") for i in range(4)], F.size("by_category").cast("bigint").alias("n_categories"), *[F.try_element_at("by_category", F.lit(c)).alias(f"by_{c}") for c in ("spatial", "temporal", "trajectory", "track")])
 
 
 def evidence_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +95,14 @@ def prototype_scores(spark: SparkSession, d: str) -> DataFrame:
     return p.select("incident_id", "vessel_id", "rank", "overall_score", "spatial_proximity", "temporal_proximity", "trajectory_consistency", "heading_consistency")
 
 
+def prototype_explanations(spark: SparkSession, d: str) -> DataFrame:
+    """The prototype's reasons in words, and its scores where distance counts as spatial."""
+    s = _r(_summaries(spark, d), 2, "distance_m").withColumn("heading_spread", F.round("heading_std", 4))
+    p = attribution.prototype(s, mode="own")
+    told = [F.try_element_at("explanations", F.lit(k)).alias(f"told_{k}") for k in ("spatial", "temporal", "trajectory", "heading")]
+    return p.select("incident_id", "vessel_id", "rank", "overall_score", "spatial_proximity", "heading_consistency", *told)
+
+
 # -- tracks -------------------------------------------------------------------
 
 
@@ -170,6 +178,21 @@ def risk_counts(spark: SparkSession, d: str) -> DataFrame:
     return risk.counts(risk.assess(_reports(spark, d), _incidents(spark, d)))
 
 
+def risk_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 vessels of all incidents in order of risk."""
+    first = risk.ordered(risk.assess(_reports(spark, d), _incidents(spark, d)).withColumn("vessel_id", F.concat_ws("/", "vessel_id", "incident_id"))).limit(20)
+    return first.select(F.col("vessel_id").alias("vessel_incident"), "risk_level", "d_trajectory_km")
+
+
+def synthetic_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of a track's legs where every second vessel has coordinates in metres of its own plane."""
+    plane = F.expr("user_id % 2 = 0")
+    rows = _reports(spark, d).select("vessel_id", "us", "event_id", *[F.when(plane, 1000 + 100 * F.col(c)).otherwise(F.col(c)).alias(c) for c in ("lon", "lat")])
+    w = Window.partitionBy("vessel_id").orderBy("us", "event_id")
+    legs = rows.withColumns({"lon_b": F.lag("lon").over(w), "lat_b": F.lag("lat").over(w)}).where("lon_b is not null")
+    return _r(geo.with_track_distance(legs, "leg_m", "lon_b", "lat_b", "lon", "lat").select("event_id", "leg_m"), 3, "leg_m")
+
+
 def kpi_overview(spark: SparkSession, d: str) -> DataFrame:
     """Incidents by severity, and their source areas."""
     one = _spills(spark, d).withColumns({"severity": F.when(F.col("radius_km") >= 35, "HIGH").when(F.col("radius_km") >= 25, "MEDIUM").otherwise("LOW"), "area_km2": F.col("radius_km") * F.col("radius_km")})

@@ -7,9 +7,9 @@ from spillspark.plans import queries as Q
 
 NAMES = (
     "vessel_attribution_topk", "historical_attribution", "evidence_sentences", "evidence_matrix", "evidence_flags", "candidate_details",
-    "contextual_traffic", "prototype_scores", "ais_area_window_summary", "latest_position", "track_legs", "track_progress", "track_lines",
+    "contextual_traffic", "prototype_scores", "prototype_explanations", "ais_area_window_summary", "latest_position", "track_legs", "track_progress", "track_lines",
     "ais_dataset_stats", "search_area_cell_join", "polygon_window_filter", "drift_forward", "drift_backward", "impact_zone", "vessel_risk",
-    "risk_counts", "risk_features", "kpi_overview", "grid_interpolate", "hindcast_grid", "sar_calibrate", "sar_normalise", "mask_counts",
+    "risk_counts", "risk_order", "synthetic_distances", "risk_features", "kpi_overview", "grid_interpolate", "hindcast_grid", "sar_calibrate", "sar_normalise", "mask_counts",
     "scene_stats", "scene_percentiles", "downsample", "mask_geometry", "components_tile", "components_scene", "top_components",
     "spill_totals", "georeferenced_components", "tile_scoring", "incident_readiness", "incremental_pending", "geojson_features", "report_facts", "candidate_distances",
     "mask_to_candidates",

@@ -46,7 +46,7 @@ ORACLE_SQL: dict[str, str] = {
     "calibration_scan": q(PX, "level AS (SELECT scene_id, round(avg(vv), 3) AS level FROM px GROUP BY scene_id)", "SELECT scene_id, 'VV' AS pol, l AS line, x AS pixel, round(level + l * 0.5e0 + x * 0.25e0, 6) AS a_sigma FROM level, (SELECT unnest(range(0, 301, 50)) AS l) a, (SELECT unnest(range(0, 161, 40)) AS x) b"),
     "pixel_geolocation": q(PX, "SELECT scene_id, r AS line, c AS pixel, round(124 + least(c, 160) * 0.01e0 + scene_id * 0.1e0, 6) AS lon, round(31 - least(r, 300) * 0.005e0, 6) AS lat FROM px WHERE r % 4 = 0 AND c % 4 = 0"),
     "incident_catalogue": "SELECT 'I' || s_suppkey AS incident_id, s_name AS name, 'R' || s_nationkey AS region, s_suppkey * 0.25e0 AS lat, 2::BIGINT AS n_expected, s_name || '.csv' AS ais_file FROM supplier WHERE s_suppkey % 7 <> 0",
-    "format_classes": "SELECT CASE p_partkey % 7 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'netcdf' WHEN 3 THEN 'geotiff' WHEN 4 THEN 'zip' WHEN 5 THEN 'unknown' ELSE 'netcdf' END AS kind, count(*)::BIGINT AS n FROM part GROUP BY 1",
+    "format_classes": "SELECT CASE p_partkey % 7 WHEN 0 THEN 'CSV' WHEN 1 THEN 'JSON' WHEN 2 THEN 'NetCDF' WHEN 3 THEN 'GeoTIFF' WHEN 4 THEN 'ZIP' WHEN 5 THEN 'UNKNOWN' ELSE 'NetCDF' END AS kind, count(*)::BIGINT AS n FROM part GROUP BY 1",
     "summary_aliases": q(AIS, SUMS, geodesic("sums", "s", "d", "vessel_id, first_us, mean_speed, heading_std", "lon", "lat", "x0", "y0"), "SELECT vessel_id, first_us, CASE WHEN substr(vessel_id, 2)::BIGINT % 5 <= 2 THEN round(d, 1) ELSE 0.0 END AS distance_m, round(mean_speed, 6) AS speed, round(heading_std, 4) AS course FROM s"),
     "vessel_keys": """SELECT c_custkey AS ordinal,
   CASE WHEN c_custkey % 2 = 1 THEN 'C' || c_custkey WHEN c_custkey % 3 = 0 THEN c_custkey || '.0' WHEN c_custkey % 7 = 0 THEN c_name ELSE 'UNKNOWN' END AS key_id,

@@ -38,7 +38,8 @@ def test_scores_of_known_evidence(spark):
     assert told["BETA"].evidence[0] == "Closest approach is 742.1 km from the estimated source centroid."
     assert told["BETA"].evidence[1].startswith("Closest temporal approach occurred at 2018-01-14T01:00:00Z (delta: 3.5 days")
     assert told["BETA"].evidence[3] == "Single isolated AIS transmission recorded (1 observation)."
-    assert set(told["ALPHA"].by_category) == {"spatial", "temporal", "trajectory", "movement"}
+    assert set(told["ALPHA"].by_category) == {"spatial", "temporal", "trajectory", "track"}
+    assert told["BETA"].by_category["track"] == told["BETA"].evidence[3] and told["ALPHA"].by_category["spatial"] == told["ALPHA"].evidence[0]
     wide = {r.factor: r for r in attribution.matrix(ranks).collect()}
     assert wide["heading"].rank_2 == 0.5 and wide["spatial"].rank_1 == got["ALPHA"].spatial_score
     flags = attribution.evidence_flags(ranks).where("vessel_id = 'BETA'").first().flags
@@ -151,4 +152,4 @@ def test_catalogue(spark):
     assert v == {1: ([], ["ais"], True), 2: (["sentinel"], [], False)}
     assert [r.incident_id for r in catalog.pending(i, i.where("incident_id = 'a'")).collect()] == ["b"]
     kinds = [spark.range(1).select(catalog.format_class(F.lit(p)).alias("k")).first().k for p in ("a.CSV", "b.json", "c.nc", "d.tiff", "e.zip", "f")]
-    assert kinds == ["csv", "json", "netcdf", "geotiff", "zip", "unknown"]
+    assert kinds == ["CSV", "JSON", "NetCDF", "GeoTIFF", "ZIP", "UNKNOWN"]
