@@ -65,7 +65,10 @@ def formatted(rows: DataFrame, template: Template = CHATML) -> DataFrame:
     turn out of order, from 0; the number of turns where the end is wrong; null
     if valid). Null texts and roles are empty. Turns with equal numbers are
     ordered by role, then text; null turns come first; a null conv_id is a
-    conversation of its own; an empty table gives an empty result.
+    conversation of its own. Repeated rows are turns of their own, empty texts
+    turns without letters; texts may be of any length (a conversation is one row, and its
+    size); other columns, whatever their names, are ignored; an empty table
+    gives an empty result.
     """
     # Fields are sorted in this order; the names keep clear of other columns.
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

@@ -205,8 +205,10 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, id_col:
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and with ``with_ids`` the piece's ids as 16-bit little-endian bytes. A null
-    or empty text has the end id alone. Rows that repeat an id are packed one by
-    one; a null id sorts first. Empty tables give no pieces.
+    or empty text has the end id alone; texts may be of any length and make as
+    many pieces as they need. Ties on the curve go by id, then by row. Rows that
+    repeat an id, in whole or not, are packed one by one; a null id sorts first.
+    Other columns, whatever their names, are ignored. Empty tables give no pieces.
     """
     path = path or vocabulary_path()
     tokens = written(tokenised(docs, path, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "tokens")

@@ -209,8 +209,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row per input row: id, counts of the base kinds, digest, spans, masked.
 
     ``base_sha256`` digests the base spans, ``spans`` lists all, ``masked`` is
-    the text without them (null stays null). Empty tables give empty results;
-    repeated rows are judged one by one; other columns are ignored.
+    the text without them (null stays null, and has no spans; so have empty
+    texts). Texts may be of any length and are read whole. Spans of one kind never
+    overlap, the leftmost counts. Empty tables give empty results; repeated rows
+    and ids are judged one by one; other columns, whatever their names, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
