@@ -41,6 +41,7 @@ WORDS, LINK = 4, 85
 ROWS, NGRAMS = 1024, 1 << 21  # of a part of a block
 CHUNK = 4096  # columns of a dense product
 FEW = 6  # rows of a column that is paired
+LEAST_TASKS, TASK_ROWS = 8, 2000  # tasks of a stage after a shuffle, and the sets that are worth one
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -109,33 +110,42 @@ def signed_sets(docs: DataFrame, words: int, screen: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, h array<bigint>")
 
 
+def _tasks(rows: int) -> int:
+    """Tasks for ``rows`` sets: a shuffle may have many more partitions than they fill."""
+    return max(LEAST_TASKS, -(-rows // TASK_ROWS))
+
+
 def survivors(table: DataFrame) -> DataFrame:
     """Classes (node, k1, k2, n, rep, alive) of the rows of ``signed_sets``; alive: what screening leaves. Written."""
-    classes = table.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    tasks = _tasks(table.count())
+    classes = table.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).coalesce(tasks)
     # An n-gram whose smallest and largest class key agree is in no other class's list.
     held = table.select(F.explode("h").alias("h"), "k1").groupBy("h").agg(F.min("k1").alias("k1"), F.max("k1").alias("last"))
-    alone = held.where("k1 = last").groupBy("k1").agg(F.count(F.lit(1)).alias("alone"))
+    alone = held.where("k1 = last").coalesce(tasks).groupBy("k1").agg(F.count(F.lit(1)).alias("alone"))
     spare = F.col("n") - F.expr(f"({LINK} * n + 99) div 100")
     alive = (F.col("n") > 0) & (F.coalesce("alone", F.lit(0)) <= spare)
-    return written(classes.join(alone, "k1", "left").select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "n", "rep", alive.alias("alive")), "classes")
+    both = classes.join(alone, "k1", "left").coalesce(tasks)
+    return written(both.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "n", "rep", alive.alias("alive")), "classes")
 
 
 def rare_columns(sets: DataFrame) -> DataFrame:
     """(h, node): of each set the rarest n-grams that others hold, one more than it may lack besides those it has alone."""
+    tasks = _tasks(sets.count())
     entries = sets.select(F.explode("h").alias("h"), "node")
     shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = entries.join(shared, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"))
+    lists = entries.join(shared, "h").coalesce(tasks).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"))
     need = sets.select("node", F.expr(f"({LINK} * n + 99) div 100").cast("int").alias("least"))
-    own = lists.join(need, "node").where("size(own) >= least")
+    own = lists.join(need, "node").where("size(own) >= least").coalesce(tasks)
     return own.select(F.explode(F.expr("transform(slice(own, 1, size(own) - least + 1), x -> x.h)")).alias("h"), "node")
 
 
-def blocks(columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def blocks(columns: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     """Edges (node, first) to the first row of each column, and (node, block) of the components they make."""
     first = columns.groupBy("h").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    edges = written(columns.join(first, "h").where("node <> first").select("node", "first").distinct(), "edges")
+    hung = columns.join(first.coalesce(tasks), "h").where("node <> first").select("node", "first").coalesce(tasks)
+    edges = written(hung.distinct().coalesce(tasks), "edges")
     found = components(edges.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    return edges, written(found.select("node", F.col("component").alias("block")), "blocks")
+    return edges, written(found.select("node", F.col("component").alias("block")).coalesce(tasks), "blocks")
 
 
 def _first_links(edges: DataFrame, members: DataFrame, large: DataFrame) -> DataFrame:
@@ -308,18 +318,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = alive.select(F.col("rep").alias("of")).distinct()
     texts = own.join(asked, own.doc_id.eqNullSafe(asked.of), "left_semi")
     whole = signed_sets(texts, words, False).drop("doc_id").join(alive.drop("rep"), ["k1", "k2"])
-    sets = written(whole.dropDuplicates(["node"]).select("node", "n", "h"), "incidence")
-    edges, found = blocks(written(rare_columns(sets), "columns"))
-    members = written(sets.join(found, "node").select("block", "node", "n", "h"), "members")
-    sizes = written(members.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams")), "sizes")
+    tasks, rest = _tasks(table.count()), _tasks(alive.count())
+    sets = written(whole.coalesce(tasks).dropDuplicates(["node"]).select("node", "n", "h").coalesce(rest), "incidence")
+    edges, found = blocks(written(rare_columns(sets), "columns"), rest)
+    members = written(sets.join(found, "node").select("block", "node", "n", "h").coalesce(rest), "members")
+    sizes = written(members.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams")).coalesce(rest), "sizes")
     large = sizes.where((F.col("rows") > ROWS) | ((F.col("grams") > NGRAMS) & (F.col("rows") > 2)))
     known = _first_links(edges, members, large)
     more = links(dealt(members, sizes, large, components(known)))
     roots = components(known.unionByName(more))
-    named = classes.join(roots, classes.node == roots.node, "left").select("k1", "k2", "rep", F.coalesce("component", classes.node).alias("root"))
+    named = classes.join(roots, classes.node == roots.node, "left").select("k1", "k2", "rep", F.coalesce("component", classes.node).alias("root")).coalesce(tasks)
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
-    by_key = named.join(smallest, "root").select("k1", "k2", "component")
-    both = table.select("doc_id", "n", "k1", "k2").join(by_key, ["k1", "k2"])
+    by_key = named.join(smallest, "root").select("k1", "k2", "component").coalesce(tasks)
+    both = table.select("doc_id", "n", "k1", "k2").join(by_key, ["k1", "k2"]).coalesce(tasks)
     return both.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
