@@ -1,10 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words are counted over all documents.
-2. A randomised SVD of TF-IDF passages gives a latent space: the passages of a
-   bounded sample of documents (``SAMPLE_DOCS``, smallest hashes of the id) and
-   all benchmark items. Spark holds the rows; each product with the matrix or
-   its transpose is a job with partial sums per task, and only matrices of
+2. A randomised SVD of TF-IDF passages gives a latent space: all passages of all
+   documents, and all benchmark items. Spark holds the rows; each product with
+   the matrix and its transpose is a job with partial sums per task, and only matrices of
    fixed size (hashed words by rank) reach the driver.
 3. Candidate search: every passage of every document is projected and compared
    with the passages of every item; a cosine of ``COSINE`` or more makes the
@@ -47,7 +46,7 @@ from spillspark.llm.common import byte_column, slabs, word_bounds, word_hashes,
 HASHED = 1 << 15
 RANK, EXTRA, ROUNDS = 96, 16, 2
 SAMPLE_DOCS = 2000
-ITEM_WEIGHT = 10.0
+ITEM_WEIGHT = 10.0  # of an item's passages beside ``SAMPLE_DOCS`` documents; among more they keep that share
 BLOCK = 24  # words; a passage is two blocks
 LEAST_WEIGHT = 0.05  # of a word that is everywhere
 RARE = 0.25  # of the words that an item must keep: so many have to be among its rare ones
@@ -55,7 +54,8 @@ ALIGNED, PARAPHRASED, ANSWERED = 0.75, 0.6, 0.9
 COSINE = 0.5  # what the exact way of step 4 finds beyond it costs little; verbatim items have 0.77 and more
 ITEM_BLOCK = 1024
 CHUNK = 512
-FIT_PARTS = 16  # tasks of a product with the sample, each of which sends one matrix
+FIT_PARTS = 16  # tasks of a product with all passages at least (or two a core), each of which sends one matrix
+FIT_SLAB = 1 << 18  # bytes of text at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -108,27 +108,68 @@ def weights_of(counts: np.ndarray, docs: int) -> np.ndarray:
     return np.maximum(np.log((docs + 1) / (counts + 1)), LEAST_WEIGHT).astype(np.float32)
 
 
-def passages(docs: DataFrame, idf: np.ndarray, weight: float) -> DataFrame:
-    """TF-IDF rows (w array, v array, unit length times ``weight``) of all passages."""
+def laid(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed words ``w`` in blocks, filled up with ``HASHED``; of each passage its two blocks, document, place there.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, size=1 << 20):
-            words, at = words_of(*byte_column(batch.column("text")))
-            w = hashed(words)
-            rows, values = [], []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                for s in range(a, max(b - BLOCK, a + 1), BLOCK):
-                    own, tf = np.unique(w[s : min(s + 2 * BLOCK, b)], return_counts=True)
-                    v = tf * idf[own]
-                    norm = np.linalg.norm(v)
-                    if norm > 0:
-                        rows.append(own)
-                        values.append((v * (weight / norm)).astype(np.float32))
-            offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32))
-            flat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0, kind))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, flat(rows, np.int32)), pa.ListArray.from_arrays(offsets, flat(values, np.float32))], ["w", "v"])
-
-    return docs.select("text").mapInArrow(run, "w array<int>, v array<float>")
+    The block after the last one stands for none.
+    """
+    size = np.diff(at)
+    blocks = -(-size // BLOCK)
+    first = np.r_[0, np.cumsum(blocks)]
+    padded = np.full(first[-1] * BLOCK, HASHED, np.int32)
+    padded[np.arange(len(w)) + np.repeat(first[:-1] * BLOCK - at[:-1], size)] = w
+    count = np.where(size > 0, np.maximum(blocks - 1, 1), 0)
+    doc = np.repeat(np.arange(len(size)), count)
+    inside = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    block = first[:-1][doc] + inside
+    return padded, block, np.where(inside + 1 < blocks[doc], block + 1, first[-1]), doc, inside
+
+
+def block_sums(padded: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the words' ``rows`` in each block of ``laid``, and a row of zeros."""
+    sums = np.zeros((len(padded) // BLOCK + 1, rows.shape[1]), np.float32)
+    for a in range(0, len(sums) - 1, 1024):
+        b = min(a + 1024, len(sums) - 1)
+        np.sum(rows[padded[a * BLOCK : b * BLOCK]].reshape(b - a, BLOCK, -1), axis=1, out=sums[a:b])
+    return sums
+
+
+def text_product(idf: np.ndarray):
+    """Product of ``randomised_svd`` for rows (text, weight): the TF-IDF rows of all their passages, of unit length times the weight.
+
+    A passage is two blocks, so a block's words are summed, and its share of the
+    product handed back to them, once for both of its passages.
+    """
+    squares = np.r_[idf, 0].astype(np.float64) ** 2
+
+    def product(batch: pa.RecordBatch, basis: np.ndarray, total: np.ndarray) -> None:
+        rows = weighted(basis, idf)
+        for slab in slabs([batch], size=FIT_SLAB):
+            words, at = words_of(*byte_column(slab.column("text")))
+            padded, block, after, doc, _ = laid(hashed(words), at)
+            if not len(block):
+                continue
+            cells = np.vstack([padded.reshape(-1, BLOCK), np.full((1, BLOCK), HASHED, np.int32)])
+            own = np.sort(np.hstack([cells[block], cells[after]]), axis=1)
+            new = np.ones(own.shape, bool)
+            np.not_equal(own[:, 1:], own[:, :-1], out=new[:, 1:])
+            own, new = own.ravel(), np.flatnonzero(new)
+            tf = np.diff(np.r_[new, len(own)])
+            norm = np.bincount(new // (2 * BLOCK), weights=tf * tf * squares[own[new]], minlength=len(block))
+            weight = np.asarray(slab.column("weight"))[doc]
+            scale = np.where(norm > 0, weight * weight / np.maximum(norm, 1e-30), 0).astype(np.float32)
+            sums = block_sums(padded, rows)
+            z = (sums[block] + sums[after]) * scale[:, None]
+            back = np.zeros_like(sums)
+            back[block] = z
+            back[after] += z  # distinct but for the last row, which no word is in
+            order = np.argsort(padded, kind="stable")[: len(words)]
+            sorted_ = padded[order]
+            first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+            held = sorted_[first]
+            total[held] += np.add.reduceat(back[order // BLOCK], first, axis=0) * idf[held][:, None]
+
+    return product
 
 
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,8 +196,7 @@ def _summed(rows: DataFrame, part, chunks: int, shape: tuple[int, int]) -> np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape, np.float64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part(batch.slice(a, 256), total)
+            part(batch, total)
         pieces = [p.astype(np.float32).tobytes() for p in np.array_split(total, chunks)]
         yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array(pieces, pa.binary())], ["c", "m"])
 
@@ -194,37 +234,46 @@ def orthonormal(y: np.ndarray) -> np.ndarray:
     return y
 
 
-def randomised_svd(rows: DataFrame, rank: int = RANK, extra: int = EXTRA, rounds: int = ROUNDS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def row_product(batch: pa.RecordBatch, basis: np.ndarray, total: np.ndarray) -> None:
+    """Product of ``randomised_svd`` for sparse rows (w array, v array)."""
+    for a in range(0, batch.num_rows, 256):
+        y, row, w, v = _project(batch.slice(a, 256), basis)
+        order = np.argsort(w, kind="stable")
+        if len(order):
+            first = np.flatnonzero(np.r_[True, np.diff(w[order]) != 0])
+            total[w[order][first]] += np.add.reduceat(y[row[order]] * v[order][:, None], first, axis=0)
+
+
+def randomised_svd(rows: DataFrame, rank: int = RANK, extra: int = EXTRA, rounds: int = ROUNDS, seed: int = 5, product=row_product) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors (hashed words by ``rank``) and singular values of ``rows``.
 
-    Subspace iteration: the random block goes through the transposed product
-    ``rounds`` times, is made orthonormal on the driver (fixed size), and the
-    small Gram matrix of the projected rows gives the rotation.
+    Subspace iteration: the random block goes through the matrix and its transpose
+    ``rounds`` times and is made orthonormal between, on the driver (fixed size).
+    The last product and its block give the vectors (Nystroem's form), without another pass.
+    ``product`` adds the product of a batch of ``rows``.
     """
     spark = rows.sparkSession
-    basis = np.random.default_rng(seed).standard_normal((HASHED, rank + extra), dtype=np.float32)
-    for _ in range(rounds):
+    basis = made = np.random.default_rng(seed).standard_normal((HASHED, rank + extra), dtype=np.float32)
+    for k in range(rounds):
+        basis = orthonormal(made) if k else made
         sent = spark.sparkContext.broadcast(basis)
-
-        def back(batch: pa.RecordBatch, total: np.ndarray, sent=sent) -> None:
-            y, row, w, v = _project(batch, sent.value)
-            order = np.argsort(w, kind="stable")
-            if len(order):
-                first = np.flatnonzero(np.r_[True, np.diff(w[order]) != 0])
-                total[w[order][first]] += np.add.reduceat(y[row[order]] * v[order][:, None], first, axis=0)
-
-        basis = orthonormal(_summed(rows, back, HASHED // CHUNK, basis.shape))
+        made = _summed(rows, lambda batch, total, sent=sent: product(batch, sent.value, total), HASHED // CHUNK, basis.shape)
         sent.destroy()
-    sent = spark.sparkContext.broadcast(basis)
-
-    def gram(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        y = _project(batch, sent.value)[0]
-        total += y.T @ y
-
-    values, vectors = np.linalg.eigh(_summed(rows, gram, 1, (basis.shape[1],) * 2).astype(np.float64))
-    sent.destroy()
+    small = np.zeros((basis.shape[1],) * 2)
+    for a in range(0, len(basis), CHUNK):
+        small += basis[a : a + CHUNK].T.astype(np.float64) @ made[a : a + CHUNK]
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    some = values > 1e-5 * max(values[-1], 1e-30)
+    half = made @ np.where(some, vectors / np.sqrt(np.where(some, values, 1)), 0).astype(np.float32)
+    gram = np.zeros_like(small)
+    for a in range(0, len(half), CHUNK):
+        part = half[a : a + CHUNK].astype(np.float64)
+        gram += part.T @ part
+    values, vectors = np.linalg.eigh(gram)
     top = np.argsort(-values)[:rank]
-    return basis @ vectors[:, top].astype(np.float32), np.sqrt(np.maximum(values[top], 0))
+    values = np.maximum(values[top], 0)
+    some = values > 1e-10 * max(values.max(initial=0), 1e-30)
+    return half @ np.where(some, vectors[:, top] / np.sqrt(np.where(some, values, 1)), 0).astype(np.float32), np.sqrt(values)
 
 
 @dataclass
@@ -272,20 +321,8 @@ def projected(w: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarr
 
     ``w``: hashed words of documents that lie at ``at``; ``rows``: see ``weighted``.
     """
-    size = np.diff(at)
-    blocks = -(-size // BLOCK)
-    first = np.r_[0, np.cumsum(blocks)]
-    padded = np.full(first[-1] * BLOCK, len(rows) - 1, np.int32)
-    padded[np.arange(len(w)) + np.repeat(first[:-1] * BLOCK - at[:-1], size)] = w
-    sums = np.zeros((first[-1] + 1, rows.shape[1]), np.float32)
-    for a in range(0, first[-1], 1024):
-        b = min(a + 1024, first[-1])
-        np.sum(rows[padded[a * BLOCK : b * BLOCK]].reshape(b - a, BLOCK, -1), axis=1, out=sums[a:b])
-    count = np.where(size > 0, np.maximum(blocks - 1, 1), 0)
-    doc = np.repeat(np.arange(len(size)), count)
-    inside = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    block = first[:-1][doc] + inside
-    after = np.where(inside + 1 < blocks[doc], block + 1, first[-1])  # the last row is zero
+    padded, block, after, doc, inside = laid(w, at)
+    sums = block_sums(np.minimum(padded, len(rows) - 1), rows)
     z = sums[block] + sums[after]
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-6)
     return z, doc, at[:-1][doc] + inside * BLOCK
@@ -483,13 +520,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id")
     docs = docs.select("doc_id", F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     counts, total = frequencies(docs)
     idf = weights_of(counts, total)
-    # The sample is chosen on ids alone; the join then reads those rows, one text for an id.
-    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     items = written(benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct(), "items")
     docs = docs.select("id", "text")
-    rows = written(passages(sample, idf, 1.0).unionByName(passages(items, idf, ITEM_WEIGHT)).coalesce(FIT_PARTS), "passages")
-    basis, _ = randomised_svd(rows)
+    # Among more documents items weigh more, so that the space doesn't lose sight of them.
+    beside = ITEM_WEIGHT * math.sqrt(max(total / SAMPLE_DOCS, 1))
+    rows = docs.select("text", F.lit(1.0).alias("weight")).unionByName(items.select("text", F.lit(beside).alias("weight")))
+    basis, _ = randomised_svd(rows.coalesce(max(FIT_PARTS, 2 * docs.sparkSession.sparkContext.defaultParallelism)), product=text_product(idf))
 
     kind = items.schema["item_id"].dataType
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
