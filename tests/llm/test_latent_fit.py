@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spillspark.llm import latent
 
 
@@ -39,6 +40,12 @@ def test_every_document_is_fitted(spark, monkeypatch):
     assert late > 0.5 * early > 0
 
 
+def test_pipeline_fits_every_document(spark, monkeypatch, tmp_path):
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    late, early = told(monkeypatch, lambda: corpus_pipeline.decontamination(spark, many(spark), str(tmp_path)))
+    assert late > 0.5 * early > 0
+
+
 def test_product_matches_plain_passages():
     r = np.random.default_rng(1)
     texts = [" ".join(f"w{x % 300}" for x in r.zipf(1.3, size=n)) for n in (0, 1, 5, 24, 25, 48, 49, 72, 73, 200, 333)]
