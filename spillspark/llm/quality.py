@@ -152,7 +152,7 @@ def grouped(stats: DataFrame) -> DataFrame:
     """
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     keyed = stats.withColumns({"kl": name("lang"), "ks": name("source")})
-    sizes = keyed.where(~F.col("base_failed")).groupBy("kl", "ks").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(keyed.where(~F.col("base_failed")).groupBy("kl", "ks").agg(F.count(F.lit(1)).alias("n")), "sizes")
     first = sizes.withColumn("g", F.when(F.col("n") >= LEAST, F.concat_ws("\x1f", F.lit("source"), "kl", "ks")))
     rest = first.where("g is null").groupBy("kl").agg(F.sum("n").alias("nl"))
     second = first.join(rest, "kl", "left").withColumn("g", F.coalesce("g", F.when(F.col("nl") >= LEAST, F.concat_ws("\x1f", F.lit("lang"), "kl"))))
@@ -173,12 +173,15 @@ def _median(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
 def _starts(fit: DataFrame) -> DataFrame:
     """(g, start, mu.., w.., logdet): medians scaled by MADs (0) and by the floor alone (1), then drawn sets."""
     long = fit.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("j"), F.col(n).alias("x")) for i, n in enumerate(FEATURES)])).alias("f")).select("g", "f.j", "f.x")
-    med = _median(long, "x", ["g", "j"])
+    med = written(_median(long, "x", ["g", "j"]), "medians")
     dev = long.join(med, ["g", "j"]).select("g", "j", F.abs(F.col("x") - F.col("m")).alias("d"))
     both = med.join(_median(dev, "d", ["g", "j"]).withColumnRenamed("m", "mad"), ["g", "j"])
-    wide = both.groupBy("g").agg(
-        *[F.max(F.when(F.col("j") == i, F.col("m") / 1000)).alias(f"mu{i}") for i in range(len(FEATURES))],
-        *[F.max(F.when(F.col("j") == i, 1.4826 * F.col("mad") / 1000)).alias(f"mad{i}") for i in range(len(FEATURES))],
+    wide = written(
+        both.groupBy("g").agg(
+            *[F.max(F.when(F.col("j") == i, F.col("m") / 1000)).alias(f"mu{i}") for i in range(len(FEATURES))],
+            *[F.max(F.when(F.col("j") == i, 1.4826 * F.col("mad") / 1000)).alias(f"mad{i}") for i in range(len(FEATURES))],
+        ),
+        "medians",
     )
     scale = lambda start, i: F.greatest(F.col(f"mad{i}"), F.lit(FLOOR)) if start == 0 else F.lit(2 * FLOOR)
     made = _estimate(_sums(_drawn(fit)).withColumn("part", F.lit(1.0)), drawn=False).drop("was")
