@@ -123,17 +123,16 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     key = seed.to_bytes(8, "little")
     for i in long.tolist():
         out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8, key=key).digest(), "little")
-    eights = np.lib.stride_tricks.sliding_window_view(np.r_[raw, np.zeros(8, np.uint8)], 8)
+    # The eight bytes from every place on, and what is kept of them where fewer are left.
+    eights = np.ndarray(len(raw) + 1, "<u8", np.r_[raw, np.zeros(8, np.uint8)], strides=(1,))
+    kept = np.r_[np.uint64(0), ~np.uint64(0) >> (8 * np.arange(7, -1, -1)).astype(np.uint64)]
     words = np.flatnonzero(size <= LONG_WORD)
-    at = 0
+    place, left = start[words], size[words]
     while len(words):
-        left = size[words] - at
-        eight = np.ascontiguousarray(eights[start[words] + at]).view(np.uint64)[:, 0]
-        short = np.flatnonzero(left < 8)
-        eight[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        eight = eights[place] & kept[np.minimum(left, 8)]
         out[words] = mix(out[words] * np.uint64(0x9E3779B97F4A7C15) ^ eight)
-        words = words[left > 8]
-        at += 8
+        more = np.flatnonzero(left > 8)
+        words, place, left = words[more], place[more] + 8, left[more] - 8
     return out
 
 

@@ -55,7 +55,6 @@ COSINE = 0.5  # what the exact way of step 4 finds beyond it costs little; verba
 ITEM_BLOCK = 1024
 CHUNK = 512
 FIT_PARTS = 16  # tasks of a product with all passages at least (or two a core), each of which sends one matrix
-FIT_SLAB = 1 << 18  # bytes of text at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -96,9 +95,9 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             out[np.asarray(batch.column("w"))] = np.asarray(batch.column("n"))
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["m"])
 
-    # A row per hashed word, whatever the number of documents: they reach the driver as one.
+    # A row per hashed word, whatever the number of documents: they are added in many tasks and reach the driver as one.
     counts = docs.select("text").mapInArrow(run, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    row = counts.coalesce(1).mapInArrow(packed, "m binary").first()  # none if the table has no partitions
+    row = counts.repartition(1).mapInArrow(packed, "m binary").first()  # none if the table has no partitions
     out = np.frombuffer(row.m, np.int64) if row else np.zeros(HASHED + 1, np.int64)
     return out[:-1], int(out[-1])
 
@@ -126,14 +125,49 @@ def laid(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def block_sums(padded: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the words' ``rows`` in each block of ``laid``, and a row of zeros."""
+    """Sums of the words' ``rows`` in each block of ``laid``, and a row of zeros.
+
+    First words of all blocks, second words, and so on, some blocks at a time:
+    what is added stays in the cache.
+    """
     sums = np.zeros((len(padded) // BLOCK + 1, rows.shape[1]), np.float32)
+    cells = padded.reshape(-1, BLOCK).T.copy()
+    more = np.empty((min(len(sums), 1024), rows.shape[1]), np.float32)
     for a in range(0, len(sums) - 1, 1024):
         b = min(a + 1024, len(sums) - 1)
-        np.sum(rows[padded[a * BLOCK : b * BLOCK]].reshape(b - a, BLOCK, -1), axis=1, out=sums[a:b])
+        np.take(rows, cells[0, a:b], axis=0, out=sums[a:b], mode="clip")
+        for k in range(1, BLOCK):
+            sums[a:b] += np.take(rows, cells[k, a:b], axis=0, out=more[: b - a], mode="clip")
     return sums
 
 
+def word_sums(padded: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words in the blocks of ``laid``, and for each the sum of its blocks' rows of ``back``, a block once for each time.
+
+    Words in a fiftieth of the blocks or more: a product with their counts per block.
+    Others: all words' first places, their second places, and so on.
+    """
+    size = np.bincount(padded, minlength=HASHED + 1)[:HASHED]
+    held = np.argsort(-size, kind="stable")[: np.count_nonzero(size)]
+    block = np.argsort(padded.astype(np.uint16), kind="stable") // BLOCK
+    first, size = (np.cumsum(size) - size)[held], size[held]
+    sums = np.empty((len(held), back.shape[1]), np.float32)
+    often = int(np.count_nonzero(size >= max(32, len(back) // 50)))
+    step = max(1, (1 << 19) // len(back))
+    for a in range(0, often, step):
+        b = min(a + step, often)
+        cell = np.concatenate([block[first[k] : first[k] + size[k]] + (k - a) * len(back) for k in range(a, b)])
+        np.dot(np.bincount(cell, minlength=(b - a) * len(back)).astype(np.float32).reshape(b - a, -1), back, out=sums[a:b])
+    more = np.empty((min(len(held), 1024), back.shape[1]), np.float32)
+    for a in range(often, len(held), 1024):
+        b = min(a + 1024, len(held))
+        np.take(back, block[first[a:b]], axis=0, out=sums[a:b], mode="clip")
+        for k in range(1, int(size[a])):
+            e = a + int(np.count_nonzero(size[a:b] > k))
+            sums[a:e] += np.take(back, block[first[a:e] + k], axis=0, out=more[: e - a], mode="clip")
+    return held, sums
+
+
 def text_product(idf: np.ndarray):
     """Product of ``randomised_svd`` for rows (text, weight): the TF-IDF rows of all their passages, of unit length times the weight.
 
@@ -144,7 +178,7 @@ def text_product(idf: np.ndarray):
 
     def product(batch: pa.RecordBatch, basis: np.ndarray, total: np.ndarray) -> None:
         rows = weighted(basis, idf)
-        for slab in slabs([batch], size=FIT_SLAB):
+        for slab in slabs([batch]):
             words, at = words_of(*byte_column(slab.column("text")))
             padded, block, after, doc, _ = laid(hashed(words), at)
             if not len(block):
@@ -163,11 +197,8 @@ def text_product(idf: np.ndarray):
             back = np.zeros_like(sums)
             back[block] = z
             back[after] += z  # distinct but for the last row, which no word is in
-            order = np.argsort(padded, kind="stable")[: len(words)]
-            sorted_ = padded[order]
-            first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-            held = sorted_[first]
-            total[held] += np.add.reduceat(back[order // BLOCK], first, axis=0) * idf[held][:, None]
+            held, sums = word_sums(padded, back)
+            total[held] += sums * idf[held][:, None]
 
     return product
 
@@ -209,8 +240,8 @@ def _summed(rows: DataFrame, part, chunks: int, shape: tuple[int, int]) -> np.nd
 
     out = np.zeros(shape, np.float32)
     at = np.cumsum([0] + [len(p) for p in np.array_split(out, chunks)])
-    # Piece after piece: the driver holds the matrix once.
-    pieces = rows.mapInArrow(run, "c int, m binary").repartition("c").mapInArrow(add, "c int, m binary").coalesce(1)
+    # Added in many tasks, then piece after piece: the driver holds the matrix once.
+    pieces = rows.mapInArrow(run, "c int, m binary").repartition("c").mapInArrow(add, "c int, m binary").repartition(1)
     for r in pieces.toLocalIterator():
         out[at[r.c] : at[r.c + 1]] = np.frombuffer(r.m, np.float32).reshape(-1, shape[1])
     return out
@@ -375,6 +406,15 @@ def reach(size: int) -> int:
     return size + max(2, size // 5)
 
 
+def holds(near: np.ndarray, item: np.ndarray) -> bool:
+    """Whether the words of ``item`` stand in ``near`` side by side."""
+    raw, key = near.tobytes(), item.tobytes()
+    at = raw.find(key)
+    while at % item.itemsize and at > 0:
+        at = raw.find(key, at + 1)
+    return at >= 0
+
+
 def aligned(item: np.ndarray, answer: np.ndarray, near: np.ndarray, hits: np.ndarray | None = None) -> float:
     """Best share of the item that a window of ``near`` keeps in order, 0 if too little.
 
@@ -385,6 +425,8 @@ def aligned(item: np.ndarray, answer: np.ndarray, near: np.ndarray, hits: np.nda
     n = len(item)
     if not n:
         return 0.0
+    if holds(near, item):
+        return 1.0
     size, best = reach(n), 0
     kept, whole, ending = least(PARAPHRASED, n), least(ALIGNED, n), least(ANSWERED, len(answer))
     held = np.r_[0, np.cumsum(np.isin(near, item) if hits is None else hits)]
