@@ -53,6 +53,7 @@ RARE = 0.25  # of the words that an item must keep: so many have to be among its
 ALIGNED, PARAPHRASED, ANSWERED = 0.75, 0.6, 0.9
 COSINE = 0.5  # what the exact way of step 4 finds beyond it costs little; verbatim items have 0.77 and more
 ITEM_BLOCK = 1024
+SCAN_SLAB = 1 << 22  # bytes of text that are searched for all items at a time
 CHUNK = 512
 FIT_PARTS = 16  # tasks of a product with all passages at least (or two a core), each of which sends one matrix
 
@@ -80,11 +81,8 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total, docs = np.zeros(HASHED, np.int64), 0
         for batch in slabs(batches, size=1 << 20):
             words, at = words_of(*byte_column(batch.column("text")))
-            for a in range(0, len(at) - 1, 512):
-                b = min(a + 512, len(at) - 1)
-                seen = np.zeros((b - a, HASHED), bool)
-                seen[np.repeat(np.arange(b - a), np.diff(at[a : b + 1])), hashed(words[at[a] : at[b]])] = True
-                total += np.count_nonzero(seen, axis=0)
+            key = np.sort(np.repeat(np.arange(len(at) - 1) * HASHED, np.diff(at)) + hashed(words))
+            total += np.bincount(key[np.diff(key, prepend=-1) != 0] % HASHED, minlength=HASHED)
             docs += batch.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1].astype(np.int32)), pa.array(np.r_[total[some], docs])], ["w", "n"])
@@ -177,7 +175,7 @@ def text_product(idf: np.ndarray):
     squares = np.r_[idf, 0].astype(np.float64) ** 2
 
     def product(batch: pa.RecordBatch, basis: np.ndarray, total: np.ndarray) -> None:
-        rows = weighted(basis, idf)
+        rows, own_total = weighted(basis, idf), np.zeros(total.shape, np.float32)
         for slab in slabs([batch]):
             words, at = words_of(*byte_column(slab.column("text")))
             padded, block, after, doc, _ = laid(hashed(words), at)
@@ -198,7 +196,9 @@ def text_product(idf: np.ndarray):
             back[block] = z
             back[after] += z  # distinct but for the last row, which no word is in
             held, sums = word_sums(padded, back)
-            total[held] += sums * idf[held][:, None]
+            own_total[held] += sums
+        for a in range(0, HASHED, CHUNK):
+            total[a : a + CHUNK] += own_total[a : a + CHUNK] * idf[a : a + CHUNK, None]
 
     return product
 
@@ -327,8 +327,14 @@ class Items:
 
     def places(self, words: np.ndarray) -> np.ndarray:
         """Places in the vocabulary; its length for other words."""
-        v = np.searchsorted(self.vocabulary, words)
-        return np.where(np.r_[self.vocabulary, np.uint64(0)][v] == words, v, len(self.vocabulary)) if len(self.vocabulary) else v
+        out = np.full(len(words), len(self.vocabulary))
+        some = np.zeros(HASHED, bool)
+        some[hashed(self.vocabulary)] = True
+        some = np.flatnonzero(some[hashed(words)])
+        v = np.searchsorted(self.vocabulary, words[some])
+        same = np.r_[self.vocabulary, np.uint64(0)][v] == words[some]
+        out[some[same]] = v[same]
+        return out
 
 
 def least(share: float, size: int) -> int:
@@ -396,8 +402,9 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     full = (1 << len(a)) - 1
     row = full
     for x in b.tolist():
-        m = row & masks.get(x, 0)
-        row = ((row + m) | (row - m)) & full
+        if x in masks:  # others leave the row as it is
+            m = row & masks[x]
+            row = ((row + m) | (row - m)) & full
     return len(a) - row.bit_count()
 
 
@@ -520,7 +527,9 @@ def matches(words: np.ndarray, at: np.ndarray, items: Items, basis: np.ndarray,
     for k in sorted(some, key=lambda k: -cosine[k]):
         d, i, a, b = int(doc[k]), int(item[k]), int(begin[k]), int(end[k])
         if found[d].get(i) != 1.0:
-            share = aligned(items.words[i], items.answers[i], words[a:b])
+            mine[items.held[i]] = True
+            share = aligned(items.words[i], items.answers[i], words[a:b], mine[v[a:b]])
+            mine[items.held[i]] = False
             if share:
                 found[d][i] = max(found[d].get(i, 0), share)
                 if led is not None and cosine[k] >= COSINE:
@@ -604,7 +613,7 @@ def _scan(docs: DataFrame, items: Items, basis: np.ndarray, idf: np.ndarray, kin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, basis, idf = sent.value
         rows = weighted(basis, idf)
-        for batch in slabs(batches, size=1 << 20):
+        for batch in slabs(batches, size=SCAN_SLAB):
             words, at = words_of(*byte_column(batch.column("text")))
             led: list[set] = [set() for _ in range(batch.num_rows)]
             found = matches(words, at, items, basis, idf, rows, led)
