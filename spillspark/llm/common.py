@@ -7,6 +7,7 @@ chosen only where that setting is missing, as in tests.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import tempfile
@@ -58,6 +59,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs leave on the driver.
+
+    Their plans, broadcasts and shuffles are dropped when the driver collects
+    garbage, which it would put off until its heap is at the limit; a whole
+    collection also hands the heap's unused part back.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of ``df`` as one struct: nothing that is added beside it can clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
