@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words are counted over all documents.
+1. Hashed words of all documents are written once, and their document frequencies
+   counted over all documents.
 2. A randomised SVD of TF-IDF passages gives a latent space: all passages of all
    documents, and all benchmark items. Spark holds the rows; each product with
    the matrix and its transpose is a job with partial sums per task, and only matrices of
@@ -53,6 +54,7 @@ RARE = 0.25  # of the words that an item must keep: so many have to be among its
 ALIGNED, PARAPHRASED, ANSWERED = 0.75, 0.6, 0.9
 COSINE = 0.5  # what the exact way of step 4 finds beyond it costs little; verbatim items have 0.77 and more
 ITEM_BLOCK = 1024
+KEPT_SLAB = 1 << 18  # bytes of kept words at a time
 SCAN_SLAB = 1 << 22  # bytes of text that are searched for all items at a time
 CHUNK = 512
 FIT_PARTS = 16  # tasks of a product with all passages at least (or two a core), each of which sends one matrix
@@ -74,16 +76,38 @@ def hashed(words: np.ndarray) -> np.ndarray:
     return (words & np.uint64(HASHED - 1)).astype(np.int32)
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents holding each hashed word, and all documents: counted in Spark over all rows."""
+def text_words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Hashed words, offsets and rows, slab by slab, of rows with a text."""
+    for slab in slabs([batch]):
+        words, at = words_of(*byte_column(slab.column("text")))
+        yield hashed(words), at, slab
+
+
+def kept_words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """The same of rows of ``keep``: two bytes a word."""
+    for slab in slabs([batch], "w", KEPT_SLAB):
+        raw, at = byte_column(slab.column("w"))
+        yield raw.view("<u2").astype(np.int32), at // 2, slab
+
+
+def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashed words of each text, which are read once and counted and multiplied often."""
+    for batch in batches:
+        for w, at, slab in text_words(batch):
+            size = pa.py_buffer((2 * at).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(slab), [None, size, pa.py_buffer(w.astype("<u2"))]).cast(pa.binary())], ["w"])
+
+
+def frequencies(kept: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents holding each hashed word, and all documents: counted in Spark over all rows of ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros(HASHED, np.int64), 0
-        for batch in slabs(batches, size=1 << 20):
-            words, at = words_of(*byte_column(batch.column("text")))
-            key = np.sort(np.repeat(np.arange(len(at) - 1) * HASHED, np.diff(at)) + hashed(words))
-            total += np.bincount(key[np.diff(key, prepend=-1) != 0] % HASHED, minlength=HASHED)
-            docs += batch.num_rows
+        for batch in batches:
+            for w, at, slab in kept_words(batch):
+                key = np.sort(np.repeat(np.arange(len(at) - 1) * HASHED, np.diff(at)) + w)
+                total += np.bincount(key[np.diff(key, prepend=-1) != 0] % HASHED, minlength=HASHED)
+                docs += slab.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1].astype(np.int32)), pa.array(np.r_[total[some], docs])], ["w", "n"])
 
@@ -94,7 +118,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["m"])
 
     # A row per hashed word, whatever the number of documents: they are added in many tasks and reach the driver as one.
-    counts = docs.select("text").mapInArrow(run, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    counts = kept.mapInArrow(run, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     row = counts.repartition(1).mapInArrow(packed, "m binary").first()  # none if the table has no partitions
     out = np.frombuffer(row.m, np.int64) if row else np.zeros(HASHED + 1, np.int64)
     return out[:-1], int(out[-1])
@@ -166,8 +190,8 @@ def word_sums(padded: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndar
     return held, sums
 
 
-def text_product(idf: np.ndarray):
-    """Product of ``randomised_svd`` for rows (text, weight): the TF-IDF rows of all their passages, of unit length times the weight.
+def text_product(idf: np.ndarray, words=text_words):
+    """Product of ``randomised_svd`` for rows (text, weight), or (w, weight) with ``kept_words``: the TF-IDF rows of all their passages, of unit length times the weight.
 
     A passage is two blocks, so a block's words are summed, and its share of the
     product handed back to them, once for both of its passages.
@@ -176,9 +200,8 @@ def text_product(idf: np.ndarray):
 
     def product(batch: pa.RecordBatch, basis: np.ndarray, total: np.ndarray) -> None:
         rows, own_total = weighted(basis, idf), np.zeros(total.shape, np.float32)
-        for slab in slabs([batch]):
-            words, at = words_of(*byte_column(slab.column("text")))
-            padded, block, after, doc, _ = laid(hashed(words), at)
+        for w, at, slab in words(batch):
+            padded, block, after, doc, _ = laid(w, at)
             if not len(block):
                 continue
             cells = np.vstack([padded.reshape(-1, BLOCK), np.full((1, BLOCK), HASHED, np.int32)])
@@ -569,14 +592,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id")
     table, or an empty benchmark, finds nothing.
     """
     docs = docs.select("doc_id", F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    counts, total = frequencies(docs)
+    kept = written(docs.select("text").mapInArrow(keep, "w binary"), "words")
+    counts, total = frequencies(kept)
     idf = weights_of(counts, total)
     items = written(benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct(), "items")
     docs = docs.select("id", "text")
     # Among more documents items weigh more, so that the space doesn't lose sight of them.
     beside = ITEM_WEIGHT * math.sqrt(max(total / SAMPLE_DOCS, 1))
-    rows = docs.select("text", F.lit(1.0).alias("weight")).unionByName(items.select("text", F.lit(beside).alias("weight")))
-    basis, _ = randomised_svd(rows.coalesce(max(FIT_PARTS, 2 * docs.sparkSession.sparkContext.defaultParallelism)), product=text_product(idf))
+    rows = kept.select("w", F.lit(1.0).alias("weight")).unionByName(items.select("text").mapInArrow(keep, "w binary").select("w", F.lit(beside).alias("weight")))
+    basis, _ = randomised_svd(rows.coalesce(max(FIT_PARTS, 2 * docs.sparkSession.sparkContext.defaultParallelism)), product=text_product(idf, kept_words))
 
     kind = items.schema["item_id"].dataType
     blocks = max(1, -(-items.count() // ITEM_BLOCK))

@@ -48,6 +48,14 @@ def test_a_product_costs_little_more_than_reading_the_words():
     assert least(lambda: product(batch, basis, total)) < 8 * least(lambda: latent.words_of(flat, at))
 
 
+def test_kept_words_are_those_of_the_texts():
+    batch = pa.RecordBatch.from_arrays([pa.array(["One two", None, "", "two \u00e9 " * 90000, "x"])], ["text"])
+    kept = [part for k in latent.keep(iter([batch])) for part in latent.kept_words(k)]
+    plain = list(latent.text_words(batch))
+    assert np.array_equal(np.concatenate([w for w, _, _ in kept]), np.concatenate([w for w, _, _ in plain]))
+    assert np.array_equal(np.concatenate([np.diff(at) for _, at, _ in kept]), np.concatenate([np.diff(at) for _, at, _ in plain]))
+
+
 def test_items_word_for_word():
     a = np.arange(1, 9, dtype=np.uint64)
     assert latent.holds(a, a[2:5]) and latent.holds(a, a) and not latent.holds(a, a[[2, 4]]) and not latent.holds(a[:2], a[:3])
