@@ -9,8 +9,9 @@ written once.
 Six transformed statistics (log length, log mean word length, the share of
 repeated words, and logs of the shares of symbols, capitals and punctuation), as integers in
 thousandths so that sums don't depend on the order of rows, are fitted per
-(language, source). Starts: medians with two scales, and the means and
-covariances of ``DRAWS`` small sets of documents drawn by hash. Concentration
+(language, source). Starts, each from all rows: medians with two scales, and the means and
+covariances of the rows' distances from the medians in four shapes that far rows
+pull little at (``SHAPES``, as in the deterministic MCD). Concentration
 steps take the mean and covariance of the ``SHARE`` of documents nearest by
 Mahalanobis distance; after ``FIRST_STEPS`` the two starts with the smallest
 determinants go on until no determinant moves by a ten-thousandth (``SETTLED``, or ``MAX_STEPS``), and the smaller wins.
@@ -43,7 +44,6 @@ WINDOW = 8
 MIN_WORDS = 20
 SHARE = 0.75
 LEAST = 60
-DRAWS, DRAWN = 4, 24  # sets of documents to start from, and their mean size
 FIRST_STEPS, BEST, MAX_STEPS = 2, 2, 30
 SETTLED = 1e-4  # a determinant that moves less, as a share of itself, has settled
 #: Least standard deviation of a statistic, in its own (log) units: a share
@@ -56,6 +56,9 @@ LEVEL, SLACK = 0.999, 3.0
 FEATURES = ("x1", "x2", "x3", "x4", "x5", "x6")
 PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
 BINS = 256  # histogram bins per unit of log distance
+#: Of a row's distance from the median in scales, ``z`` by statistic and ``r`` in all: hyperbolic tangents,
+#: directions alone, distances cut at that of ``SHARE`` of normal rows, logarithms.
+SHAPES = ("tanh({z})", "2.45D * {z} / greatest(r, 1e-9D)", "{z} * least(1, 2.8D / greatest(r, 1e-9D))", "signum({z}) * ln(1 + abs({z}))")
 
 
 def chi2_6(share: float) -> float:
@@ -171,7 +174,7 @@ def _median(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 
 def _starts(fit: DataFrame) -> DataFrame:
-    """(g, start, mu.., w.., logdet): medians scaled by MADs (0) and by the floor alone (1), then drawn sets."""
+    """(g, start, mu.., w.., logdet): medians scaled by MADs (0) and by the floor alone (1), then the ``SHAPES`` of all rows."""
     long = fit.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("j"), F.col(n).alias("x")) for i, n in enumerate(FEATURES)])).alias("f")).select("g", "f.j", "f.x")
     med = written(_median(long, "x", ["g", "j"]), "medians")
     dev = long.join(med, ["g", "j"]).select("g", "j", F.abs(F.col("x") - F.col("m")).alias("d"))
@@ -183,8 +186,9 @@ def _starts(fit: DataFrame) -> DataFrame:
         ),
         "medians",
     )
-    scale = lambda start, i: F.greatest(F.col(f"mad{i}"), F.lit(FLOOR)) if start == 0 else F.lit(2 * FLOOR)
-    made = _estimate(_sums(_drawn(fit)).withColumn("part", F.lit(1.0)), drawn=False).drop("was")
+    scale = lambda start, i: F.expr(_scale(i)) if start == 0 else F.lit(2 * FLOOR)
+    shaped = _estimate(_sums(_shaped(fit, wide)).withColumn("part", F.lit(1.0)), drawn=False).join(wide.selectExpr("g", *[f"mu{i} AS m{i}" for i in range(len(FEATURES))], *[f"{_scale(i)} AS v{i}" for i in range(len(FEATURES))]), "g")
+    made = shaped.selectExpr("g", "start", *[f"m{i} + v{i} * mu{i} AS mu{i}" for i in range(len(FEATURES))], *[f"w{i}{j} / v{j} AS w{i}{j}" for i, j in PAIRS], "0.0D AS logdet")
     for start in (0, 1):
         one = wide.select(
             "g",
@@ -197,11 +201,17 @@ def _starts(fit: DataFrame) -> DataFrame:
     return made
 
 
-def _drawn(fit: DataFrame) -> DataFrame:
-    """Rows of ``DRAWS`` sets per group, about ``DRAWN`` documents each, chosen by a hash of their statistics."""
-    sizes = fit.groupBy("g").agg(F.count(F.lit(1)).alias("all"))
-    chance = F.pmod(F.xxhash64(*FEATURES, "start"), F.lit(1 << 20)) < DRAWN * (1 << 20) / F.col("all")
-    return fit.join(sizes, "g").withColumn("start", F.explode(F.sequence(F.lit(2), F.lit(1 + DRAWS)))).where(chance).withColumns({"bin": F.lit(0), "logdet": F.lit(0.0)})
+def _scale(i: int) -> str:
+    return f"greatest(mad{i}, {FLOOR}D)"
+
+
+def _shaped(fit: DataFrame, medians: DataFrame) -> DataFrame:
+    """Every row once in each of the ``SHAPES``, in thousandths, as starts 2 and on."""
+    p = range(len(FEATURES))
+    z = fit.join(medians, "g").selectExpr("g", *[f"({FEATURES[i]} / 1000 - mu{i}) / {_scale(i)} AS z{i}" for i in p])
+    z = z.selectExpr("*", "sqrt(" + " + ".join(f"z{i} * z{i}" for i in p) + ") AS r")
+    one = lambda k, s: f"struct({2 + k} AS start, " + ", ".join(f"cast(round(1000 * ({s.format(z=f'z{i}')})) AS bigint) AS {n}" for i, n in enumerate(FEATURES)) + ")"
+    return z.selectExpr("g", "inline(array(" + ", ".join(one(k, s) for k, s in enumerate(SHAPES)) + "))").selectExpr("*", "0 AS bin", "0.0D AS logdet")
 
 
 def _distances(rows: DataFrame, fitted: DataFrame, how: str = "inner") -> DataFrame:
