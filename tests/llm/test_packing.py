@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -68,3 +69,13 @@ def test_a_very_long_text(spark, plain):
     own = sorted((x for x in rows if x.doc_tokens == len(want)), key=lambda x: x.start)
     assert [x.start for x in own] == np.cumsum([0] + [x.length for x in own])[:-1].tolist() and sum(x.length for x in own) == len(want)
     assert all(x.ids_crc32 == zlib.crc32(np.array(want[x.start : x.start + x.length], "<u4").tobytes()) for x in own)
+
+
+def test_the_encoder_holds_little():
+    """Workers that wait keep what they hold: 120 MB of words were too much for an executor's packing."""
+    r = random.Random(9)
+    e = packing.Encoder(packing.vocabulary_path())
+    for _ in range(80):
+        e.encode([" ".join("".join(r.choice("abcdefgh") for _ in range(14)) for _ in range(5000)).encode()])
+    held = sum(sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items()) for d in (e.words, e.known))
+    assert held < 80e6
