@@ -36,7 +36,7 @@ BUCKETS = 1024
 DIMS, BITS = 4, 15
 #: Entries after which a worker forgets the words it has met. Workers that wait keep theirs, so that an
 #: executor holds these more often than it has cores.
-MEMO_WORDS, MEMO_PIECES = 50_000, 250_000
+MEMO_WORDS, MEMO_PIECES = 50_000, 1_000_000
 
 # Fixed values of the vocabulary's own splitting rule, for ASCII and Latin-1.
 LETTERS = "a-zªµºß-öø-ÿ"
