@@ -16,12 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ASCII white space of the word rule: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"
 SLAB = 1 << 20
+#: Share of the heap it may take beyond which the driver collects garbage between jobs.
+HEAP_SHARE = 0.5
 
 
 def importable(spark: SparkSession) -> None:
@@ -54,6 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
+    spare(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -64,10 +68,38 @@ def release(spark: SparkSession) -> None:
 
     Their plans, broadcasts and shuffles are dropped when the driver collects
     garbage, which it would put off until its heap is at the limit; a whole
-    collection also hands the heap's unused part back.
+    collection also hands the heap's unused part back. What the JVM's compilers
+    freed stays with the allocator until it is trimmed.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _trim(spark)
+
+
+def _trim(spark: SparkSession) -> str | None:
+    """Hand freed memory outside the driver's heap back to the system; None where its JVM can't."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kinds = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    types, args = gateway.new_array(jvm.Class, len(kinds)), gateway.new_array(jvm.Object, len(kinds))
+    try:
+        for k, kind in enumerate(kinds):
+            types[k] = jvm.Class.forName(kind)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, args)
+    except Py4JJavaError:
+        return None
+
+
+def spare(spark: SparkSession) -> None:
+    """``release`` where the driver's heap has grown beyond ``HEAP_SHARE`` of its limit.
+
+    An operator that plans dozens of jobs makes garbage faster than young
+    collections take it, and the heap grows towards its limit although little of it is in use.
+    """
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
+        release(spark)
 
 
 def whole_row(df: DataFrame) -> Column:

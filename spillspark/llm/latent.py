@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
-from spillspark.llm.common import byte_column, slabs, word_bounds, word_hashes, written
+from spillspark.llm.common import byte_column, slabs, spare, word_bounds, word_hashes, written
 
 HASHED = 1 << 15
 RANK, EXTRA, ROUNDS = 96, 16, 2
@@ -310,6 +310,7 @@ def randomised_svd(rows: DataFrame, rank: int = RANK, extra: int = EXTRA, rounds
     basis = made = np.random.default_rng(seed).standard_normal((HASHED, rank + extra), dtype=np.float32)
     for k in range(rounds):
         basis = orthonormal(made) if k else made
+        spare(spark)
         sent = spark.sparkContext.broadcast(basis)
         made = _summed(rows, lambda batch, total, sent=sent: product(batch, sent.value, total), HASHED // CHUNK, basis.shape)
         sent.destroy()
