@@ -74,14 +74,14 @@ def search_area_join(
 def inside_polygon(reports: DataFrame, areas: DataFrame, start: str = "start_us", end: str = "end_us", cell: float = 0.5) -> DataFrame:
     """Reports strictly inside an area's ``ring`` (struct<x, y>) and in its closed time window."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxed = areas.withColumns({"x_min": F.array_min(xs), "x_max": F.array_max(xs), "y_min": F.array_min(ys), "y_max": F.array_max(ys)})
+    boxed = areas.withColumns({"x_min": F.array_min(xs), "x_max": F.array_max(xs), "y_min": F.array_min(ys), "y_max": F.array_max(ys), "turning": geo.turn(F.col("ring"))})
     steps = lambda a, b: F.sequence(F.floor(F.col(a) / cell).cast("int"), F.floor(F.col(b) / cell).cast("int"))
     areas = boxed.withColumn("cell_y", F.explode(steps("y_min", "y_max"))).withColumn("cell_x", F.explode(steps("x_min", "x_max")))
     keyed = reports.withColumns({"cell_y": F.floor(F.col("lat") / cell).cast("int"), "cell_x": F.floor(F.col("lon") / cell).cast("int")})
     pairs = keyed.join(areas, ["cell_y", "cell_x"]).where(F.col("us").between(F.col(start), F.col(end)))
     box = F.col("lon").between(F.col("x_min"), F.col("x_max")) & F.col("lat").between(F.col("y_min"), F.col("y_max"))
-    exact = geo.inside(F.col("ring"), F.col("lon"), F.col("lat"))
-    return pairs.where(box).where(exact).drop("cell_y", "cell_x", "x_min", "x_max", "y_min", "y_max")
+    exact = geo.inside(F.col("ring"), F.col("lon"), F.col("lat"), F.col("turning"))
+    return pairs.where(box).where(exact).drop("cell_y", "cell_x", "x_min", "x_max", "y_min", "y_max", "turning")
 
 
 def details_by_id_or_name(candidates: DataFrame, vessels: DataFrame) -> DataFrame:
