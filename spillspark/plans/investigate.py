@@ -78,8 +78,7 @@ def stages(predictor: Callable[[], raster.Predictor], named: str, tile: int = ra
         own = workspace.written(of(path, todo), "path")
         last = own.groupBy("incident_id").agg(F.max_by(F.struct("lon", "lat", "us", "radius_m"), "step").alias("e"))
         zones = last.select("incident_id", F.col("e.lon").alias("lon0"), F.col("e.lat").alias("lat0"), F.col("e.us").alias("target_us"), (F.col("e.radius_m") / 1000).alias("radius_km"))
-        ranks = attribution.ranked(attribution.scored(attribution.evidence(reports, zones, own)))
-        return ranks.where(F.col("rank") <= top)
+        return attribution.leading(reports, zones, own, top)
 
     return [
         Stage("detection", ("pixels", "lut"), detection, (named, tile)),
