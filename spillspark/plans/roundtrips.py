@@ -132,7 +132,7 @@ def incident_catalogue(spark: SparkSession, d: str) -> DataFrame:
     record = F.to_json(F.struct(F.concat(F.lit("I"), F.col("s_suppkey").cast("string")).alias("incident_id"), F.col("s_name").alias("name"), location.alias("location"), files.alias("expected_files")))
     path = new_folder(spark, "incidents")
     broken = F.col("s_suppkey") % 7 == 0
-    s.select(F.col("s_suppkey").alias("folder"), F.when(broken, "{broken").otherwise(record).alias("value")).write.partitionBy("folder").text(path)
+    sinks.write_folders(s.select(F.col("s_suppkey").alias("folder"), F.when(broken, "{broken").otherwise(record).alias("value")), path, "folder")
     got = readers.incident_metadata(spark, path, "part-*")
     return got.select("incident_id", "name", "location.region", F.col("location.approximate_latitude").alias("lat"), F.size("expected_files").cast("bigint").alias("n_expected"), F.element_at("expected_files", "ais").alias("ais_file"))
 

@@ -78,6 +78,20 @@ def write_documents(rows: DataFrame, path: str, key: str = "incident_id") -> Non
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)
 
 
+FOLDERS = 256  # that a task writes
+
+
+def write_folders(rows: DataFrame, path: str, key: str) -> None:
+    """Text of many keys (key, value), a folder and a file for each, under a ``path`` that is new.
+
+    The keys are dealt over tasks, and each task moves its folders to their place: by
+    default the driver would, one after the other. What a failed job leaves there
+    isn't taken back.
+    """
+    dealt = rows.repartition(max(1, -(-rows.count() // FOLDERS)), key)
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy(key).text(path)
+
+
 def write_tiles(pixels: DataFrame, path: str, size: int = 512) -> None:
     """Raster as Parquet by scene, in tile order."""
     tiled = pixels.withColumns({"row_off": F.expr(f"r div {size} * {size}"), "col_off": F.expr(f"c div {size} * {size}")})

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,15 @@ def test_sinks(spark, tmp_path):
     px = spark.range(100).select(F.lit(1).alias("scene_id"), F.expr("id div 10").alias("r"), (F.col("id") % 10).alias("c"), F.lit(0.5).alias("prob"))
     sinks.write_tiles(px, str(tmp_path / "t"), 4)
     assert spark.read.parquet(str(tmp_path / "t")).where("row_off = 8 and col_off = 4").count() == 8
+
+
+def test_folders_of_many_keys_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """A folder and a file per key, each written by one of several tasks, nothing left out or left over."""
+    monkeypatch.setattr(sinks, "FOLDERS", 5)
+    path = f"{tmp_path}/folders"
+    sinks.write_folders(spark.range(40).repartition(1).select(F.col("id").alias("folder"), F.concat(F.lit("v"), "id").alias("value")), path, "folder")
+    names = [(d.rpartition("/")[2], x) for d, _, files in os.walk(path) for x in files if x.startswith("part-")]
+    assert sorted(d for d, _ in names) == sorted(f"folder={i}" for i in range(40)) and len({x.split("-")[1] for _, x in names}) > 3
+    assert not [d for d in os.listdir(path) if d.startswith("_temporary")]
+    assert {(r.folder, r.value) for r in spark.read.text(path).collect()} == {(i, f"v{i}") for i in range(40)}
+    sinks.write_folders(spark.range(0).select(F.col("id").alias("folder"), F.lit("v").alias("value")), f"{path}-none", "folder")
